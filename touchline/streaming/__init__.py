@@ -1,0 +1 @@
+"""All operators of this package are batch operators; there is no streaming job to offer."""
