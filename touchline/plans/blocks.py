@@ -129,3 +129,81 @@ BLOCKS["features"] = (("matches", "form", "h2h", "split", "rest", "league"), f""
     {_SPLIT('home')}, {_SPLIT('away')}, homer.rest_days AS home_rest_days, awayr.rest_days AS away_rest_days,
     {_LEAGUE('home')}, {_LEAGUE('away')}, CAST(m.season = '1998' AS INT) AS is_empty_stadium, m.result
   FROM matches m JOIN h2h h ON h.match_id = m.match_id {_JOINS}""", "MATERIALIZED ")
+
+BLOCKS["raw"] = (("matches",), """
+  SELECT season, competition AS "Div", CASE WHEN shots_home = shots_away THEN strftime(match_date, '%d/%m/%Y')
+      ELSE strftime(match_date, '%Y-%m-%d') END AS "Date",
+    CASE WHEN goals_home > 0 THEN concat(12 + goals_home, ':30') END AS "Time",
+    concat('  ', replace(CASE team_home WHEN 'UNITED STATES' THEN 'US' WHEN 'UNITED KINGDOM' THEN 'UK'
+      WHEN 'SAUDI ARABIA' THEN 'KSA' ELSE team_home END, ' ', '   ')) AS "HomeTeam",
+    concat(CASE team_away WHEN 'UNITED STATES' THEN 'US' WHEN 'UNITED KINGDOM' THEN 'UK'
+      WHEN 'SAUDI ARABIA' THEN 'KSA' ELSE team_away END, ' ') AS "AwayTeam",
+    CASE WHEN NOT (corners_home = 0 AND corners_away = 0) THEN CAST(goals_home AS VARCHAR) END AS "FTHG",
+    CASE WHEN NOT (corners_home = 0 AND corners_away = 0) THEN CAST(goals_away AS VARCHAR) ELSE 'n/a' END AS "FTAG",
+    'H' AS "FTR", CAST(shots_home AS VARCHAR) AS "HS", CAST(shots_away AS VARCHAR) AS "AS",
+    CAST(corners_home AS VARCHAR) AS "HC", CAST(corners_away AS VARCHAR) AS "AC", referee AS "Referee",
+    odds_avg_home, odds_avg_draw, odds_avg_away, '1.9' AS "BbMx>2.5" FROM matches""")
+
+BLOCKS["predictions"] = (("matches", "form"), """
+  WITH c AS (
+    SELECT competition, season, count(*) FILTER (result = 'H') AS h, count(*) FILTER (result = 'D') AS d,
+      count(*) FILTER (result = 'A') AS a FROM matches GROUP BY ALL),
+  r AS (
+    SELECT competition, season, CAST(sum(h) OVER b AS DOUBLE) AS h, CAST(sum(d) OVER b AS DOUBLE) AS d,
+      CAST(sum(a) OVER b AS DOUBLE) AS a
+    FROM c WINDOW b AS (PARTITION BY competition ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  w AS (
+    SELECT m.*, 1e0 / odds_avg_home AS ih, 1e0 / odds_avg_draw AS idr, 1e0 / odds_avg_away AS ia,
+      CAST(hf.form5_wins + 1 AS DOUBLE) AS fh, CAST(hf.form5_draws + af.form5_draws + 1 AS DOUBLE) AS fd,
+      CAST(af.form5_wins + 1 AS DOUBLE) AS fa, r.h, r.d, r.a
+    FROM matches m JOIN form hf ON hf.competition = m.competition AND hf.team = m.team_home AND hf.match_date = m.match_date
+    JOIN form af ON af.competition = m.competition AND af.team = m.team_away AND af.match_date = m.match_date
+    JOIN r ON r.competition = m.competition AND r.season = m.season)
+  SELECT match_id, competition, season, match_date, team_home, team_away, result, 'market' AS model,
+    ih / (ih + idr + ia) AS prob_home, idr / (ih + idr + ia) AS prob_draw, ia / (ih + idr + ia) AS prob_away FROM w
+  UNION ALL SELECT match_id, competition, season, match_date, team_home, team_away, result, 'uniform',
+    1e0 / 3, 1e0 / 3, 1e0 / 3 FROM w
+  UNION ALL SELECT match_id, competition, season, match_date, team_home, team_away, result, 'form',
+    fh / (fh + fd + fa), fd / (fh + fd + fa), fa / (fh + fd + fa) FROM w
+  UNION ALL SELECT match_id, competition, season, match_date, team_home, team_away, result, 'base_rate',
+    coalesce(h / (h + d + a), 1e0 / 3), coalesce(d / (h + d + a), 1e0 / 3), coalesce(a / (h + d + a), 1e0 / 3) FROM w
+""", "MATERIALIZED ")
+
+_IS = lambda c: f"(CASE WHEN result = '{c}' THEN 1e0 ELSE 0e0 END)"
+BLOCKS["scores"] = (("predictions",), f"""
+  SELECT *, ((prob_home - {_IS('H')}) ** 2 + (prob_home + prob_draw - {_IS('H')} - {_IS('D')}) ** 2) / 2 AS rps,
+    (prob_home - {_IS('H')}) ** 2 + (prob_draw - {_IS('D')}) ** 2 + (prob_away - {_IS('A')}) ** 2 AS brier,
+    -ln(least(greatest(CASE result WHEN 'H' THEN prob_home WHEN 'D' THEN prob_draw ELSE prob_away END, 1e-15), 1))
+      AS log_loss,
+    CASE WHEN prob_home >= prob_draw AND prob_home >= prob_away THEN 'H' WHEN prob_draw >= prob_away THEN 'D'
+      ELSE 'A' END AS predicted_result,
+    CAST(result = CASE WHEN prob_home >= prob_draw AND prob_home >= prob_away THEN 'H'
+      WHEN prob_draw >= prob_away THEN 'D' ELSE 'A' END AS BIGINT) AS correct
+  FROM predictions""", "MATERIALIZED ")
+
+for _name, _sql in {
+    "ratings_outside": """
+  SELECT n.n_name AS club, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS from_date,
+    CAST(1400 + 7 * (count(*) % 60) AS DOUBLE) AS rating
+  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+  GROUP BY 1, 2""",
+    "player_standard": """
+  SELECT CAST(year(o.o_orderdate) AS STRING) AS season, n.n_name AS team, c.c_name AS player,
+    CAST(sum(CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS goals,
+    CAST(sum(CASE WHEN o.o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS assists
+  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+  GROUP BY 1, 2, 3""",
+    "player_shooting": """
+  SELECT CAST(year(o.o_orderdate) AS STRING) AS season, n.n_name AS team, c.c_name AS player,
+    count(*) AS shots, CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS shots_on_target
+  FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+  GROUP BY 1, 2, 3""",
+    "player_matches": """
+  SELECT o.o_orderkey AS match_id, CAST(o.o_orderdate AS DATE) AS match_date, n.n_name AS team, c.c_name AS player,
+    CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS sot
+  FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+  GROUP BY 1, 2, 3, 4""",
+}.items():
+    BLOCKS[_name] = ((), _sql, "MATERIALIZED ")

@@ -115,3 +115,61 @@ def load_player_matches(spark: SparkSession, folder: str) -> DataFrame:
                  F.col("n_name").alias("team"), F.col("c_name").alias("player"))
         .agg(F.sum((F.col("l_returnflag") == "R").cast("double")).alias("sot"))
     )
+
+
+# Short spellings used in the raw copy of the match table.
+SHORT_NAMES = {"US": "UNITED STATES", "UK": "UNITED KINGDOM", "KSA": "SAUDI ARABIA"}
+RAW_HEADER = ["Div", "Date", "Time", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", "HS", "AS", "HC", "AC",
+              "Referee", "AvgH", "AvgD", "AvgA", "BbMx>2.5"]
+
+
+def raw_copy(matches: DataFrame) -> DataFrame:
+    """The match table as a careless source would publish it: text, odd spacing, wrong results, gaps."""
+    short = lambda c: F.coalesce(
+        F.element_at(F.create_map(*[F.lit(x) for k, v in SHORT_NAMES.items() for x in (v, k)]), F.col(c)), F.col(c))
+    text = lambda c: F.col(c).cast("string")
+    played = ~((F.col("corners_home") == 0) & (F.col("corners_away") == 0))
+    day = F.when(F.col("shots_home") == F.col("shots_away"), F.date_format("match_date", "dd/MM/yyyy")).otherwise(
+        F.date_format("match_date", "yyyy-MM-dd"))
+    return matches.select(
+        "season", F.col("competition").alias("Div"), day.alias("Date"),
+        F.when(F.col("goals_home") > 0, F.concat(12 + F.col("goals_home"), F.lit(":30"))).alias("Time"),
+        F.concat(F.lit("  "), F.regexp_replace(short("team_home"), " ", "   ")).alias("HomeTeam"),
+        F.concat(short("team_away"), F.lit(" ")).alias("AwayTeam"),
+        F.when(played, text("goals_home")).alias("FTHG"), F.when(played, text("goals_away")).otherwise("n/a").alias("FTAG"),
+        F.lit("H").alias("FTR"), text("shots_home").alias("HS"), text("shots_away").alias("AS"),
+        text("corners_home").alias("HC"), text("corners_away").alias("AC"), F.col("referee").alias("Referee"),
+        text("odds_avg_home").alias("AvgH"), text("odds_avg_draw").alias("AvgD"), text("odds_avg_away").alias("AvgA"),
+        F.lit("1.9").alias("BbMx>2.5"))
+
+
+def load_predictions(matches: DataFrame, form: DataFrame) -> DataFrame:
+    """Forecasts of four simple models for every match: decoded odds, uniform, recent form, earlier seasons."""
+    from pyspark.sql import Window
+
+    third = F.lit(1.0) / 3
+    earlier = Window.partitionBy("competition").orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
+    rates = (
+        matches.groupBy("competition", "season")
+        .agg(*[F.sum((F.col("result") == r).cast("long")).alias(r) for r in "HDA"])
+        .select("competition", "season", *[F.sum(r).over(earlier).alias(r) for r in "HDA"])
+    )
+    keys = lambda side: [F.col("competition"), F.col("team").alias(f"team_{side}"), F.col("match_date"),
+                         *[F.col(c).alias(f"{side}_{c}") for c in ("form5_wins", "form5_draws")]]
+    wide = matches.select("match_id", "competition", "season", "match_date", "team_home", "team_away", "result",
+                          "odds_avg_home", "odds_avg_draw", "odds_avg_away")
+    for side in ("home", "away"):
+        wide = wide.join(form.select(*keys(side)), ["competition", f"team_{side}", "match_date"])
+    wide = wide.join(rates, ["competition", "season"])
+    inverse = [F.lit(1.0) / F.col(f"odds_avg_{o}") for o in ("home", "draw", "away")]
+    whole = inverse[0] + inverse[1] + inverse[2]
+    hw, dd, aw = F.col("home_form5_wins") + 1, F.col("home_form5_draws") + F.col("away_form5_draws") + 1, \
+        F.col("away_form5_wins") + 1
+    n = F.col("H") + F.col("D") + F.col("A")
+    rows = [("market", [i / whole for i in inverse]), ("uniform", [third] * 3),
+            ("form", [x / (hw + dd + aw) for x in (hw, dd, aw)]),
+            ("base_rate", [F.coalesce(F.col(r) / n, third) for r in "HDA"])]
+    struct = [F.struct(F.lit(m).alias("model"), *[p.alias(c) for p, c in zip(ps, ("prob_home", "prob_draw", "prob_away"))])
+              for m, ps in rows]
+    return wide.select("match_id", "competition", "season", "match_date", "team_home", "team_away", "result",
+                       F.inline(F.array(*struct)))
