@@ -134,10 +134,10 @@ BLOCKS["raw"] = (("matches",), """
   SELECT season, competition AS "Div", CASE WHEN shots_home = shots_away THEN strftime(match_date, '%d/%m/%Y')
       ELSE strftime(match_date, '%Y-%m-%d') END AS "Date",
     CASE WHEN goals_home > 0 THEN concat(12 + goals_home, ':30') END AS "Time",
-    concat('  ', replace(CASE team_home WHEN 'UNITED STATES' THEN 'US' WHEN 'UNITED KINGDOM' THEN 'UK'
-      WHEN 'SAUDI ARABIA' THEN 'KSA' ELSE team_home END, ' ', '   ')) AS "HomeTeam",
-    concat(CASE team_away WHEN 'UNITED STATES' THEN 'US' WHEN 'UNITED KINGDOM' THEN 'UK'
-      WHEN 'SAUDI ARABIA' THEN 'KSA' ELSE team_away END, ' ') AS "AwayTeam",
+    concat('  ', replace(CASE team_home WHEN 'NATION_1' THEN 'N 1' WHEN 'NATION_7' THEN 'N 7'
+      WHEN 'NATION_12' THEN 'N 12' ELSE team_home END, ' ', '   ')) AS "HomeTeam",
+    concat(CASE team_away WHEN 'NATION_1' THEN 'N 1' WHEN 'NATION_7' THEN 'N 7'
+      WHEN 'NATION_12' THEN 'N 12' ELSE team_away END, ' ') AS "AwayTeam",
     CASE WHEN NOT (corners_home = 0 AND corners_away = 0) THEN CAST(goals_home AS VARCHAR) END AS "FTHG",
     CASE WHEN NOT (corners_home = 0 AND corners_away = 0) THEN CAST(goals_away AS VARCHAR) ELSE 'n/a' END AS "FTAG",
     'H' AS "FTR", CAST(shots_home AS VARCHAR) AS "HS", CAST(shots_away AS VARCHAR) AS "AS",

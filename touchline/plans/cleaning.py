@@ -148,11 +148,11 @@ WITH c AS (
     regexp_replace(trim("HomeTeam"), '\\s+', ' ', 'g') AS th, regexp_replace(trim("AwayTeam"), '\\s+', ' ', 'g') AS ta,
     TRY_CAST("FTHG" AS INT) AS goals_home, TRY_CAST("FTAG" AS INT) AS goals_away,
     TRY_CAST("HS" AS INT) AS shots_home, "Referee" AS referee, odds_avg_home FROM raw),
-n AS (SELECT *, CASE th WHEN 'US' THEN 'UNITED STATES' WHEN 'UK' THEN 'UNITED KINGDOM' WHEN 'KSA' THEN 'SAUDI ARABIA'
-      ELSE th END AS team_home, CASE ta WHEN 'US' THEN 'UNITED STATES' WHEN 'UK' THEN 'UNITED KINGDOM'
-      WHEN 'KSA' THEN 'SAUDI ARABIA' ELSE ta END AS team_away FROM c)
-SELECT concat(strftime("date", '%Y%m%d'), '-', replace(lower(team_home), ' ', '-'), '-',
-    replace(lower(team_away), ' ', '-')) AS match_id, competition, season,
+n AS (SELECT *, CASE th WHEN 'N 1' THEN 'NATION_1' WHEN 'N 7' THEN 'NATION_7' WHEN 'N 12' THEN 'NATION_12'
+      ELSE th END AS team_home, CASE ta WHEN 'N 1' THEN 'NATION_1' WHEN 'N 7' THEN 'NATION_7'
+      WHEN 'N 12' THEN 'NATION_12' ELSE ta END AS team_away FROM c)
+SELECT concat(strftime("date", '%Y%m%d'), '-', replace(lower(team_home), '_', '-'), '-',
+    replace(lower(team_away), '_', '-')) AS match_id, competition, season,
   coalesce(strptime(strftime("date", '%Y-%m-%d') || ' ' || tm, '%Y-%m-%d %H:%M'), CAST("date" AS TIMESTAMP)) AS datetime,
   "date", team_home, team_away, goals_home, goals_away,
   CASE WHEN goals_home > goals_away THEN 'H' WHEN goals_home < goals_away THEN 'A' ELSE 'D' END AS result,

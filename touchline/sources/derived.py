@@ -118,7 +118,7 @@ def load_player_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # Short spellings used in the raw copy of the match table.
-SHORT_NAMES = {"US": "UNITED STATES", "UK": "UNITED KINGDOM", "KSA": "SAUDI ARABIA"}
+SHORT_NAMES = {"N 1": "NATION_1", "N 7": "NATION_7", "N 12": "NATION_12"}
 RAW_HEADER = ["Div", "Date", "Time", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", "HS", "AS", "HC", "AC",
               "Referee", "AvgH", "AvgD", "AvgA", "BbMx>2.5"]
 
