@@ -162,16 +162,15 @@ def recent_team_matches(player_matches: DataFrame, size: int = 5) -> DataFrame:
     return player_matches.join(last.select("team", "match_id"), ["team", "match_id"])
 
 
-def player_shot_ranges(player_matches: DataFrame, conceded: DataFrame, size: int = 5) -> DataFrame:
-    """Expected range of a player's shots on target against each opponent."""
+def player_shot_ranges(player_matches: DataFrame, conceded: DataFrame, meetings: DataFrame, size: int = 5) -> DataFrame:
+    """Expected range of a player's shots on target against each opponent the team is to meet."""
     recent = recent_team_matches(player_matches, size).where(F.col("sot").isNotNull()).groupBy("team", "player").agg(
         F.count("*").alias("matches_used"), F.avg("sot").alias("mean"), F.stddev_pop("sot").alias("deviation"))
     league = F.avg("conceded").over(Window.partitionBy(F.lit(1)))  # one row per team
     opponents = conceded.select(F.col("team").alias("opponent"), "conceded", (F.col("conceded") / league).alias("adjust"))
     deviation = F.when(F.col("matches_used") > 1, F.col("deviation")).otherwise(0.3)
     adjusted = F.col("mean") * F.col("adjust")
-    per_team = recent.select("team").distinct().select("team", F.lit(1).alias("one")).join(
-        opponents.withColumn("one", F.lit(1)), "one").where(F.col("team") != F.col("opponent")).drop("one")
+    per_team = meetings.select("team", "opponent").distinct().join(opponents, "opponent")
     return recent.join(per_team, "team").select(
         "team", "player", "opponent", "matches_used", F.round("mean", 2).alias("avg_sot_raw"),
         F.round(adjusted, 2).alias("avg_sot_adjusted"),

@@ -23,7 +23,7 @@ def with_blocks(body: str, *names: str) -> str:
         need(name)
     head = ",\n".join(f"{n} AS {BLOCKS[n][2] if len(BLOCKS[n]) > 2 else ''}({BLOCKS[n][1]})" for n in ordered)
     body = body.strip()
-    if body.upper().startswith("WITH "):
+    if body[:5].split()[0].upper() == "WITH":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import checks, summaries as ops
 from touchline.operators.features import generate_features
-from touchline.operators.teams import final_table, team_coverage
+from touchline.operators.teams import final_table, team_coverage, team_view
 from touchline.plans.cleaning import predictions_of, stored_fixtures
 from touchline.plans.metrics import rounded
 from touchline.plans.registry import query
@@ -113,12 +113,15 @@ con AS (SELECT coalesce(h.team, a.team) AS opponent, (coalesce(x, 0) + coalesce(
   FROM (SELECT team_home AS team, avg(shots_on_target_away) AS x FROM matches GROUP BY 1) h
   FULL JOIN (SELECT team_away AS team, avg(shots_on_target_home) AS y FROM matches GROUP BY 1) a ON a.team = h.team),
 pl AS (SELECT team, player, count(*) AS n, avg(sot) AS m, CASE WHEN count(*) > 1 THEN stddev_pop(sot) ELSE 0.3e0 END AS s FROM rec GROUP BY ALL),
-o AS (SELECT pl.*, con.*, m * (conceded / (SELECT avg(conceded) FROM con)) AS adj FROM pl JOIN con ON con.opponent <> pl.team)
+meet AS (SELECT team_home AS team, team_away AS opponent FROM matches WHERE season = '2001' UNION SELECT team_away, team_home FROM matches WHERE season = '2001'),
+o AS (SELECT pl.*, con.*, m * (conceded / (SELECT avg(conceded) FROM con)) AS adj FROM pl JOIN meet ON meet.team = pl.team JOIN con ON con.opponent = meet.opponent)
 SELECT team, player, opponent, n AS matches_used, round(m, 2) AS avg_sot_raw, round(adj, 2) AS avg_sot_adjusted,
   greatest(0e0, round(adj - s, 1)) AS sot_range_low, round(adj + s, 1) AS sot_range_high, round(conceded, 2) AS opponent_conceded FROM o""",
        ("player_matches", "matches"))
 def _(spark, d):
-    return ops.player_shot_ranges(load_player_matches(spark, d), ops.shots_conceded(load_matches(spark, d)))
+    m = settle(load_matches(spark, d))
+    meetings = team_view(m.where(F.col("season") == HOLDOUT_SEASON))
+    return ops.player_shot_ranges(load_player_matches(spark, d), ops.shots_conceded(m), meetings)
 
 
 @query("a21_season_completeness", """SELECT competition, season, count(*) AS matches, (SELECT count(DISTINCT team) FROM t
