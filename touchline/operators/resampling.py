@@ -1,13 +1,66 @@
-"""Bootstrap intervals by reproducible resampling weights."""
+"""Bootstrap intervals by reproducible resampling weights.
+
+Each replicate gives every match an independent Poisson(1) weight made from the replicate number and
+the match key. The weight is computed inside the row, replicates are summed where the rows are, and
+only one partial sum per replicate and task is shuffled, whatever the number of matches. All models
+share the weight of a match, which makes comparisons paired.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.probability import row_scores
 from touchline.schema import BOOTSTRAP_SAMPLES
 
+PRIME = 2147483647
+# Poisson(1) distribution function at 0, 1, 2, ...; beyond the last entry no 31-bit draw can fall.
+POISSON_STEPS = tuple(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12))
+
+
+def poisson_weight(replicate: Column, slot: Column) -> Column:
+    """Poisson(1) weight of a match in a replicate, by integer mixing that any SQL engine can repeat."""
+    x = (replicate * 1000003 + slot * 7919 + 12345) % PRIME
+    x = (x * x) % PRIME
+    x = (x * 48271 + replicate) % PRIME
+    x = (x * x) % PRIME
+    u = x / F.lit(float(PRIME))
+    return sum(((u >= s).cast("int") for s in POISSON_STEPS[1:]), (u >= POISSON_STEPS[0]).cast("int"))
+
+
+def slot_of(key: str, kind: str = "bigint") -> Column:
+    """A number below the prime for a match key; text keys are hashed."""
+    number = F.col(key) if kind == "bigint" else F.xxhash64(key)
+    return F.pmod(number, F.lit(PRIME))
+
+
+def replicate_sums(rows: DataFrame, keys: list, values: list, match_key: str = "match_id",
+                   samples: int = BOOTSTRAP_SAMPLES) -> DataFrame:
+    """Weighted sums of ``values`` and of the weights, per key and replicate."""
+    slot = slot_of(match_key, dict(rows.dtypes)[match_key])
+    spread = rows.select(*keys, *values, slot.alias("slot")).withColumn(
+        "rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long"))))
+    weighted = spread.withColumn("w", poisson_weight(F.col("rep"), F.col("slot"))).where(F.col("w") > 0)
+    return weighted.groupBy(*keys, "rep").agg(
+        F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
+
+
+def _interval(value: Column, name: str, confidence: float = 0.95) -> list:
+    tail = (1 - confidence) / 2
+    return [F.avg(value).alias(f"{name}_mean"), F.percentile(value, F.lit(tail)).alias(f"{name}_ci_low"),
+            F.percentile(value, F.lit(1 - tail)).alias(f"{name}_ci_high")]
+
+
+def bootstrap_metrics(predictions: DataFrame, keys: list | None = None, samples: int = BOOTSTRAP_SAMPLES) -> DataFrame:
+    """Mean and 95 % interval of RPS, log loss, accuracy and Brier score per model."""
+    keys = keys or ["model"]
+    metrics = ["rps", "log_loss", "correct", "brier"]
+    sums = replicate_sums(row_scores(predictions), keys, metrics, samples=samples)
+    return sums.groupBy(*keys).agg(*[c for m in metrics for c in _interval(F.col(m) / F.col("w"), m.replace("correct", "accuracy"))])
+
 
 def paired_losses(predictions: DataFrame, model_a: str, model_b: str) -> DataFrame:
     """Per-match loss differences of two models on the matches both have."""
@@ -18,3 +71,37 @@ def paired_losses(predictions: DataFrame, model_a: str, model_b: str) -> DataFra
         .agg(*[(of(model_a, c) - of(model_b, c)).alias(f"delta_{c}") for c in ("rps", "log_loss")])
         .where(F.col("delta_rps").isNotNull())
     )
+
+
+def all_paired_losses(predictions: DataFrame, baseline: str) -> DataFrame:
+    """Loss differences of every model to the baseline on common matches."""
+    rows = row_scores(predictions).select("match_id", "model", "rps", "log_loss")
+    base = rows.where(F.col("model") == baseline).select("match_id", F.col("rps").alias("b_rps"), F.col("log_loss").alias("b_log_loss"))
+    return rows.where(F.col("model") != baseline).join(base, "match_id").select(
+        "match_id", "model", (F.col("rps") - F.col("b_rps")).alias("delta_rps"),
+        (F.col("log_loss") - F.col("b_log_loss")).alias("delta_log_loss"))
+
+
+def bootstrap_differences(deltas: DataFrame, keys: list, samples: int = BOOTSTRAP_SAMPLES) -> DataFrame:
+    """Interval of the mean difference, share of replicates without improvement, and both significance rules."""
+    values = ["delta_rps", "delta_log_loss"]
+    sums = replicate_sums(deltas, keys, values, samples=samples)
+    observed = deltas.groupBy(*keys).agg(F.count("*").alias("n_matches"), *[F.avg(v).alias(f"observed_{v}") for v in values])
+    found = sums.groupBy(*keys).agg(
+        *[c for v in values for c in _interval(F.col(v) / F.col("w"), v)],
+        F.avg((F.col("delta_rps") >= 0).cast("double")).alias("p_value_not_better"))
+    return observed.join(found, keys).withColumns({
+        "significant_by_p": F.col("p_value_not_better") < 0.05,
+        "significant_by_interval": F.col("delta_log_loss_ci_low") * F.col("delta_log_loss_ci_high") > 0})
+
+
+def bootstrap_home_advantage_gap(rows: DataFrame, keys: list, samples: int = BOOTSTRAP_SAMPLES) -> DataFrame:
+    """Interval of the home-advantage difference of subset ``empty`` minus ``normal``.
+
+    ``rows`` holds the weighted home goals and rates of each match, so a replicate is two sums per subset.
+    """
+    sums = replicate_sums(rows, keys + ["subset"], ["scored", "expected"], samples=samples)
+    of = lambda s, c: F.max(F.when(F.col("subset") == s, F.col(c)))
+    gap = F.ln(of("empty", "scored") / of("empty", "expected")) - F.ln(of("normal", "scored") / of("normal", "expected"))
+    return sums.groupBy(*keys, "rep").agg(gap.alias("gap")).groupBy(*keys).agg(*_interval(F.col("gap"), "gap")).withColumn(
+        "significant", F.col("gap_ci_low") * F.col("gap_ci_high") > 0)
