@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.probability import PROBS, normalize
+from touchline.functions.probability import PROBS, normalize, row_scores, with_draw_prior
 
 
 def meta_features(predictions: DataFrame, models: list) -> DataFrame:
@@ -27,3 +27,10 @@ def gap_to_benchmark(summary: DataFrame, benchmark: str, earlier_rps_gap: float)
     gap = F.col("rps") - F.col("b_rps")
     return rows.select("model", (F.col("log_loss") - F.col("b_log_loss")).alias("log_loss_gap"), gap.alias("rps_gap"),
                        (gap - earlier_rps_gap).alias("rps_gap_change"))
+
+
+def draw_prior_search(predictions: DataFrame, factors: tuple, keys: list | None = None) -> DataFrame:
+    """RPS of every model under every draw factor, in one pass over the forecasts."""
+    keys = keys or ["model"]
+    rows = predictions.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    return row_scores(with_draw_prior(rows, F.col("factor"))).groupBy(*keys, "factor").agg(F.round(F.avg("rps"), 9).alias("rps"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.probability import log_loss
 from touchline.operators import checks, counts, folds, ratings, selection, walkforward as wf
+from touchline.plans import ratings as _rating_plans  # noqa: F401  (defines the SQL blocks)
 from touchline.plans.blocks import BLOCKS
 from touchline.plans.cleaning import MODELS, predictions_of
 from touchline.plans.count_blocks import cells_block, expected_block, grid_sql, rates_block
