@@ -188,18 +188,19 @@ def expected_counts(fixtures: DataFrame, rates: DataFrame) -> DataFrame:
 
 def low_score_correlation(matches: DataFrame, rates: DataFrame, xi: float = TIME_DECAY,
                           grid: tuple = tuple(round(-0.2 + 0.01 * k, 2) for k in range(41))) -> DataFrame:
-    """Low-score dependence per competition: the grid value with the largest weighted likelihood gain.
+    """Low-score dependence per competition (and fold): the grid value with the largest weighted likelihood gain.
 
     Only scores with at most one goal a side carry information; they are summed per pair first.
     """
-    last = matches.groupBy("competition").agg(F.max("match_date").alias("base_date"))
-    low = matches.where((F.col("goals_home") <= 1) & (F.col("goals_away") <= 1)).join(last, "competition")
-    cells = low.groupBy("competition", "team_home", "team_away", "goals_home", "goals_away").agg(
+    keys = [c for c in ("competition", "fold") if c in rates.columns]
+    last = matches.groupBy(*keys).agg(F.max("match_date").alias("base_date"))
+    low = matches.where((F.col("goals_home") <= 1) & (F.col("goals_away") <= 1)).join(last, keys)
+    cells = low.groupBy(*keys, "team_home", "team_away", "goals_home", "goals_away").agg(
         F.sum(decay_weight(xi)).alias("w"))
     rows = expected_counts(cells, rates).withColumn("rho", F.explode(F.array(*[F.lit(r) for r in grid])))
-    gain = rows.groupBy("competition", "rho").agg(F.sum(F.col("w") * F.ln(F.greatest(
+    gain = rows.groupBy(*keys, "rho").agg(F.sum(F.col("w") * F.ln(F.greatest(
         low_score_factor("goals_home", "goals_away", "expected_home", "expected_away", "rho"), F.lit(1e-10)))).alias("gain"))
-    return gain.groupBy("competition").agg(
+    return gain.groupBy(*keys).agg(
         F.min_by("rho", F.struct(F.round(-F.col("gain"), 7), F.abs("rho"), "rho")).alias("rho"), F.max("gain").alias("gain"))
 
 

@@ -15,20 +15,27 @@ from pyspark.sql import functions as F
 
 from touchline.functions.probability import row_scores
 from touchline.schema import BOOTSTRAP_SAMPLES
+from touchline.session import settle
 
 PRIME = 2147483647
+DRAWS_PER_TASK = 50_000_000
 # Poisson(1) distribution function at 0, 1, 2, ...; beyond the last entry no 31-bit draw can fall.
 POISSON_STEPS = tuple(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12))
 
 
-def poisson_weight(replicate: Column, slot: Column) -> Column:
-    """Poisson(1) weight of a match in a replicate, by integer mixing that any SQL engine can repeat."""
-    x = (replicate * 1000003 + slot * 7919 + 12345) % PRIME
-    x = (x * x) % PRIME
-    x = (x * 48271 + replicate) % PRIME
-    x = (x * x) % PRIME
-    u = x / F.lit(float(PRIME))
-    return sum(((u >= s).cast("int") for s in POISSON_STEPS[1:]), (u >= POISSON_STEPS[0]).cast("int"))
+def with_poisson_weight(rows: DataFrame, replicate: str = "rep", slot: str = "slot", name: str = "w") -> DataFrame:
+    """Add the Poisson(1) weight of a match in a replicate, by integer mixing that any SQL engine can repeat.
+
+    One column per step: each step uses the one before it twice, and written as one expression the
+    steps would be computed again for every use.
+    """
+    r, x = F.col(replicate), F.col("_x")
+    rows = rows.withColumn("_x", (r * 1000003 + F.col(slot) * 7919 + 12345) % PRIME)
+    rows = rows.withColumn("_x", (x * x) % PRIME)
+    rows = rows.withColumn("_x", (x * 48271 + r) % PRIME)
+    rows = rows.withColumn("_x", ((x * x) % PRIME) / F.lit(float(PRIME)))
+    steps = sum(((x >= s).cast("int") for s in POISSON_STEPS[1:]), (x >= POISSON_STEPS[0]).cast("int"))
+    return rows.withColumn(name, steps).drop("_x")
 
 
 def slot_of(key: str, kind: str = "bigint") -> Column:
@@ -41,10 +48,13 @@ def replicate_sums(rows: DataFrame, keys: list, values: list, match_key: str = "
                    samples: int = BOOTSTRAP_SAMPLES) -> DataFrame:
     """Weighted sums of ``values`` and of the weights, per key and replicate."""
     slot = slot_of(match_key, dict(rows.dtypes)[match_key])
-    spread = rows.select(*keys, *values, slot.alias("slot")).withColumn(
-        "rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long"))))
-    weighted = spread.withColumn("w", poisson_weight(F.col("rep"), F.col("slot"))).where(F.col("w") > 0)
-    return weighted.groupBy(*keys, "rep").agg(
+    rows = settle(rows.select(*keys, *values, slot.alias("slot")))
+    # Little data, much work per row: spread it by work, not by bytes.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() * samples // DRAWS_PER_TASK)
+    spread = rows.repartition(int(tasks))
+    drawn = with_poisson_weight(spread.withColumn(
+        "rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long")))))
+    return drawn.groupBy(*keys, "rep").agg(
         F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
 
 

@@ -132,7 +132,8 @@ _V6 = ", ".join(f"round({c}, 6) AS {c}" for c in ("model_probability", "market_p
 @query("p19_j3_value_rows", f"SELECT fixture_id, season, team_home, team_away, model, outcome, {_V6}, round(expected_value * 100, 5) AS expected_value_percent FROM value_rows", ("value_rows",))
 def _(spark, d):
     _, fixtures, rows = goal_forecasts(spark, d)
-    return rounded(markets.value_rows(fixtures, rows), 6).withColumn("expected_value_percent", F.round("expected_value_percent", 5))
+    table = markets.value_rows(fixtures, rows)
+    return table.withColumns({c: F.round(c, 5 if c.endswith("percent") else 6) for c, t in table.dtypes if t == "double"})
 
 
 @query("w7_value_ranking", """SELECT fixture_id, model, outcome, round(expected_value, 6) AS expected_value,
