@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.teams import DAY, team_days, team_view
 from touchline.schema import FEATURE_COLUMNS, FORM_WINDOW
+from touchline.session import settle
 from touchline.sources.derived import EMPTY_STADIUM_SEASONS
 
 TEAM = ["competition", "team"]
@@ -134,7 +135,8 @@ def generate_features(history: DataFrame, targets: DataFrame | None = None) -> D
     rows = (history if targets is None else targets).select(
         "match_id", "competition", "season", "match_date", "team_home", "team_away",
         *(["result"] if targets is None else []))
-    days = team_day_features(history, targets).join(league_by_day(history, targets), DAY)
+    # Written once: both sides read it, and its true size (teams times calendar days) decides how it is joined.
+    days = settle(team_day_features(history, targets).join(league_by_day(history, targets), DAY))
     for side in ("home", "away"):
         names = {c: f"{side}_{c}" for c in days.columns if c.startswith(("form5_", "league_")) or c == "rest_days"}
         names |= {f"{side}_split_{c}": f"{side}_{side}_{c}" for c in (

@@ -18,7 +18,8 @@ MODELS = ["market", "uniform", "form", "base_rate", "absent_model"]
 
 
 def predictions_of(matches):
-    return load_predictions(matches, team_day_features(matches))
+    form = team_day_features(matches).select("competition", "team", "match_date", "form5_wins", "form5_draws")
+    return load_predictions(matches, settle(form))
 
 
 def _seasons_of(spark, d):
