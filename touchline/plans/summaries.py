@@ -297,13 +297,33 @@ def _(spark, d):
                        "home_form5_wins", "away_form5_wins")
 
 
-@query("j13_fixture_features", None)
+_FORM13 = lambda s: ", ".join(f"coalesce({s}.{c}, 0) AS {side}_form5_{c}" for side in [{"h": "home", "a": "away"}[s]]
+                             for c in ("played", "wins", "draws", "losses", "goal_difference"))
+_FIXTURE_COLUMNS = [f"{s}_{c}" for s in ("home", "away") for c in (
+    "form5_played", "form5_wins", "form5_draws", "form5_losses", "form5_goal_difference", "rest_days", "league_position",
+    "league_points", "league_played")] + ["h2h_played", "h2h_home_wins", "h2h_draws", "h2h_away_wins", "home_home_played",
+    "away_away_played", "home_home_points_per_game", "is_empty_stadium"]
+
+
+@query("j13_fixture_features", f"""WITH tr AS (SELECT *, row_number() OVER (PARTITION BY competition, team ORDER BY match_date DESC, match_id DESC) AS k FROM t WHERE season <> '2001'),
+f AS (SELECT competition, team, count(*) FILTER (k <= 5) AS played, count(*) FILTER (k <= 5 AND outcome = 'W') AS wins, count(*) FILTER (k <= 5 AND outcome = 'D') AS draws,
+  count(*) FILTER (k <= 5 AND outcome = 'L') AS losses, CAST(sum(gf - ga) FILTER (k <= 5) AS BIGINT) AS goal_difference, max(match_date) AS last_day FROM tr GROUP BY ALL),
+p AS (SELECT competition, least(team_home, team_away) AS lo, greatest(team_home, team_away) AS hi, CASE result WHEN 'H' THEN team_home WHEN 'A' THEN team_away ELSE '' END AS winner,
+  row_number() OVER (PARTITION BY competition, least(team_home, team_away), greatest(team_home, team_away) ORDER BY match_date DESC, match_id DESC) AS k FROM matches WHERE season <> '2001'),
+x AS (SELECT competition, lo, hi, list(winner) AS ws FROM p WHERE k <= 5 GROUP BY ALL)
+SELECT m.match_id, {_FORM13('h')}, {_FORM13('a')}, CAST(date_diff('day', h.last_day, m.match_date) AS BIGINT) AS home_rest_days, CAST(date_diff('day', a.last_day, m.match_date) AS BIGINT) AS away_rest_days,
+  CAST(1 AS BIGINT) AS home_league_position, CAST(1 AS BIGINT) AS away_league_position, {', '.join(f'CAST(0 AS BIGINT) AS {s}_league_{c}' for s in ('home', 'away') for c in ('points', 'played'))},
+  CAST(coalesce(len(ws), 0) AS BIGINT) AS h2h_played, CAST(coalesce(len(list_filter(ws, lambda z: z = m.team_home)), 0) AS BIGINT) AS h2h_home_wins,
+  CAST(coalesce(len(list_filter(ws, lambda z: z = '')), 0) AS BIGINT) AS h2h_draws, CAST(coalesce(len(list_filter(ws, lambda z: z = m.team_away)), 0) AS BIGINT) AS h2h_away_wins,
+  CAST(0 AS BIGINT) AS home_home_played, CAST(0 AS BIGINT) AS away_away_played, CAST(NULL AS DOUBLE) AS home_home_points_per_game, 0 AS is_empty_stadium
+FROM matches m LEFT JOIN f h ON h.competition = m.competition AND h.team = m.team_home LEFT JOIN f a ON a.competition = m.competition AND a.team = m.team_away
+LEFT JOIN x ON x.competition = m.competition AND x.lo = least(m.team_home, m.team_away) AND x.hi = greatest(m.team_home, m.team_away) WHERE m.season = '2001'""", ("t",))
 def _(spark, d):
     m = settle(load_matches(spark, d))
     history = m.where(F.col("season") != HOLDOUT_SEASON)
     fixtures = m.where(F.col("season") == HOLDOUT_SEASON).select(
         "match_id", "competition", "season", "match_date", "team_home", "team_away")
-    return rounded(generate_features(history, fixtures))
+    return generate_features(history, fixtures).select("match_id", *_FIXTURE_COLUMNS)
 
 
 @query("u1_season_union", """SELECT season, count(*) AS rows, count("Time") FILTER (season >= '1998') AS with_time FROM raw GROUP BY season""", ("raw",))
