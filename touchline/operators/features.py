@@ -46,23 +46,22 @@ def team_day_features(history: DataFrame, targets: DataFrame | None = None, wind
     t = team_view(history)
     value = F.struct(F.col("outcome").alias("outcome"), (F.col("gf") - F.col("ga")).alias("gd"))
     state = _state_after_day(_latest_of_day(t, TEAM, value, window), TEAM, window)
+    won = lambda o: F.size(F.filter("state", lambda x: x["outcome"] == o)).cast("long")
+    summary = F.struct(
+        F.size("state").cast("long").alias("played"), won("W").alias("wins"), won("D").alias("draws"), won("L").alias("losses"),
+        F.aggregate("state", F.lit(0).cast("long"), lambda a, x: a + x["gd"]).alias("goal_difference"))
+    state = state.select(*TEAM, "match_date", summary.alias("state"))
     days = team_days(history, targets).join(state, TEAM + ["match_date"], "left")
     earlier, season = _before(TEAM), _before(["competition", "season", "team"])
     had_match = (F.col("home_played") + F.col("away_played")) > 0
-    form = F.coalesce(F.col("form"), F.array().cast("array<struct<outcome:string,gd:bigint>>"))
-    outcomes = F.transform(form, lambda x: x["outcome"])
     days = days.withColumns(
         {"form": F.last("state", ignorenulls=True).over(earlier),
          "last_day": F.last(F.when(had_match, F.col("match_date")), ignorenulls=True).over(earlier)}
         | {f"{v}_{c}_before": F.coalesce(F.sum(f"{v}_{c}").over(season), F.lit(0).cast("long"))
            for v in ("home", "away") for c in ("played", "wins", "draws", "points", "gf", "ga")}
     )
-    columns = {
-        "form5_played": F.size(form).cast("long"),
-        "form5_wins": _count(outcomes, "W"),
-        "form5_draws": _count(outcomes, "D"),
-        "form5_losses": _count(outcomes, "L"),
-        "form5_goal_difference": F.aggregate(form, F.lit(0).cast("long"), lambda a, x: a + x["gd"]),
+    columns = {f"form5_{c}": F.coalesce(F.col(f"form.{c}"), F.lit(0).cast("long"))
+               for c in ("played", "wins", "draws", "losses", "goal_difference")} | {
         "rest_days": F.datediff("match_date", "last_day").cast("long"),
     }
     for v in ("home", "away"):
