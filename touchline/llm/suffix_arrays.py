@@ -82,28 +82,44 @@ def _tied(named: np.ndarray) -> np.ndarray:
     return np.flatnonzero(tied)
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, place: np.ndarray, limit: int) -> np.ndarray:
-    """Common prefix of each suffix with its predecessor in the array, up to ``limit`` symbols, 0 at the first.
+def common_prefixes(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix with its predecessor in the array (0 for the first), symbols below 1 never match.
 
-    Kasai's invariant (the prefix shrinks by at most one from a suffix to the next) is used from the other side:
-    all suffixes are compared at once, and one that has run apart rests. ``place`` is ignored where ties are broken
-    by position. Values below 0 in ``symbols`` never match.
+    Kasai's walk in text order: where the predecessor of position i + 1 is the predecessor of i moved by one, the
+    prefix is one shorter. So only positions that leave their diagonal are compared, all at once and in growing
+    strides; the rest follow by counting down.
     """
     n = len(order)
     found = np.zeros(n, np.int64)
     if n < 2:
         return found
-    active = np.arange(1, n)
-    left, right = order[active - 1].copy(), order[active].copy()
-    for _ in range(limit):
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    head = np.ones(n, bool)
+    head[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (before[1:] < 0)
+    starts = np.flatnonzero(head)
+    length = np.zeros(len(starts), np.int64)
+    live = np.flatnonzero(before[starts] >= 0)
+    while len(live):
+        left, right = starts[live] + length[live], before[starts[live]] + length[live]
         inside = (left < n) & (right < n)
-        active, left, right = active[inside], left[inside], right[inside]
-        same = (symbols[left] == symbols[right]) & (symbols[left] >= 0)
-        active, left, right = active[same], left[same] + 1, right[same] + 1
-        if not len(active):
-            break
-        found[active] += 1
-    return found
+        live, left, right = live[inside], left[inside], right[inside]
+        same = (symbols[left] == symbols[right]) & (symbols[left] > 0)
+        live = live[same]
+        length[live] += 1
+    own = np.cumsum(head) - 1
+    by_text = np.maximum(length[own] - (np.arange(n) - starts[own]), 0)
+    # a diagonal may go on beyond a first mismatch: positions past it are compared for themselves
+    spent = np.flatnonzero((by_text == 0) & ~head & (before >= 0))
+    left, right = spent, before[spent]
+    while len(spent):
+        step = by_text[spent]
+        inside = (left + step < n) & (right + step < n)
+        spent, left, right, step = spent[inside], left[inside], right[inside], step[inside]
+        same = (symbols[left + step] == symbols[right + step]) & (symbols[left + step] > 0)
+        spent, left, right = spent[same], left[same], right[same]
+        by_text[spent] += 1
+    return by_text[order]
 
 
 def search(symbols: np.ndarray, order: np.ndarray, queries: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
