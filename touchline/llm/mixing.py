@@ -147,7 +147,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     taken = settle(ordered.withColumn("copies", copies).drop("tie", "place", "n_rows"))
     # every pass over a source is cut into blocks
     draws = taken.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn(
-        "block", F.floor(F.col("before") / block_words).cast("long")).select("doc_id", "digest", "src", "slice", "nth", "pass", "block")
+        "block", F.floor(F.col("before") / block_words).cast("long")).select("doc_id", "digest", "source", "src", "slice", "nth", "pass", "block")
     blocks = settle(draws.select("src", "pass", "block").distinct().withColumn("size", F.lit(1).cast("long")).withColumn(
         "place", _position(F.lit(f"{seed}b"), F.col("src"), F.col("pass"), F.col("block"))).withColumn(
         "tie", F.struct("pass", "block")))
@@ -162,6 +162,20 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     return taken, placed.withColumn("place", F.xxhash64(F.lit(seed), "shard", "pass", "doc_id", "digest")).drop("block")
 
 
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix draws them, with the columns of ``docs``."""
+    taken, draws = mix(docs, doc_id=doc_id, text=text, source=source, **options)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {n: names[docs.columns.index(n)] for n in (doc_id, text, source)}
+    rows = docs.toDF(*names).withColumn("_g", F.md5(F.coalesce(F.col(at[text]), F.lit("")).cast("binary")))
+    key = [at[doc_id], "_g", at[source]]
+    drawn = draws.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_h"), F.col("source").alias("_s"))
+    if not taken.groupBy("doc_id", "digest", "source").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(key)  # repeated rows are drawn one by one; each draw finds the one row that is left
+    same = F.col(key[0]).eqNullSafe(F.col("_d")) & (F.col("_g") == F.col("_h")) & F.col(key[2]).eqNullSafe(F.col("_s"))
+    return rows.join(drawn, same).select(*names).toDF(*docs.columns)
+
+
 def mixed_digest(docs: DataFrame) -> DataFrame:
     """One row per document with the words that the draws take of it."""
     taken, draws = mix(docs)

@@ -6,8 +6,9 @@
 2. Texts with equal sets form a class; only its smallest id goes on, so a group of copies is one row from here.
 3. Each bucket (equal band key) pairs its members with its smallest one only. Pairs whose sketches are too far apart
    drop. Of the others each member's best pair is confirmed first; then the pairs that would still join components.
-4. Buckets that still hold several components compare all members' sketches inside tasks, block against block, and
-   only close pairs of different components come out and are confirmed. No candidate is lost or capped.
+4. Buckets that still hold several components compare all members inside tasks, block against block: by sketches and
+   by an exact bound from the shingles that no other of these documents has. Only pairs of different components that
+   pass both come out and are confirmed. No candidate is lost or capped.
 
 A pair at the threshold is missed by all bands with a probability below 1e-7 (0.8) or 1e-10 (0.85), and by the sketch
 limit at about five standard deviations.
@@ -38,7 +39,7 @@ SKETCH_WORDS = SKETCH_BITS // 64
 #: How far below the threshold a similarity estimated from sketches may lie.
 SLACK = 0.17
 BLOCK = 512
-SHARD_BYTES, SHARD_ROWS = 4 << 20, 1024
+SHARD_BYTES, SHARD_ROWS = 2 << 20, 1024
 _KEYS = mix64(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _FLIP, _ODD = _KEYS[:SAMPLES].astype(np.uint32), (_KEYS[SAMPLES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -150,8 +151,27 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return settle(beside.mapInArrow(linked, "a long, b long"))
 
 
-def _close_pairs(limit: int):
-    """Rows sorted by (bucket, i, j): pairs of a bucket's blocks i and j with close sketches and different labels."""
+def _own_shingles(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(id, size, own): of each document's shingles, how many no other of the documents ``ids`` has."""
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _small(batches, "text"):
+            sets, edges = shingle_sets(table["text"], width)
+            at, first, n = np.unique(sets, return_index=True, return_counts=True)
+            holder = table["id"].to_numpy()[np.searchsorted(edges, first, side="right") - 1]
+            yield pa.RecordBatch.from_pydict({"shingle": at.view(np.int64), "id": holder, "n": np.minimum(n, 2)})
+
+    lone = texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(once, "shingle long, id long, n long").groupBy(
+        "shingle").agg(F.sum("n").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    return lone.withColumnRenamed("id", "_i").join(ids, F.col("_i") == F.col("id"), "right").select(
+        "id", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _close_pairs(limit: int, percent: int):
+    """Rows sorted by (bucket, i, j): pairs of a bucket's blocks i and j that may be linked and have different labels.
+
+    ``own`` of the ``size`` shingles stand in no other document, so a pair shares at most the smaller rest, out of at
+    least one whole set and the other's own shingles.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
 
@@ -159,12 +179,17 @@ def _close_pairs(limit: int):
             table = pa.Table.from_batches(held)
             block, i, j = (table[c].to_numpy() for c in ("block", "i", "j"))
             ids, label = table["id"].to_numpy(), table["label"].to_numpy()
+            size, lone = table["size"].to_numpy(), table["own"].to_numpy()
             sketch = np.stack([table[c].to_numpy().view(np.uint64) for c in _SKETCH], 1)
             left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
             for start in range(0, len(left), 128):
                 rows = left[start:start + 128]
                 apart = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int32)
-                x, y = np.nonzero((apart <= limit) & (label[rows][:, None] != label[right][None, :]))
+                rest, whole = size - lone, size[rows][:, None] + lone[right][None, :]
+                most = np.minimum(rest[rows][:, None], rest[right][None, :])
+                least = np.maximum(whole, lone[rows][:, None] + size[right][None, :])
+                x, y = np.nonzero((apart <= limit) & (100 * most >= percent * least) & (
+                    label[rows][:, None] != label[right][None, :]))
                 a, b = ids[rows[x]], ids[right[y]]
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -195,14 +220,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = settle(real.groupBy(*key).agg(F.min("id").alias("rep")))
     # the smallest id of a class stands for it; rows that repeat the id bring the same bands
     heads = settle(real.join(classes.select(*key, F.col("rep").alias("id")), [*key, "id"], "left_semi").dropDuplicates(["id", *key]))
-    band_rows = settle(heads.select("id", F.explode("bands").alias("bucket"), *_SKETCH).dropDuplicates(["id", "bucket"]))
+    band_rows = settle(heads.select("id", F.explode("bands").alias("bucket")).distinct())
     most = _most_bits(percent)
     leaders = settle(band_rows.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    sketch = heads.dropDuplicates(["id"]).select("id", *_SKETCH)
-    stars = band_rows.join(leaders, "bucket").where("a < id").select(F.col("id").alias("b"), "a", *_SKETCH).dropDuplicates(["a", "b"])
+    sketch = settle(heads.dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("size"), *_SKETCH))
+    stars = settle(band_rows.join(leaders, "bucket").where("a < id").select("a", F.col("id").alias("b")).distinct())
     far = sketch.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in _SKETCH])
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in _SKETCH])
-    near = settle(settle(stars).join(far, "a").withColumn("apart", apart).where(F.col("apart") <= most).select("a", "b", "apart"))
+    near = settle(stars.join(sketch.withColumnRenamed("id", "b").drop("size"), "b").join(far, "a").select("a", "b", apart.alias("apart")).where(
+        F.col("apart") <= most))
     held = texts.where("id is not null")
     best = near.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")).select("a", "b")
     links = _confirm(best, held, width, percent)
@@ -219,16 +245,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         links = links.union(_confirm(more, held, width, percent))
         labels = connected_components(links)
     # buckets with several components: every pair of their blocks inside a task
-    placed = settle(band_rows.join(leaders.select("bucket", "n"), "bucket").join(
-        labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id")))
+    placed = band_rows.join(leaders.select("bucket", "n"), "bucket").join(
+        labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = settle(placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"))
+    members = settle(placed.join(mixed, "bucket", "left_semi"))
+    own = _own_shingles(settle(members.select("id").distinct()), held, width)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = placed.join(mixed, "bucket", "left_semi").withColumn("block", own).withColumn(
+    dealt = members.join(settle(sketch.join(own, "id")), "id").withColumn(
+        "block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "bucket", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *_SKETCH)
+        "bucket", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "size", "own", *_SKETCH)
     together = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    last = settle(together.mapInArrow(_close_pairs(most), "a long, b long").distinct())
+    last = settle(together.mapInArrow(_close_pairs(most, percent), "a long, b long").distinct())
     known = links.select("a", "b")
     last = last.join(near.select("a", "b"), ["a", "b"], "left_anti") if not last.isEmpty() else last
     if not last.isEmpty():
@@ -242,6 +271,23 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5,
+                         percent: int = 80) -> DataFrame:
+    """One document of each group, that with the smallest id, with the columns of ``docs``; rows that repeat an id and
+    its text stay once."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    own, body = (names[docs.columns.index(c)] for c in (doc_id, text))
+    found = near_duplicates(rows, doc_id=own, text=body, width=width, percent=percent)
+    gone = settle(found.where("not kept").select(F.col("doc_id").alias("_d")).distinct())
+    left = rows.join(gone, F.col(own) == F.col("_d"), "left_anti")
+    again = settle(rows.where(F.col(own).isNotNull()).groupBy(F.col(own).alias("_d")).count().where("count > 1").select("_d"))
+    if not again.isEmpty():
+        left = left.join(again, F.col(own) == F.col("_d"), "left_anti").union(
+            left.join(again, F.col(own) == F.col("_d"), "left_semi").dropDuplicates([own, body]))
+    return left.toDF(*docs.columns)
+
+
 SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

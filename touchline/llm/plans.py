@@ -12,4 +12,7 @@ from touchline.llm.registry import ORACLES, QUERIES
 def load() -> tuple[dict, dict]:
     for module in sorted(m.name for m in pkgutil.iter_modules(package.__path__)):
         importlib.import_module(f"{package.__name__}.{module}")
-    return dict(QUERIES), dict(ORACLES)
+    import corpus_pipeline  # at the top of the repository; it imports this package's operators
+
+    oracle = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return QUERIES | {"pipeline": corpus_pipeline.run}, ORACLES | oracle

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import LOWER_BYTES, SPACED, mix64, read_table, shards, text_bytes
 from touchline.llm.registry import query
+from touchline.session import settle
 
 CELLS = 1 << 19
 GRAMS = (5, 6, 7)
@@ -125,46 +126,57 @@ def log_count_ratios(labelled: DataFrame, text: str, label: str) -> tuple[np.nda
     return log[1] - log[0], np.append(sums.sum(0), n)
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", order: Column | None = None,
-          max_train: int = MAX_TRAIN, penalty: float = 1.0, rounds: int = 100) -> Model:
-    """Fit on rows with labels 0 and 1; ``order`` decides which ``max_train`` rows the regression sees."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(
-        F.col(text).alias("text"), F.col(label).cast("long").alias("label"),
-        (F.xxhash64(F.col(text)) if order is None else order).alias("place"))
-    ratio, seen = log_count_ratios(rows, "text", "label")
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+          max_train: int = MAX_TRAIN, penalty: float = 1.0, rounds: int = 60) -> Model:
+    """Fit on the documents that ``labels`` (doc_id, label) marks with 0 or 1.
+
+    Log-count ratios count all of them; the regression sees the first ``max_train`` in the order of a hash of the id.
+    """
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    marks = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("long").alias("label"))
+    ratio, seen = log_count_ratios(texts.join(marks, "id"), "text", "label")
     known, (n_clean, n_toxic) = seen[:-2], seen[-2:]
     prior = float(np.log((n_toxic + 0.5) / (n_clean + 0.5)))
     if not n_clean or not n_toxic:
-        return Model(np.zeros(CELLS, np.float32), prior)
+        return Model(np.zeros(CELLS, np.float32), prior if n_clean + n_toxic else 0.0)
+    common = docs.sparkSession.sparkContext.broadcast(known >= LEAST_ROWS)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shards(batches, "text", SHARD_BYTES):
             cells, of = distinct_features(table["text"])
+            keep = common.value[cells]
+            cells, of = cells[keep], of[keep]
             offsets = np.searchsorted(of, np.arange(table.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                table["label"].combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells))], ["label", "cells"])
-
-    # the sample is chosen by places alone, then only its feature numbers travel, each below CELLS and distinct
-    cut = rows.select("place").orderBy("place").limit(max_train).agg(F.max("place")).first()[0]
-    taken = rows.where(F.col("place") <= F.lit(cut)).mapInArrow(numbers, "label long, cells array<int>").toArrow().to_batches()
-    y = np.concatenate([b.column("label").to_numpy() for b in taken]).astype(float)
-    lengths = np.concatenate([np.diff(b.column("cells").offsets.to_numpy()) for b in taken])
-    cells = np.concatenate([b.column("cells").flatten().to_numpy() for b in taken])
-    keep = known[cells] >= LEAST_ROWS
-    of = np.repeat(np.arange(len(y)), lengths)[keep]
-    cells = cells[keep]
-    scale = ratio[cells]
+                pa.concat_arrays(table["label"].chunks), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells))],
+                ["label", "cells"])
+
+    # a written table of max_train short rows, so the planner sees its size; only numbers below CELLS come back
+    place = F.xxhash64(F.col("id").cast("string"), F.lit("order"))
+    sample = settle(marks.withColumn("place", place).orderBy("place", "id").limit(max_train).drop("place"))
+    taken = texts.join(sample, "id").mapInArrow(numbers, "label long, cells array<int>").toArrow()
+    y = taken["label"].to_numpy().astype(float)
+    lists = [c for c in taken["cells"].chunks if len(c)]
+    del taken
     weights, intercept = np.zeros(CELLS), prior
-    squares_w = np.zeros(CELLS)
-    square_b = 0.0
-    for step in range(rounds):  # full-batch gradient with a step size for each weight
-        z = np.bincount(of, scale * weights[cells], len(y)) + intercept
-        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        gradient = np.bincount(cells, scale * error[of], CELLS) + penalty * weights
+    squares_w, square_b = np.zeros(CELLS), 0.0
+    for _ in range(rounds):  # full-batch gradient with a step size for each weight, a few hundred rows at a time
+        scaled, gradient, error_sum, begin = (weights * ratio).astype(np.float32), np.zeros(CELLS), 0.0, 0
+        for chunk in lists:
+            edges, cells = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+            for k in range(0, len(edges) - 1, 256):
+                e = edges[k:k + 257]
+                own, of = cells[e[0]:e[-1]], np.repeat(np.arange(len(e) - 1), np.diff(e))
+                z = np.bincount(of, scaled[own], len(e) - 1) + intercept
+                error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[begin:begin + len(z)]
+                gradient += np.bincount(own, error[of], CELLS)
+                error_sum += error.sum()
+                begin += len(z)
+        gradient = gradient * ratio + penalty * weights
         squares_w += gradient ** 2
         weights -= 0.1 * gradient / (np.sqrt(squares_w) + 1e-8)
-        square_b += error.sum() ** 2
-        intercept -= 0.3 * error.sum() / (np.sqrt(square_b) + 1e-8)
+        square_b += error_sum ** 2
+        intercept -= 0.3 * error_sum / (np.sqrt(square_b) + 1e-8)
     return Model(np.where(known >= LEAST_ROWS, weights * ratio, 0).astype(np.float32), float(intercept))
 
 
@@ -184,15 +196,10 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
-def training_rows(spark, d, docs: DataFrame) -> DataFrame:
-    """Labelled documents that may be learned from."""
-    labels = read_table(spark, d, "labels").where("toxic in (0, 1)").select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(labels.where(remainder(F.col("doc_id"), 4) != 2), "doc_id")
-
-
 def train_on_labels(spark, d) -> Model:
-    rows = training_rows(spark, d, read_table(spark, d, "documents"))
-    return train(rows, order=F.crc32(F.concat(F.lit("t"), F.col("doc_id").cast("string")).cast("binary")))
+    """The model of the labelled documents that may be learned from."""
+    labels = read_table(spark, d, "labels").where(remainder(F.col("doc_id"), 4) != 2)
+    return train(read_table(spark, d, "documents"), labels)
 
 
 def remove_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
