@@ -97,3 +97,12 @@ def test_walk_forward_ignores_the_validation_season_and_later(matches, monkeypat
     assert a and a.keys() == b.keys()
     for k in a:
         assert a[k] == pytest.approx(b[k], abs=1e-12)
+
+
+@pytest.mark.parametrize("target", ["goals", "goal_per_sot"])
+def test_fit_without_home_cells_keeps_every_team(spark, target):
+    cells = spark.createDataFrame([("A", target, 0.0, "x", "y", 0, 3.0, 9.0), ("A", target, 0.0, "y", "x", 0, 1.0, 8.0)],
+                                  "competition string, target string, xi double, team string, opponent string, is_home int, wy double, we double")
+    one, other = ({r.team: (round(r.attack, 9), round(r.defense, 9), r.home_advantage) for r in counts.fit_rates(cells, sweeps=4, limit=n).collect()}
+                  for n in (0, 250_000))
+    assert one == other and set(one) == {"x", "y"} and all(v[2] == 0.0 for v in one.values())

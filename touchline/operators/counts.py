@@ -65,7 +65,7 @@ def fit_cells(days: DataFrame, membership: DataFrame | None = None, decays: tupl
         days = days.join(membership.where(F.col("part") == "train").select("season", "fold"), "season")
         keys.append("fold")
     scope = [k for k in keys if k in ("competition", "fold")]
-    last = days.groupBy(*scope).agg(F.max("match_date").alias("base_date"))
+    last = settle(days.groupBy(*scope).agg(F.max("match_date").alias("base_date")))  # its true size decides the join
     rows = days.join(last, scope).withColumn("xi", F.explode(F.array(*[F.lit(float(x)) for x in decays])))
     w = decay_weight("xi")
     return rows.groupBy(*keys, *CELL).agg(F.sum(w * F.col("y")).alias("wy"), F.sum(w * F.col("e")).alias("we"))
@@ -84,7 +84,8 @@ def _solve(wy, we, team, opponent, home, floor_at_zero, sweeps):
             attack[~np.isfinite(attack)] = 0.0
             defense = np.log(lost / total(opponent, we * np.exp(attack[team] + advantage * home)))
             defense[~np.isfinite(defense)] = 0.0
-            advantage = np.log(at_home / (we * home * np.exp(attack[team] + defense[opponent])).sum())
+            exposure = (we * home * np.exp(attack[team] + defense[opponent])).sum()
+            advantage = np.log(at_home / exposure) if exposure > 0 else 0.0  # a fit without home cells has none
             if floor_at_zero:
                 advantage = max(advantage, 0.0)
     return attack, defense, advantage
@@ -128,7 +129,8 @@ def _fit_by_joins(cells: DataFrame, keys: list, sweeps: int) -> DataFrame:
         home = cells.where("is_home = 1").join(attack, keys + ["team"]).join(defense, keys + ["opponent"]).groupBy(*keys).agg(
             F.ln(mass("wy") / F.sum(F.col("we") * F.exp(F.col("attack") + F.col("defense")))).alias("h"))
         bounded = F.when(F.col("target").isin(*RATES), F.greatest("h", F.lit(0.0))).otherwise(F.col("h"))
-        state = settle(state.drop("home_advantage").join(home, keys).withColumn("home_advantage", bounded).drop("h"))
+        state = settle(state.drop("home_advantage").join(home, keys, "left").withColumn(
+            "home_advantage", F.coalesce(bounded, F.lit(0.0))).drop("h"))
     return state
 
 
@@ -193,7 +195,7 @@ def low_score_correlation(matches: DataFrame, rates: DataFrame, xi: float = TIME
     Only scores with at most one goal a side carry information; they are summed per pair first.
     """
     keys = [c for c in ("competition", "fold") if c in rates.columns]
-    last = matches.groupBy(*keys).agg(F.max("match_date").alias("base_date"))
+    last = settle(matches.groupBy(*keys).agg(F.max("match_date").alias("base_date")))
     low = matches.where((F.col("goals_home") <= 1) & (F.col("goals_away") <= 1)).join(last, keys)
     cells = low.groupBy(*keys, "team_home", "team_away", "goals_home", "goals_away").agg(
         F.sum(decay_weight(xi)).alias("w"))

@@ -119,7 +119,7 @@ def reliability_curve(predictions: DataFrame, bins: int = 8, keys: list = MODEL)
     edges = points.join(sizes, group).select(
         *group, F.array(*[low(x) + (high(x) - low(x)) * (x - F.floor(x)) for x in at]).alias("edges"))
     return (
-        rows.join(F.broadcast(edges), group)  # one row per model and outcome, see ``MODEL``
+        rows.join(edges, group)
         .groupBy(*group, F.size(F.filter("edges", lambda e: e < F.col("p"))).cast("long").alias("bin"))
         .agg(F.count("*").alias("n"), F.avg("p").alias("mean_predicted"), F.avg("y").alias("observed"))
     )

@@ -230,16 +230,15 @@ n AS (SELECT competition, 2 * count(*) + 1 AS k FROM train_rates WHERE target =
 SELECT competition, round(ll, 4) AS poisson_log_likelihood, round(2 * k - 2 * ll, 4) AS poisson_aic, round(ll + gain, 4) AS dixon_coles_log_likelihood,
   round(2 * (k + 1) - 2 * (ll + gain), 4) AS dixon_coles_aic, round(gain, 4) AS gain FROM s JOIN n USING (competition)""", ("rho",))
 def _(spark, d):
-    import math
     _, train, _ = split_matches(spark, d)
     rates = train_rates(train)
     rho = counts.low_score_correlation(train, rates).select("competition", "rho")
-    last = train.groupBy("competition").agg(F.max("match_date").alias("base_date"))
+    last = settle(train.groupBy("competition").agg(F.max("match_date").alias("base_date")))
     cells = train.join(last, "competition").groupBy(*PAIR, "goals_home", "goals_away").agg(
         F.sum(counts.decay_weight(TIME_DECAY)).alias("w"))
     rows = counts.expected_counts(cells, rates).join(rho, "competition")
-    log_factorial = F.array(*[F.lit(math.lgamma(k + 1.0)) for k in range(41)])
-    part = lambda rate, g: -F.col(rate) + F.col(g) * F.ln(rate) - log_factorial[F.col(g)]
+    log_factorial = lambda g: F.aggregate(F.sequence(F.lit(1), F.greatest(F.col(g), F.lit(1)).cast("int")), F.lit(0.0), lambda a, k: a + F.ln(k))
+    part = lambda rate, g: -F.col(rate) + F.col(g) * F.ln(rate) - log_factorial(g)
     tau = counts.low_score_factor("goals_home", "goals_away", "expected_home", "expected_away", "rho")
     sums = rows.groupBy("competition").agg(
         F.sum(F.col("w") * (part("expected_home", "goals_home") + part("expected_away", "goals_away"))).alias("ll"),

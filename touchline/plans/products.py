@@ -81,13 +81,15 @@ def _(spark, d):
 
 
 _PRIOR = """
-f AS (SELECT p.*, CAST(unnest(range(10, 21)) AS DOUBLE) / 10 AS factor FROM predictions p),
+f AS (SELECT p.*, CAST(unnest(range(10, 21)) AS DOUBLE) / 10 AS factor FROM predictions p
+  WHERE match_id IN (SELECT match_id FROM matches WHERE season <> '2001')),
 n AS (SELECT model, factor, result, prob_home / (prob_home + factor * prob_draw + prob_away) AS h, factor * prob_draw / (prob_home + factor * prob_draw + prob_away) AS dd FROM f),
 g AS (SELECT model, factor, round(avg(((h - CAST(result = 'H' AS INT)) ** 2 + (h + dd - CAST(result IN ('H', 'D') AS INT)) ** 2) / 2), 9) AS rps FROM n GROUP BY ALL)"""
 
 
 def _factors(spark, d):
-    rows = predictions_of(settle(load_matches(spark, d)))
+    """Scores of every draw factor on the training seasons; the holdout has no say in the choice."""
+    rows = predictions_of(settle(load_matches(spark, d).where(F.col("season") != HOLDOUT_SEASON)))
     return blending.draw_prior_search(rows, tuple(round(1 + k / 10, 1) for k in range(11)))
 
 

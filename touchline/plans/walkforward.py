@@ -64,14 +64,14 @@ _score_block("track_scores", "track_forecast", "fold, season AS validation_seaso
 _score_block("arm_scores", "arm_forecast", "fold, model, xi")
 
 _FOLDS = """
-dd AS (SELECT match_date, row_number() OVER (ORDER BY match_date) - 1 AS r, count(*) OVER () AS d FROM (SELECT DISTINCT match_date FROM matches)),
+dd AS (SELECT match_date, row_number() OVER (ORDER BY match_date) - 1 AS r, count(*) OVER () AS d FROM (SELECT DISTINCT match_date FROM matches WHERE season <> '2001')),
 roles AS (SELECT match_date, k AS fold, CASE WHEN r < d - (6 - k) * (d // 6) THEN 'train' WHEN r < d - (6 - k) * (d // 6) + d // 6 THEN 'validation' END AS part
   FROM dd, (SELECT unnest([1, 2, 3, 4, 5]) AS k))"""
 
 
 @query("w11_date_folds", f"WITH {_FOLDS} SELECT match_date, CAST(fold AS BIGINT) AS fold, part FROM roles WHERE part IS NOT NULL")
 def _(spark, d):
-    return folds.date_membership(load_matches(spark, d))
+    return folds.date_membership(load_matches(spark, d).where(F.col("season") != HOLDOUT_SEASON))
 
 
 @query("w12_season_folds", """WITH s AS (SELECT season, lag(season) OVER (ORDER BY season) AS p, row_number() OVER (ORDER BY season) AS r
@@ -83,15 +83,15 @@ def _(spark, d):
 @query("j16_fold_membership", """SELECT m.match_id, r.fold, r.part FROM matches m JOIN season_roles r ON r.season = m.season""", ("matches", "season_roles"))
 def _(spark, d):
     m = settle(load_matches(spark, d))
-    return m.join(folds.season_membership(m, HOLDOUT_SEASON), "season").select("match_id", "fold", "part")
+    return m.join(settle(folds.season_membership(m, HOLDOUT_SEASON)), "season").select("match_id", "fold", "part")
 
 
 @query("v6_fold_time_order", f"""WITH {_FOLDS} SELECT CAST(fold AS BIGINT) AS fold, max(m.match_date) FILTER (part = 'train') AS last_train, min(m.match_date) FILTER (part = 'validation') AS first_validation,
   count(*) FILTER (part = 'train') AS train_rows, count(*) FILTER (part = 'validation') AS validation_rows, CAST(0 AS BIGINT) AS overlap
-FROM matches m JOIN roles USING (match_date) WHERE part IS NOT NULL GROUP BY fold""")
+FROM matches m JOIN roles USING (match_date) WHERE part IS NOT NULL AND m.season <> '2001' GROUP BY fold""")
 def _(spark, d):
-    m = settle(load_matches(spark, d))
-    return checks.check_split(m.join(folds.date_membership(m), "match_date"))
+    m = settle(load_matches(spark, d).where(F.col("season") != HOLDOUT_SEASON))
+    return checks.check_split(m.join(settle(folds.date_membership(m)), "match_date"))
 
 
 def _track(spark, d):

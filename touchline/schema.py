@@ -68,6 +68,7 @@ CLASSES = ("H", "D", "A")
 DRAW_BASE = 0.30
 DRAW_WIDTH = 200.0
 
+# Names of the features.
 FEATURE_COLUMNS = (
     [f"{side}_form5_{c}" for side in ("home", "away") for c in ("played", "wins", "draws", "losses", "goal_difference")]
     + ["h2h_played", "h2h_home_wins", "h2h_draws", "h2h_away_wins"]

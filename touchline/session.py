@@ -28,9 +28,11 @@ def build_session(app: str = "touchline", master: str | None = None, shuffle_par
 def shared_folder(spark: SparkSession) -> str:
     """The folder for cut lineage: ``spark.checkpoint.dir``, or a scratch folder on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if folder:
+        if folder.startswith("file:") and not context.master.startswith("local"):
+            raise RuntimeError(f"{folder} is a folder of one machine; set spark.checkpoint.dir to one that all executors share")
         return folder
-    context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
     if not context.master.startswith("local"):
@@ -47,4 +49,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = df.sparkSession.sparkContext._jvm  # tables go when the session ends
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)

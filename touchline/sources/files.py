@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,4 +74,4 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def fresh_ratings(ratings: DataFrame, now, days: int = 7) -> DataFrame:
     """Rating histories fetched less than ``days`` before ``now``."""
-    return ratings.where(F.col("fetched_at") > F.date_sub(F.lit(now) if not hasattr(now, "_jc") else now, days))
+    return ratings.where(F.col("fetched_at") > F.date_sub(now if isinstance(now, Column) else F.lit(now), days))

@@ -15,8 +15,14 @@ RAW_COLUMNS = {
 
 # Headers that were already lower-cased by another reader; odds carry an underscore there.
 SLUGGED_COLUMNS = {
-    (k[:-1] + "_" + k[-1] if k.startswith(("B365", "Avg", "Max")) else k).lower(): v
-    for k, v in RAW_COLUMNS.items() if k not in ("Date", "Time", "HomeTeam", "AwayTeam", "Referee")
+    "fthg": "goals_home", "ftag": "goals_away", "ftr": "result",
+    "hthg": "half_time_goals_home", "htag": "half_time_goals_away", "htr": "half_time_result",
+    "hs": "shots_home", "as": "shots_away", "hst": "shots_on_target_home", "ast": "shots_on_target_away",
+    "hc": "corners_home", "ac": "corners_away", "hy": "yellow_cards_home", "ay": "yellow_cards_away",
+    "hr": "red_cards_home", "ar": "red_cards_away",
+    "b365_h": "odds_b365_home", "b365_d": "odds_b365_draw", "b365_a": "odds_b365_away",
+    "avg_h": "odds_avg_home", "avg_d": "odds_avg_draw", "avg_a": "odds_avg_away",
+    "max_h": "odds_max_home", "max_d": "odds_max_draw", "max_a": "odds_max_away",
 }
 
 # Short team name -> canonical name.
@@ -27,7 +33,3 @@ TEAM_NAMES = {
     "Nott'm Forest": "Nottingham Forest", "Sheffield Utd": "Sheffield United", "Tottenham": "Tottenham Hotspur",
     "West Brom": "West Bromwich Albion", "West Ham": "West Ham United", "Wolves": "Wolverhampton Wanderers",
 }
-
-# Canonical name -> name in the outside rating tables, where it differs.
-RATING_CLUBS = {long: short for short, long in TEAM_NAMES.items() if long != "Sheffield United"} | {
-    "Nottingham Forest": "Forest"}
