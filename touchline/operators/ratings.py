@@ -1,11 +1,10 @@
 """Sequential team ratings with seeding of promoted teams.
 
 A rating update needs the two ratings left by every earlier match, so a competition is one long
-recurrence. Its history is cut into blocks of days: all blocks of all competitions are folded at
-once from assumed starting ratings, and a block whose start turns out to differ from the true end
-of the block before it is folded again. When no start differs, the result is exactly that of one
-pass from the first match to the last. A fold streams over sorted rows and keeps one number per
-team in memory. A competition of one block, the usual case, needs a single pass.
+recurrence. Its history is cut into blocks of days. Block k of all competitions is folded at once,
+from the ratings that block k - 1 left, and only its own rows are written: n blocks cost n folds,
+serial within a competition and parallel over competitions. A fold streams over sorted rows and
+keeps one number per team in memory. A competition of one block, the usual case, needs one pass.
 """
 
 from __future__ import annotations
@@ -102,39 +101,25 @@ def rate(matches: DataFrame, seeds: DataFrame | None = None, k: float = ELO_K, h
         events = events.unionByName(seeds.join(first, ["competition", "season"]).select(
             *BLOCK, F.lit(1).alias("kind"), "season", empty("match_date", "date"), empty("match_id", "long"), "team",
             empty("opponent", "string"), empty("result", "string"), F.col("rescaled").alias("value"), "bottom"))
-    last = blocks.groupBy("competition").agg(F.max("block").alias("last_block"))
+    last = settle(blocks.groupBy("competition").agg(F.max("block").alias("last_block")))
     passes = blocks.agg(F.max("block")).first()[0]
-    events = settle(events) if passes else events
+    events = settle(events.repartition("block")) if passes else events
 
     def fold(rows: DataFrame) -> DataFrame:
         ordered = rows.repartition(*BLOCK).sortWithinPartitions(
             *BLOCK, F.when(F.col("kind") == 0, "").otherwise(F.col("season")), "kind", "match_date", "match_id", "team")
         return settle(ordered.mapInPandas(_fold(k, home, start), _OUT))
 
-    done = fold(events)
-    starts = None
-    while passes:
-        lives = Window.partitionBy("competition", "team").orderBy("block")
-        until = F.coalesce(F.lead("block").over(lives), F.col("last_block"))
-        found = settle(
-            done.where("kind = 'end'").join(last, "competition")
-            .select("competition", "team", F.col("home_pre").alias("value"), F.col("block").alias("b"), until.alias("until"))
-            .where(F.col("until") > F.col("b"))
-            .select("competition", "team", "value", F.explode(F.sequence(F.col("b") + 1, F.col("until"))).alias("block")))
-        if starts is None:
-            changed = found.select(*BLOCK).distinct()
-        else:
-            old = starts.select(*BLOCK, "team", F.col("value").alias("old"))
-            changed = found.join(old, BLOCK + ["team"], "full").where(~F.col("value").eqNullSafe(F.col("old"))).select(*BLOCK).distinct()
-        changed = settle(changed)
-        if not changed.limit(1).count():
-            break
-        begin = found.select(*BLOCK, F.lit(0).alias("kind"), empty("season", "string"), empty("match_date", "date"),
-                             empty("match_id", "long"), "team", empty("opponent", "string"), empty("result", "string"),
-                             "value", empty("bottom", "array<string>"))
-        again = fold(events.unionByName(begin).join(changed, BLOCK, "left_semi"))
-        done = settle(done.join(changed, BLOCK, "left_anti").unionByName(again))
-        starts = found
+    if not passes:
+        return fold(events)
+    done = part = fold(events.where(F.col("block") == 0))
+    for number in range(1, passes + 1):
+        begin = part.where("kind = 'end'").join(last.where(F.col("last_block") >= number), "competition").select(
+            "competition", F.lit(number).cast("long").alias("block"), F.lit(0).alias("kind"), empty("season", "string"),
+            empty("match_date", "date"), empty("match_id", "long"), "team", empty("opponent", "string"), empty("result", "string"),
+            F.col("home_pre").alias("value"), empty("bottom", "array<string>"))
+        part = fold(events.where(F.col("block") == number).unionByName(begin))
+        done = done.unionByName(part)
     return done
 
 
