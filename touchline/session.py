@@ -41,15 +41,33 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+#: Paths of the tables that ``settle`` has written, in order.
+SETTLED: list[str] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The copy survives the loss of executors, cuts the lineage, and gives the planner true sizes,
-    so that a later join is broadcast only when the written side is really small.
+    so that a later join is broadcast only when the written side is really small. It is removed
+    when the session ends, or earlier by ``remove_settled``.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = df.sparkSession.sparkContext._jvm  # tables go when the session ends
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, files = _file_system(df.sparkSession, path)
+    files.deleteOnExit(place)
+    SETTLED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_settled(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        place, files = _file_system(spark, path)
+        files.delete(place, True)
+        SETTLED.remove(path)
