@@ -7,8 +7,7 @@
    the hash space, then rows of a slice), so a source of any size is never one sorted group.
 3. Every pass is cut into blocks of about ``block_words`` words. Quotas are exact block counts of the sources. A tree
    halves them again and again: the left child takes half of its parent's blocks, and how many come from each source
-   is drawn from the multivariate hypergeometric distribution, source by source, by inverting the distribution
-   function within 12 standard deviations. Leaves are the output shards.
+   is drawn from the multivariate hypergeometric distribution, source by source, within 12 standard deviations. Leaves are the output shards.
 4. A source's blocks, in an order drawn anew, are dealt to the shards by the running sums of the quotas, and each
    shard's documents get a random place. Shards need no exchange with each other.
 
@@ -82,21 +81,28 @@ def running_sum(rows: DataFrame, n_rows: Column) -> DataFrame:
     return placed.join(starts, ["src", "slice"]).withColumn("before", F.col("start") + F.col("within")).drop("start", "within")
 
 
-def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
-    """How many of ``drawn`` among ``total`` are of the ``marked``: inversion around the mean, for 0 <= u < 1."""
+def _hypergeometric(total: Column, marked: Column, drawn: Column, *seeds: Column) -> Column:
+    """How many of ``drawn`` among ``total`` are of the ``marked``.
+
+    One pass over the values around the mean: the logarithm of the probability follows by ratios, and the value whose
+    logarithm plus Gumbel noise is largest is a draw from the distribution. Noise is a hash of the seeds and the value.
+    """
     mean = drawn * marked / F.greatest(total, F.lit(1))
     spread = F.sqrt(F.greatest(mean * (1 - marked / F.greatest(total, F.lit(1))), F.lit(0.0))) * 12 + 12
     low = F.greatest(F.lit(0), drawn - (total - marked), F.floor(mean - spread)).cast("long")
     high = F.least(drawn, marked, F.ceil(mean + spread)).cast("long")
-    ratio = lambda k: ((marked - k + 1) * (drawn - k + 1)).cast("double") / (k * (total - marked - drawn + k))
-    logs = F.aggregate(F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>")),
-                       F.array(F.lit(0.0)), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) + F.log(ratio(k)))))
-    top = F.array_max(logs)
-    masses = F.transform(logs, lambda x: F.exp(x - top))
-    whole = F.aggregate(masses, F.lit(0.0), lambda a, x: a + x)
-    below = F.aggregate(masses, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(
-        (a["s"] + x).alias("s"), (a["n"] + F.when(a["s"] + x <= u * whole, 1).otherwise(0)).cast("long").alias("n")))["n"]
-    return F.least(low + below, high)
+
+    def step(state: Column, k: Column) -> Column:
+        ratio = ((marked - k + 1) * (drawn - k + 1)).cast("double") / (k * (total - marked - drawn + k))
+        log = F.when(state["k"].isNull(), F.lit(0.0)).otherwise(state["log"] + F.log(ratio))
+        u = (F.pmod(F.xxhash64(*seeds, k), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        noisy = log - F.log(-F.log(u))
+        better = state["k"].isNull() | (noisy > state["top"])
+        return F.struct(log.alias("log"), F.when(better, noisy).otherwise(state["top"]).alias("top"),
+                        F.when(better, k).otherwise(state["k"]).alias("k"))
+
+    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("top"), F.lit(None).cast("long").alias("k"))
+    return F.aggregate(F.sequence(low, F.greatest(low, high)), start, step)["k"]
 
 
 def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
@@ -112,10 +118,11 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
         nodes = nodes.withColumn("level", F.lit(level))
 
         def draw(state, x):
-            u = F.pmod(F.xxhash64(F.lit(seed), F.col("level"), F.col("node"), x["src"]), F.lit(1 << 52)) / float(1 << 52)
-            k = _hypergeometric(state["total"], x["blocks"], state["half"], u)
-            return F.struct((state["total"] - x["blocks"]).alias("total"), (state["half"] - k).alias("half"),
-                            F.concat(state["drawn"], F.array(k)).alias("drawn"))
+            drawn = _hypergeometric(state["total"], x["blocks"], state["half"], F.lit(seed), F.col("level"), F.col("node"), x["src"])
+            # through an array of one, so that the draw is made once
+            return F.transform(F.array(drawn), lambda k: F.struct(
+                (state["total"] - x["blocks"]).alias("total"), (state["half"] - k).alias("half"),
+                F.concat(state["drawn"], F.array(k)).alias("drawn")))[0]
 
         start = F.struct(F.col("total"), F.col("half"), F.array().cast("array<bigint>").alias("drawn"))
         drawn = settle(nodes.withColumn("drawn", F.aggregate("rest", start, draw)["drawn"]))
