@@ -4,8 +4,9 @@
    MinHash samples each, and an odd sketch: 512 parity bits in which every sample flips one. The bits in which two
    sketches differ count the samples that differ, most precisely where few do, that is for high similarities.
 2. Texts with equal sets form a class; only its smallest id goes on, so a group of copies is one row from here.
-3. Each bucket (equal band key) pairs its members with its smallest one only. Pairs whose sketches are too far apart
-   drop. Of the others each member's best pair is confirmed first; then the pairs that would still join components.
+3. Each bucket (equal band key) pairs its members with its smallest one only. Each document is first held against the
+   one that it meets in most buckets; then come the pairs that would still join components. Pairs whose sketches are
+   too far apart drop, the others are confirmed.
 4. Buckets that still hold several components compare all members inside tasks, block against block: by sketches and
    by an exact bound from the shingles that no other of these documents has. Only pairs of different components that
    pass both come out and are confirmed. No candidate is lost or capped.
@@ -179,6 +180,8 @@ def _close_pairs(limit: int, percent: int):
             table = pa.Table.from_batches(held)
             block, i, j = (table[c].to_numpy() for c in ("block", "i", "j"))
             ids, label = table["id"].to_numpy(), table["label"].to_numpy()
+            bucket = table["bucket"][0].as_py()
+            bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             size, lone = table["size"].to_numpy(), table["own"].to_numpy()
             sketch = np.stack([table[c].to_numpy().view(np.uint64) for c in _SKETCH], 1)
             left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
@@ -190,8 +193,14 @@ def _close_pairs(limit: int, percent: int):
                 least = np.maximum(whole, lone[rows][:, None] + size[right][None, :])
                 x, y = np.nonzero((apart <= limit) & (100 * most >= percent * least) & (
                     label[rows][:, None] != label[right][None, :]))
-                a, b = ids[rows[x]], ids[right[y]]
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                x, y = rows[x], right[y]
+                if i[0] == j[0]:
+                    x, y = x[ids[x] < ids[y]], y[ids[x] < ids[y]]
+                # a pair comes out of the first bucket that both share
+                shared = bands[x] == bands[y]
+                first = bands[x, shared.argmax(1)] == bucket
+                a, b = np.minimum(ids[x[first]], ids[y[first]]), np.maximum(ids[x[first]], ids[y[first]])
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
         for batch in batches:
             if not batch.num_rows:
@@ -224,14 +233,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     most = _most_bits(percent)
     leaders = settle(band_rows.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"))
     sketch = settle(heads.dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("size"), *_SKETCH))
-    stars = settle(band_rows.join(leaders, "bucket").where("a < id").select("a", F.col("id").alias("b")).distinct())
+    stars = settle(band_rows.join(leaders, "bucket").where("a < id").groupBy("a", F.col("id").alias("b")).agg(
+        F.count("*").alias("shared")))
+    held = texts.where("id is not null")
     far = sketch.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in _SKETCH])
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in _SKETCH])
-    near = settle(stars.join(sketch.withColumnRenamed("id", "b").drop("size"), "b").join(far, "a").select("a", "b", apart.alias("apart")).where(
-        F.col("apart") <= most))
-    held = texts.where("id is not null")
-    best = near.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")).select("a", "b")
-    links = _confirm(best, held, width, percent)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches are near enough to be confirmed."""
+        return settle(pairs.join(sketch.withColumnRenamed("id", "b").drop("size"), "b").join(far, "a").where(
+            apart <= most).select("a", "b"))
+
+    # of its buckets' smallest members, each document is held against the one it meets most often
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+    links = _confirm(close(best), held, width, percent)
     labels = connected_components(links)
 
     def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -240,7 +255,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left")
         return pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
-    more = settle(across(near.select("a", "b"), labels))
+    more = close(settle(across(stars.select("a", "b"), labels)))
     if not more.isEmpty():
         links = links.union(_confirm(more, held, width, percent))
         labels = connected_components(links)
@@ -251,15 +266,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     members = settle(placed.join(mixed, "bucket", "left_semi"))
     own = _own_shingles(settle(members.select("id").distinct()), held, width)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(settle(sketch.join(own, "id")), "id").withColumn(
+    dealt = members.join(settle(sketch.join(own, "id").join(
+        heads.dropDuplicates(["id"]).select("id", "bands"), "id")), "id").withColumn(
         "block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "bucket", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "size", "own", *_SKETCH)
+        "size", "own", "bands", *_SKETCH)
     together = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    last = settle(together.mapInArrow(_close_pairs(most, percent), "a long, b long").distinct())
+    last = settle(together.mapInArrow(_close_pairs(most, percent), "a long, b long"))
     known = links.select("a", "b")
-    last = last.join(near.select("a", "b"), ["a", "b"], "left_anti") if not last.isEmpty() else last
+    last = last.join(more, ["a", "b"], "left_anti") if not last.isEmpty() else last
     if not last.isEmpty():
         links = known.union(_confirm(settle(last), held, width, percent))
         labels = connected_components(links)
