@@ -37,7 +37,7 @@ from touchline.llm.suffix_arrays import common_prefixes, refine
 from touchline.session import settle
 
 LENGTH, ANCHOR = 200, 64
-SHARD_BYTES, STEP_BYTES = 8 << 20, 2 << 20
+SHARD_BYTES, STEP_BYTES = 3 << 20, 1 << 20
 RANGE_STRINGS = 1_000_000
 _WHOLE, _OPEN = 1, 2
 
