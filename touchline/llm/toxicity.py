@@ -29,6 +29,7 @@ CELLS = 1 << 19
 GRAMS = (5, 6, 7)
 LEAST_ROWS, SMOOTHING = 5, 500.0
 MAX_TRAIN = 6000
+BROADCAST_ROWS = 1_000_000
 THRESHOLD = 0.3
 SHARD_BYTES = 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -134,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     """
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     marks = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("long").alias("label"))
-    ratio, seen = log_count_ratios(texts.join(marks, "id"), "text", "label")
+    # up to BROADCAST_ROWS labels (two longs each) go to the texts; more of them meet the texts by a shuffle
+    few = marks.count() <= BROADCAST_ROWS
+    ratio, seen = log_count_ratios(texts.join(F.broadcast(marks) if few else marks, "id"), "text", "label")
     known, (n_clean, n_toxic) = seen[:-2], seen[-2:]
     prior = float(np.log((n_toxic + 0.5) / (n_clean + 0.5)))
     if not n_clean or not n_toxic:
