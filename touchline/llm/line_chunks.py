@@ -30,10 +30,14 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def with_chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, digest, text, lines, chunks): chunks have first and last (line numbers from 0)."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
         "digest", F.xxhash64("text"))
+
+
+def with_chunks(rows: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, digest, text, lines, chunks) of ``rows`` (doc_id, text, digest): chunks have first and last (line
+    numbers from 0)."""
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
     # lambdas see only their own element: an outer array would be made anew for every element
     hashed = rows.withColumn("lines", lines).withColumn("hashes", F.transform("lines", _line_hash))
@@ -44,12 +48,13 @@ def with_chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.size("lines") > 0, F.array(F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))))
     firsts = F.slice(F.concat(F.array(F.lit(0)), F.transform("ends", lambda e: e + 1)), 1, F.size("ends"))
     chunks = F.zip_with(firsts, "ends", lambda a, e: F.struct(a.alias("first"), e.alias("last")))
-    return ended.select("doc_id", "digest", "text", "lines", chunks.alias("chunks"))
+    return ended.select("doc_id", "digest", "text", "lines", chunks.alias("chunks"), *carried)
 
 
 def remove_repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kept_text, n_lines, n_chunks, n_removed (lines), n_spans (chunks removed)), one row per document."""
-    chunked = with_chunks(docs, doc_id, text)
+    rows = _rows(docs, doc_id, text)
+    chunked = with_chunks(rows)
     own = F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "\n")
     each = chunked.select("doc_id", "digest", "lines", F.explode("chunks").alias("c")).where(
         F.col("c.last") - F.col("c.first") + 1 >= LEAST_LINES).select(
@@ -71,9 +76,10 @@ def remove_repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     # a place once, however often its row is repeated
     per_doc = settle(gone.groupBy(F.col("doc_id").alias("_d"), F.col("digest").alias("_g")).agg(
         F.sort_array(F.collect_set(F.struct("first", "last"))).alias("gone")))
-    joined = chunked.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g")), "left")
+    # texts move without their lines, which are cut again behind the join
+    joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g")), "left")
     removed = F.coalesce("gone", F.array().cast("array<struct<first:int,last:int>>"))
-    out = joined.withColumn("gone", removed)
+    out = with_chunks(joined.withColumn("gone", removed).drop("_d", "_g"), "gone")
     kept = F.filter("chunks", lambda c: ~F.array_contains("gone", c))
     parts = F.transform(kept, lambda c: F.array_join(F.slice("lines", c["first"] + 1, c["last"] - c["first"] + 1), "\n"))
     return out.select(
