@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm import language_model, line_chunks, mixing, near_duplicates, repeats, topk, toxicity
+from touchline.llm import language_model, licenses, line_chunks, mixing, near_duplicates, repeats, topk, toxicity
 from touchline.llm.decontamination import contamination_digest, find_contamination, remove_contaminated
 from touchline.llm.licenses import scan_licenses
 from touchline.llm.suffix_arrays import common_prefixes, refine
@@ -179,6 +179,36 @@ def test_license_places_and_labels(spark, odd_docs):
     assert all(got[i].n_words == len(alnum(t)) for i, t in rows_of(odd_docs))
 
 
+def test_licenses_of_files_with_several_notices(spark, odd_docs):
+    text = {label: words for label, words, _ in licenses.NOTICES}
+    rare = " obtaining redistribution universal mozilla domain granted "
+    made = [text["bsd"] + " x " + text["gpl-3"], text["apache-2"] + " y " + text["cc-by-nc"] + " z " + text["gpl-3"],
+            rare + "long file " * 50 + text["lgpl"] + rare, " and ".join(words for _, words, _ in licenses.NOTICES),
+            text["mpl-2"] + " " + text["mpl-2"], "gnu general public license version 3", rare]
+    docs = odd_docs.union(spark.createDataFrame([(50 + k, x, "l", 0, 0) for k, x in enumerate(made)], odd_docs.schema))
+    data = [(i, alnum(x)) for i, x in rows_of(docs)]
+    df = Counter(w for _, words in data for w in set(words))
+    idf = {w: 0.1 if w in licenses.FUNCTION_WORDS else np.log((len(data) + 1) / (df[w] + 1)) + 1
+           for _, notice, _ in licenses.NOTICES for w in notice.split()}
+
+    def plain(words):
+        found = []
+        for label, notice, key in licenses.NOTICES:
+            wanted, whole = notice.split(), sum(idf[w] for w in notice.split())
+            low = notice[:notice.index(key)].count(" ")
+            high = low + len(key.split())
+            for offset in range(-len(wanted), len(words)):
+                there = [0 <= offset + j < len(words) and words[offset + j] == w for j, w in enumerate(wanted)]
+                share = sum(idf[w] for w, x in zip(wanted, there) if x) / whole
+                if all(there[low:high]) and share >= licenses.LEAST_SHARE:
+                    found.append((label, offset, round(share, 6)))
+        return found
+
+    got = [(r.doc_id, [(n.label, n.start, round(n.share, 6)) for n in r.notices]) for r in scan_licenses(docs).collect()]
+    assert ordered((i, sorted(x)) for i, x in got) == ordered((i, sorted(plain(words))) for i, words in data)
+    assert {label for label, *_ in dict(got)[50]} == {"bsd", "gpl-3"} and len(dict(got)[53]) >= len(licenses.NOTICES)
+
+
 def test_contamination(spark, odd_docs):
     base = rows_of(odd_docs)[0][1].split()  # its first 19 words stand at its end, too
     items = spark.createDataFrame([(7, " ".join(base[20:45])), (8, "two three"), (9, ""), (None, base[0]), (10, None),

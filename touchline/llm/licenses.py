@@ -1,10 +1,11 @@
 """License scan with a positional rare-token index, in DataFrame operations only.
 
 Files keep only their licence words, with positions. The index maps each licence word to the places where notices hold
-it. A file's rarest licence words (highest inverse document frequency over all files, function words excluded) are
-looked up; each posting votes for a notice at an offset. Files with a vote have all their licence words aligned: the
-score of (notice, offset) is the share of the notice's weight found at the right relative positions, and the notice's
-key phrase must stand there word for word. Base phrases are found as consecutive words.
+it. The rarest word of each notice's key phrase (highest inverse document frequency over all files, function words
+excluded) is its anchor: each place of an anchor in a file votes for the notice at an offset. Files with a vote have
+all their licence words aligned: the score of (notice, offset) is the share of the notice's weight found at the right
+relative positions, and the notice's key phrase must stand there word for word. A notice without its anchor lacks its
+key phrase, so no vote misses one, however many notices a file holds. Base phrases are found as consecutive words.
 
 Postings are a constant of this module. Votes and alignments are sums by (file, notice, offset), so neither a very
 long file nor a notice in a third of all files makes a hot group.
@@ -44,7 +45,7 @@ NOTICES = [
 ]
 #: Words that say nothing by themselves.
 FUNCTION_WORDS = {"a", "and", "any", "are", "by", "in", "is", "of", "or", "the", "this", "to", "under", "use", "with"}
-RAREST, LEAST_SHARE = 4, 0.6
+LEAST_SHARE = 0.6
 
 _WORDS = sorted({w for text in [*BASE, *(n[1] for n in NOTICES)] for w in text.split()})
 
@@ -86,6 +87,17 @@ def postings(spark) -> DataFrame:
     return spark.createDataFrame(rows, "w string, notice int, j int, label string, in_key boolean")
 
 
+def _anchors(idf: dict[str, float]) -> list[tuple[str, int, int]]:
+    """(w, notice, j): the rarest content word of each notice's key phrase, and its place in the notice."""
+    rows = []
+    for t, (_, text, key) in enumerate(NOTICES):
+        words, wanted = text.split(), key.split()
+        start = next(i for i in range(len(words)) if words[i:i + len(wanted)] == wanted)
+        k = min((k for k, w in enumerate(wanted) if w not in FUNCTION_WORDS), key=lambda k: (-idf[wanted[k]], wanted[k], k))
+        rows.append((wanted[k], t, start + k))
+    return rows
+
+
 def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, base_places, base_labels, notices): ``notices`` lists (label, start, share) of the found ones."""
     spark = docs.sparkSession
@@ -98,16 +110,12 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     seen = {r.w: r.df for r in present.groupBy("w").agg(F.count("*").alias("df")).collect()}  # a row for each licence word
     idf = {w: math.log((n + 1) / (seen.get(w, 0) + 1)) + 1 for w in content} | {w: 0.1 for w in FUNCTION_WORDS}
     weight = F.create_map(*[F.lit(x) for w in _WORDS for x in (w, idf[w])])
-    order = {w: k for k, w in enumerate(sorted(content, key=lambda w: (-idf[w], w)))}
-    rank = F.create_map(*[F.lit(x) for w in content for x in (w, order[w])])
-    rarest = F.slice(F.array_sort(F.transform(F.filter(F.array_distinct(F.transform("hits", lambda h: h["w"])),
-                                                       lambda w: w.isin(content)), lambda w: rank[w])), 1, RAREST)
-    chosen = files.where(F.size("hits") > 0).withColumn("rarest", rarest).where(F.size("rarest") > 0)
-    looked = chosen.select("id", "rarest", F.explode("hits").alias("h")).where(F.col("h.w").isin(content)).where(
-        F.array_contains("rarest", rank[F.col("h.w")])).select("id", F.col("h.p").alias("p"), F.col("h.w").alias("w"))
-    votes = looked.join(F.broadcast(index), "w").groupBy("id", "notice", (F.col("p") - F.col("j")).alias("offset")).agg(
-        F.count("*").alias("votes"))
-    voted = settle(votes.select("id", "notice", "offset"))
+    anchors = _anchors(idf)
+    anchored = F.filter("hits", lambda h: h["w"].isin([w for w, *_ in anchors]))
+    looked = files.select("id", F.explode(anchored).alias("h")).select("id", F.col("h.p").alias("p"), F.col("h.w").alias("w"))
+    places = F.broadcast(spark.createDataFrame(anchors, "w string, notice int, j int"))
+    votes = looked.join(places, "w").select("id", "notice", (F.col("p") - F.col("j")).alias("offset"))
+    voted = settle(votes)  # a place once: a notice has one anchor
     of_file = files.join(voted.select("id").distinct(), "id", "left_semi").select("id", F.explode("hits").alias("h"))
     aligned = of_file.select("id", F.col("h.p").alias("p"), F.col("h.w").alias("w")).join(F.broadcast(index), "w").groupBy(
         "id", "notice", "label", (F.col("p") - F.col("j")).alias("offset")).agg(
