@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.probability import PROBS, normalize, row_scores
+from touchline.operators.blending import simple_average
 from touchline.schema import CLASSES, FEATURE_COLUMNS, SEED
 from touchline.session import settle
 
+#: Fits in flight at once: their jobs are small and fill the cluster together.
+SIDE_BY_SIDE = 8
 RATING_COLUMNS = ["home_elo_pre", "away_elo_pre", "elo_gap_pre"]
 COLUMNS = list(FEATURE_COLUMNS) + RATING_COLUMNS
 
@@ -43,12 +49,35 @@ def classifiers(rows: int, columns: list = COLUMNS, trees: int = 350, rounds: in
     return {"logistic_regression": [logistic], "random_forest": [forest], "boosted_trees": boosted}
 
 
-def fit(train: DataFrame, estimators: list, columns: list = COLUMNS) -> tuple:
-    """Fitted preparation and models; preparation learns from ``train`` only."""
+def together(jobs: list[Callable]) -> list:
+    """Results of the jobs, in order, run side by side."""
+    wrap = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
+
+
+def prepared(train: DataFrame, columns: list = COLUMNS) -> tuple:
+    """Fitted preparation and the prepared rows; it learns from ``train`` only."""
     flagged = train.withColumns({f"is_{c}": (F.col("result") == c).cast("double") for c in CLASSES})
     prepare = Pipeline(stages=_prepare(columns)).fit(flagged)
-    ready = settle(prepare.transform(flagged).select("match_id", "result", "label", "features", *[f"is_{c}" for c in CLASSES]))
-    return prepare, [e.fit(ready) for e in estimators]
+    return prepare, settle(prepare.transform(flagged).select("match_id", "result", "label", "features", *[f"is_{c}" for c in CLASSES]))
+
+
+def fit(train: DataFrame, estimators: list, columns: list = COLUMNS) -> tuple:
+    """Fitted preparation and models."""
+    prepare, ready = prepared(train, columns)
+    return prepare, together([partial(e.fit, ready) for e in estimators])
+
+
+def fit_folds(placed: DataFrame, models: dict, folds: list, columns: list = COLUMNS) -> dict:
+    """{(fold, name): fitted}; each fold is prepared once, and all fits run side by side."""
+    train = {k: placed.where((F.col("fold") == k) & (F.col("part") == "train")) for k in folds}
+    ready = dict(zip(folds, together([partial(prepared, train[k], columns) for k in folds])))
+    wanted = [(k, name, e) for k in folds for name, estimators in models.items() for e in estimators]
+    made: dict = {}
+    for (k, name, _), model in zip(wanted, together([partial(e.fit, ready[k][1]) for k, _, e in wanted])):
+        made.setdefault((k, name), (ready[k][0], []))[1].append(model)
+    return made
 
 
 def forecast(fitted: tuple, rows: DataFrame, keep: list) -> DataFrame:
@@ -70,11 +99,9 @@ def forward_forecasts(table: DataFrame, roles: DataFrame, key: str, models: dict
     placed = settle(table.join(roles, key))
     keep = ["match_id", "season", "match_date", "result", "fold"]
     parts = []
-    for fold in folds:
-        train = placed.where((F.col("fold") == fold) & (F.col("part") == "train"))
+    for (fold, name), fitted in fit_folds(placed, models, folds, columns).items():
         validation = placed.where((F.col("fold") == fold) & (F.col("part") == "validation"))
-        for name, estimators in models.items():
-            parts.append(forecast(fit(train, estimators, columns), validation, keep).withColumn("model", F.lit(name)))
+        parts.append(forecast(fitted, validation, keep).withColumn("model", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -115,10 +142,25 @@ def calibrate(scores: DataFrame, rows: DataFrame, method: str) -> DataFrame:
             model = IsotonicRegression(featuresCol="x", labelCol="y").fit(scores.select(F.col(p).alias("x"), y.alias("y")))
             new = model.transform(out.withColumn("x", F.col(p))).withColumn("c", F.greatest("prediction", F.lit(1e-6))).drop("x", "prediction")
         else:
-            pack = VectorAssembler(inputCols=["x"], outputCol="features")
-            ready = pack.transform(scores.select(F.ln(p).alias("x"), y.alias("label")))
+            pack, x = VectorAssembler(inputCols=["x"], outputCol="features"), F.ln(F.greatest(F.col(p), F.lit(1e-6)))  # a forest can give 0
+            ready = pack.transform(scores.select(x.alias("x"), y.alias("label")))
             model = LogisticRegression().fit(ready)
-            new = model.transform(pack.transform(out.withColumn("x", F.ln(p)))).withColumn(
+            new = model.transform(pack.transform(out.withColumn("x", x))).withColumn(
                 "c", vector_to_array("probability")[1]).drop("x", "features", "rawPrediction", "probability", "prediction")
         out = new.withColumn(p, F.col("c")).drop("c")
     return normalize(out)
+
+
+def calibrated_forecasts(train: DataFrame, roles: DataFrame, rows: DataFrame, models: dict, folds: list, methods: tuple, keep: list) -> DataFrame:
+    """Forecasts of ``rows`` by every model and method: each inner fold's model is calibrated on its own validation rows,
+    and the calibrated models are averaged."""
+    placed = settle(train.join(roles, "match_date"))
+    parts = {}
+    for (fold, name), fitted in fit_folds(placed, models, folds).items():
+        scores = settle(forecast(fitted, placed.where((F.col("fold") == fold) & (F.col("part") == "validation")), ["result"]))
+        raw = settle(forecast(fitted, rows, keep))
+        for method in methods:
+            parts.setdefault((name, method), []).append(calibrate(scores, raw, method))
+    return reduce(DataFrame.unionByName, [
+        simple_average(reduce(DataFrame.unionByName, own), keep).withColumns({"model": F.lit(name), "method": F.lit(method)})
+        for (name, method), own in parts.items()])

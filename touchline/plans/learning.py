@@ -1,12 +1,13 @@
 """Classifier queries.
 
-Fits with many trees are slow on a laptop; these queries use fewer trees and rounds than the
-operators' defaults, over all rows.
+All models with the operators' default trees and rounds, over all rows and folds; the fits of a query run side by side.
 """
 
+from functools import partial, reduce
+from itertools import product
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from touchline.functions.probability import PROBS, row_scores
 from touchline.operators import blending, counts, folds, grids, learning as ml, ratings, walkforward as wf
@@ -20,7 +21,8 @@ from touchline.session import settle
 from touchline.sources import files
 from touchline.sources.derived import HOLDOUT_SEASON, load_matches
 
-TREES, ROUNDS = 20, 5
+#: Inner date folds of a calibrated model.
+INNER_SPLITS = 3
 KEEP = ["match_id", "season", "result"]
 
 
@@ -37,7 +39,7 @@ def _split(table):
 
 
 def _models(train, *names, columns=ml.COLUMNS):
-    every = ml.classifiers(train.count(), columns, TREES, ROUNDS)
+    every = ml.classifiers(train.count(), columns)
     return {n: every[n] for n in names or every}
 
 
@@ -70,21 +72,21 @@ def _date_folds(spark, d, *names):
 
 @query("m20_date_fold_cv")
 def _(spark, d):
-    *_, rows = _date_folds(spark, d, "logistic_regression", "random_forest")
+    *_, rows = _date_folds(spark, d)
     scores = model_metrics(rows, ["model", "fold"])
     return rounded(folds.summarize_folds(scores, ["log_loss", "accuracy", "rps"]).orderBy("log_loss_mean", "model"), 6)
 
 
 @query("k3_best_cv_model")
 def _(spark, d):
-    *_, rows = _date_folds(spark, d, "logistic_regression", "random_forest")
+    *_, rows = _date_folds(spark, d)
     best = folds.summarize_folds(model_metrics(rows, ["model", "fold"]), ["log_loss"]).orderBy("log_loss_mean", "model").limit(1)
     return rounded(best, 6)
 
 
 @query("v4_v11_classifier_checks")
 def _(spark, d):
-    train, _, rows = _date_folds(spark, d, "logistic_regression")
+    train, _, rows = _date_folds(spark, d)
     ml.assert_out_of_fold(rows, train.join(folds.date_membership(train), "match_date"))
     total = F.col("prob_home") + F.col("prob_draw") + F.col("prob_away")
     return rows.groupBy("fold", "model").agg(F.count("*").alias("n"), F.sum((F.abs(total - 1) > 1e-6).cast("long")).alias("bad_sum"))
@@ -95,43 +97,45 @@ def _(spark, d):
     _, table = _table(spark, d)
     roles = folds.season_membership(table, "none", 4)  # no holdout: the last fold is the holdout season, report only
     n = folds.season_folds(table, "none", 4).count()
-    rows = ml.forward_forecasts(table, roles, "season", _models(table, "logistic_regression"), list(range(1, n + 1)))
+    rows = ml.forward_forecasts(table, roles, "season", _models(table), list(range(1, n + 1)))
     return rounded(model_metrics(rows, ["model", "fold"]).join(draw_report(rows, ["model", "fold"]), ["model", "fold"]), 6)
 
 
 @query("m24_j11_expected_goal_features")
 def _(spark, d):
-    """Out-of-fold expected goals of the goal model as extra inputs, against the same forest without."""
+    """Out-of-fold expected goals of the goal model as extra inputs, against the same forest without, on every fold.
+
+    The low-score term leaves both means of a grid as they are, so it adds no inputs of its own."""
     m, table = _table(spark, d)
-    roles = settle(folds.season_membership(m, HOLDOUT_SEASON))
+    roles = settle(folds.season_membership(m, "none"))  # no holdout: the last fold is the holdout season, report only
     rates = wf.fold_rates(m, roles, ("goals",))
     validation = m.join(roles.where("part = 'validation'").select("season", "fold"), "season")
     expected = counts.expected_counts(validation.select("match_id", "fold", *wf.PAIR), rates).select("match_id", "expected_home", "expected_away")
     covered = settle(table.join(expected, "match_id"))  # only matches with an out-of-fold expectation
-    last = folds.season_folds(m, HOLDOUT_SEASON).agg(F.max("validation_season")).first()[0]
-    train, check = covered.where(F.col("season") < last), covered.where(F.col("season") == last)
+    inner = folds.season_membership(covered, "none", 1)
+    n = folds.season_folds(covered, "none", 1).count()
     parts = []
     for name, columns in (("random_forest", ml.COLUMNS), ("random_forest_expected_goals", ml.COLUMNS + ["expected_home", "expected_away"])):
-        fitted = ml.fit(train, _models(train, "random_forest", columns=columns)["random_forest"], columns)
-        parts.append(ml.forecast(fitted, check, KEEP).withColumn("model", F.lit(name)))
-    return rounded(model_metrics(parts[0].unionByName(parts[1])), 6)
+        forest = _models(covered, "random_forest", columns=columns)["random_forest"]
+        parts.append(ml.forward_forecasts(covered, inner, "season", {name: forest}, list(range(1, n + 1)), columns))
+    return rounded(model_metrics(parts[0].unionByName(parts[1]), ["model", "fold"]), 6)
 
 
-def base_forecasts(spark, d):
+def base_forecasts(spark, d, holdout=HOLDOUT_SEASON):
     """Out-of-fold forecasts of all base models on the season folds, labels by match."""
     m, table = _table(spark, d)
-    roles = settle(folds.season_membership(m, HOLDOUT_SEASON))
-    fold_list = [r[0] for r in roles.select("fold").distinct().orderBy("fold").collect()]  # one number per fold
+    roles = settle(folds.season_membership(m, holdout))
+    fold_list = _fold_numbers(roles)
     columns = ["match_id", "season", "result", "fold", "model", *PROBS]
-    goals = wf.walk_forward(m, HOLDOUT_SEASON, {"poisson": ("goals",), "shots_on_target": wf.VARIANTS["shots_on_target"]})
+    goals = wf.walk_forward(m, holdout, {"poisson": ("goals",), "shots_on_target": wf.VARIANTS["shots_on_target"]})
     rates = wf.fold_rates(m, roles, ("goals",))
     train = m.join(roles.where("part = 'train'").select("season", "fold"), "season")
     rho = counts.low_score_correlation(train, rates).select("competition", "fold", "rho")
     validation = m.join(roles.where("part = 'validation'").select("season", "fold"), "season")
     low = grids.outcome_probabilities(counts.expected_counts(validation, rates).join(rho, ["competition", "fold"])).withColumn("model", F.lit("dixon_coles"))
-    elo = ratings.rating_probabilities(ratings.rate(m.where(F.col("season") != HOLDOUT_SEASON)).where("kind = 'match'")).join(
+    elo = ratings.rating_probabilities(ratings.rate(m.where(F.col("season") != holdout)).where("kind = 'match'")).join(
         roles.where("part = 'validation'").select("season", "fold"), "season").withColumn("model", F.lit("elo"))
-    learned = ml.forward_forecasts(table, roles, "season", _models(table, "logistic_regression", "random_forest", "boosted_trees"), fold_list)
+    learned = ml.forward_forecasts(table, roles, "season", _models(table), fold_list)
     rows = goals.select(*columns)
     for part in (low, elo, learned):
         rows = rows.unionByName(part.select(*columns))
@@ -146,81 +150,113 @@ def _(spark, d):
     return rounded(base_forecasts(spark, d), 6)
 
 
-def _blend(spark, d):
-    """Meta-learner trained on the first validation season's base forecasts, applied to the later ones."""
-    rows = base_forecasts(spark, d)
+def _blend(spark, d, holdout=HOLDOUT_SEASON):
+    """Base forecasts, and one row per match with all of them as inputs."""
+    rows = base_forecasts(spark, d, holdout)
     wide = blending.meta_features(rows, BASE)
     columns = [c for c in wide.columns if c != "match_id"]
     labels = rows.select("match_id", "season", "result", "fold").distinct()
     table = settle(wide.join(labels, "match_id").withColumn("label", F.when(F.col("result") == "H", 0.0).when(F.col("result") == "D", 1.0).otherwise(2.0)))
-    train = table.where("fold = 1")
-    fitted = ml.fit(train, ml.classifiers(train.count())["logistic_regression"], columns)
-    return rows, table, columns, fitted
+    return rows, table, columns
+
+
+def _meta_fit(train, columns):
+    return ml.fit(train, ml.classifiers(train.count())["logistic_regression"], columns)
+
+
+def _scored_blend(rows, table, columns, fold_list, keys):
+    """Scores of the base models, their average and the meta-learner, which learns from the folds before each."""
+    keep = [*KEEP, "fold"]
+    fitted = ml.together([partial(_meta_fit, table.where(F.col("fold") < k), columns) for k in fold_list])
+    meta = reduce(DataFrame.unionByName, [ml.forecast(f, table.where(F.col("fold") == k), keep) for k, f in zip(fold_list, fitted)])
+    seen = rows.where(F.col("fold").isin(fold_list)).select(*keep, "model", *PROBS)
+    mean = blending.simple_average(seen, keep)
+    for name, part in (("meta_learner", meta), ("simple_average", mean)):
+        seen = seen.unionByName(part.withColumn("model", F.lit(name)).select(*keep, "model", *PROBS))
+    return rounded(model_metrics(seen, keys), 6)
+
+
+def _fold_numbers(table):
+    return [r[0] for r in table.select("fold").distinct().orderBy("fold").collect()]  # one number per fold
 
 
 @query("m27_meta_learner")
 def _(spark, d):
-    rows, table, _, fitted = _blend(spark, d)
-    later = table.where("fold > 1")
-    meta = ml.forecast(fitted, later, KEEP).withColumn("model", F.lit("meta_learner"))
-    seen = rows.where("fold > 1").select(*KEEP, "model", *PROBS)
-    mean = blending.simple_average(seen, KEEP).withColumn("model", F.lit("simple_average"))
-    return rounded(model_metrics(seen.unionByName(meta.select(*seen.columns)).unionByName(mean.select(*seen.columns))), 6)
+    """Second-level walk-forward: every fold but the first is scored."""
+    rows, table, columns = _blend(spark, d)
+    return _scored_blend(rows, table, columns, _fold_numbers(table)[1:], ["model", "fold"])
 
 
 @query("m27_meta_coefficients")
 def _(spark, d):
-    _, _, columns, fitted = _blend(spark, d)
-    return rounded(ml.coefficient_table(fitted[1][0], columns), 6)
+    """Coefficients of the meta-learner fitted on all out-of-fold forecasts."""
+    _, table, columns = _blend(spark, d)
+    return rounded(ml.coefficient_table(_meta_fit(table, columns)[1][0], columns), 6)
 
 
 @query("m28_calibration")
 def _(spark, d):
-    """Raw, sigmoid and isotonic forecasts of one classifier, calibrated on the last date fold of training."""
-    train, holdout, rows = _date_folds(spark, d, "logistic_regression")
-    raw = settle(ml.forecast(ml.fit(train, _models(train, "logistic_regression")["logistic_regression"]), holdout, KEEP))
-    parts = raw.withColumn("model", F.lit("raw"))
-    for method in ("sigmoid", "isotonic"):
-        inner = [ml.calibrate(rows.where(F.col("fold") == k).select("result", *PROBS), raw, method) for k in (3, 4, 5)]
-        mean = blending.simple_average(inner[0].unionByName(inner[1]).unionByName(inner[2]), KEEP)
-        parts = parts.unionByName(mean.withColumn("model", F.lit(method)).select(*parts.columns))
-    return rounded(model_metrics(parts), 6)
+    """Raw, sigmoid and isotonic forecasts of every classifier, on all date folds and on the holdout; calibrated forecasts
+    come from refits on inner date folds."""
+    train, holdout, raw = _date_folds(spark, d)
+    placed = settle(train.join(folds.date_membership(train), "match_date"))
+    outer = [("oof", placed.where((F.col("fold") == k) & (F.col("part") == "train")).drop("fold", "part"),
+              placed.where((F.col("fold") == k) & (F.col("part") == "validation"))) for k in range(1, DATE_SPLITS + 1)]
+    outer.append(("holdout", train, holdout))
+    columns = [*KEEP, "model", "method", "split", *PROBS]
+    rows = raw.withColumns({"method": F.lit("raw"), "split": F.lit("oof")}).select(*columns)
+    for name, fitted in ml.fit_folds(train.withColumns({"fold": F.lit(0), "part": F.lit("train")}), _models(train), [0]).items():
+        rows = rows.unionByName(ml.forecast(fitted, holdout, KEEP).withColumns(
+            {"model": F.lit(name[1]), "method": F.lit("raw"), "split": F.lit("holdout")}).select(*columns))
+    for split, past, check in outer:
+        inner = folds.date_membership(past, INNER_SPLITS)
+        made = ml.calibrated_forecasts(past, inner, check, _models(past), list(range(1, INNER_SPLITS + 1)), ("sigmoid", "isotonic"), KEEP)
+        rows = rows.unionByName(settle(made).withColumn("split", F.lit(split)).select(*columns))
+    return rounded(model_metrics(settle(rows), ["model", "method", "split"]), 6)
+
+
+def parameter_grids(rows):
+    """{model: (estimators, choices)}; a choice is a tuple of (parameter, value), set on every estimator of the model."""
+    every = ml.classifiers(rows)
+    spaces = {"logistic_regression": {"regParam": [0.001, 0.01, 0.1]},
+              "random_forest": {"numTrees": [250, 400], "maxDepth": [6, 10, 30], "minInstancesPerNode": [3, 8]},  # 30: no deeper in Spark
+              "boosted_trees": {"maxIter": [200, 350, 500], "stepSize": [0.02, 0.05, 0.1], "maxDepth": [2, 3, 5]}}
+    return {name: (every[name], [tuple(zip(space, values)) for values in product(*space.values())]) for name, space in spaces.items()}
 
 
 @query("m30_parameter_grid")
 def _(spark, d):
-    """Mean RPS of each parameter choice over forward date folds."""
+    """Mean RPS of each parameter choice of each model over forward date folds."""
     _, table = _table(spark, d)
     train, _ = _split(table)
     placed = settle(train.join(folds.date_membership(train), "match_date"))
-    base = ml.classifiers(train.count())["logistic_regression"][0]
-    choices = ParamGridBuilder().addGrid(base.regParam, [0.001, 0.01, 0.1]).build()
-    found = []
-    for fold in range(1, DATE_SPLITS + 1):
-        prepare, models = ml.fit(placed.where((F.col("fold") == fold) & (F.col("part") == "train")), [base.copy(c) for c in choices])
-        check = prepare.transform(placed.where((F.col("fold") == fold) & (F.col("part") == "validation")))
-        for choice, model in zip(choices, models):
-            found.append((float(choice[base.regParam]), fold, ml.RankedProbabilityEvaluator().evaluate(model.transform(check))))
-    scores = spark.createDataFrame(found, "reg_param double, fold long, rps double")  # one row per fold and choice
-    return rounded(scores.groupBy("reg_param").agg(F.avg("rps").alias("rps_mean"), F.stddev_samp("rps").alias("rps_std")).orderBy("rps_mean"), 6)
+    models = {}
+    for name, (estimators, choices) in parameter_grids(train.count()).items():
+        for choice in choices:
+            label = f"{name}|" + ",".join(f"{p}={v}" for p, v in choice)
+            models[label] = [e.copy({e.getParam(p): v for p, v in choice}) for e in estimators]
+    scores = None
+    for fold in range(1, DATE_SPLITS + 1):  # one fold's models are held at a time
+        check = placed.where((F.col("fold") == fold) & (F.col("part") == "validation"))
+
+        def scored(label, fitted, check=check, fold=fold):
+            return label, fold, row_scores(ml.forecast(fitted, check, ["result"])).agg(F.avg("rps")).first()[0]
+
+        fitted = ml.fit_folds(placed, models, [fold])
+        own = spark.createDataFrame(ml.together([partial(scored, label, f) for (_, label), f in fitted.items()]),
+                                    "label string, fold long, rps double")  # one row per choice
+        scores = own if scores is None else scores.unionByName(own)
+    parts = F.split("label", r"\|")
+    return rounded(scores.groupBy(parts[0].alias("model"), parts[1].alias("parameters")).agg(
+        F.avg("rps").alias("rps_mean"), F.stddev_samp("rps").alias("rps_std")).orderBy("rps_mean", "model", "parameters"), 6)
 
 
 @query("m41_blend_on_holdout")
 def _(spark, d):
-    """Base models refitted on all training seasons, scored on the holdout with their average."""
-    m, table = _table(spark, d)
-    train, holdout = _split(table)
-    mt, mh = m.where(F.col("season") != HOLDOUT_SEASON), m.where(F.col("season") == HOLDOUT_SEASON)
-    rates = settle(counts.fit_rates(counts.fit_cells(counts.day_cells(mt))))
-    columns = [*KEEP, "model", *PROBS]
-    poisson = grids.outcome_probabilities(counts.expected_counts(mh, rates)).withColumn("model", F.lit("poisson")).select(*columns)
-    elo = ratings.rating_probabilities(holdout, "home_elo_pre", "away_elo_pre").withColumn("model", F.lit("elo")).select(*columns)
-    rows = poisson.unionByName(elo)
-    for name, estimators in _models(train, "logistic_regression", "random_forest").items():
-        rows = rows.unionByName(ml.forecast(ml.fit(train, estimators), holdout, KEEP).withColumn("model", F.lit(name)).select(*columns))
-    rows = settle(rows)
-    mean = blending.simple_average(rows, KEEP).withColumn("model", F.lit("simple_average")).select(*columns)
-    return rounded(model_metrics(rows.unionByName(mean)), 6)
+    """Base models refitted on all training seasons, scored on the holdout with their average and the meta-learner, which
+    learns from the out-of-fold forecasts of the training seasons."""
+    rows, table, columns = _blend(spark, d, "none")  # no holdout: the last fold is the holdout season
+    return _scored_blend(rows, table, columns, _fold_numbers(table)[-1:], ["model"])
 
 
 @query("m39_fixture_forecasts")
