@@ -161,6 +161,20 @@ def test_mix_meets_targets(odd_docs):
     assert mixing.mixed_documents(odd_docs).count() == sum(drawn.values())
 
 
+def test_mixed_documents_lie_in_shards(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(5 + i % 7)), "abc"[i % 3]) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, draws = mixing.mix(docs, block_words=20)
+    drawn = sorted(draws.collect(), key=lambda r: (r["shard"], r["place"]))
+    assert [r.doc_id for r in mixing.mixed_documents(docs, block_words=20).collect()] == [r["doc_id"] for r in drawn]
+    block = {r["doc_id"]: r["before"] // 20 for r in taken.collect()}
+    per = {(r["src"], r["shard"], r["pass"], block[r["doc_id"]]) for r in drawn}
+    got = Counter((src, shard) for src, shard, *_ in per)
+    totals = Counter(src for src, *_ in per)
+    quotas = mixing.split_quotas(spark.createDataFrame(list(totals.items()), "src int, blocks long"), mixing.SHARD_LEVELS, 7)
+    assert got == Counter({(r.src, r.shard): r.quota for r in quotas.collect() if r.quota})
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = spark.createDataFrame([(0, 1000), (1, 3), (2, 250)], "src int, blocks long")
     got = mixing.split_quotas(quotas, 3, 11).groupBy("src").agg(F.sum("quota").alias("n"), F.min("quota").alias("low")).collect()

@@ -170,17 +170,18 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix draws them, with the columns of ``docs``."""
+    """The rows of ``docs`` as often as the mix draws them, with the columns of ``docs``, shard by shard and in the order of
+    their places; a partition is a stretch of that order, so a shard is not bound to one task."""
     taken, draws = mix(docs, doc_id=doc_id, text=text, source=source, **options)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = {n: names[docs.columns.index(n)] for n in (doc_id, text, source)}
     rows = docs.toDF(*names).withColumn("_g", F.md5(F.coalesce(F.col(at[text]), F.lit("")).cast("binary")))
     key = [at[doc_id], "_g", at[source]]
-    drawn = draws.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_h"), F.col("source").alias("_s"))
+    drawn = draws.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_h"), F.col("source").alias("_s"), "shard", "place")
     if not taken.groupBy("doc_id", "digest", "source").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(key)  # repeated rows are drawn one by one; each draw finds the one row that is left
     same = F.col(key[0]).eqNullSafe(F.col("_d")) & (F.col("_g") == F.col("_h")) & F.col(key[2]).eqNullSafe(F.col("_s"))
-    return rows.join(drawn, same).select(*names).toDF(*docs.columns)
+    return rows.join(drawn, same).orderBy("shard", "place", "_s").select(*names).toDF(*docs.columns)
 
 
 def mixed_digest(docs: DataFrame) -> DataFrame:
