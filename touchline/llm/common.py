@@ -7,6 +7,7 @@ found and hashed for a whole shard of documents at once, never one row at a time
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,22 +93,25 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> tuple
     return begins, finishes, rows
 
 
-_POWERS: list[np.ndarray] = []
+#: Bytes hashed at a time, and so the size of the only table that a worker keeps.
+PIECE = 1 << 17
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        made = []
-        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-            row, ones = np.ones(1, np.uint64), base
-            while len(row) < size:
-                row = np.concatenate([row, row * np.uint64(ones)])
-                ones = ones * ones & _MASK
-            made.append(row)
-        _POWERS[:] = made
-    return _POWERS[0][:n], _POWERS[1][:n]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base modulo 2**64, and of its inverse."""
+    made = []
+    for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+        row, ones = np.ones(1, np.uint64), base
+        while len(row) < n:
+            row = np.concatenate([row, row * np.uint64(ones)])
+            ones = ones * ones & _MASK
+        made.append(row[:n].copy())
+    return made[0], made[1]
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(PIECE + 1)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -123,12 +127,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 
 
-def word_hashes(data: np.ndarray, begins: np.ndarray, finishes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word from running sums of byte values times powers; equal words have equal hashes."""
-    if not len(begins):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
+def _running(data: np.ndarray) -> np.ndarray:
+    """Sums of byte values times powers before each byte of at most PIECE bytes, and after the last."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * power[:len(data)], out=total[1:])
-    value = (total[finishes] - total[begins]) * inverse[begins]
+    np.cumsum(BYTE_VALUES[data] * _powers()[0][:len(data)], out=total[1:])
+    return total
+
+
+def _long_word(data: np.ndarray) -> np.uint64:
+    """What ``_running`` gives for a whole word of any length, piece by piece."""
+    got = sum(int(_running(data[k:k + PIECE])[-1]) * pow(_ODD, k, 1 << 64) for k in range(0, len(data), PIECE))
+    return np.uint64(got & _MASK)
+
+
+def word_hashes(data: np.ndarray, begins: np.ndarray, finishes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word from running sums of byte values times powers; equal words have equal hashes.
+
+    Words are in order and do not overlap. They are taken in runs that lie within PIECE bytes, so memory beside the
+    result does not grow with the text.
+    """
+    value = np.zeros(len(begins), np.uint64)
+    inverse, i = _powers()[1], 0
+    while i < len(begins):
+        first = int(begins[i])
+        j = int(np.searchsorted(finishes, first + PIECE, side="right"))
+        if j <= i:  # a word longer than a piece
+            value[i] = _long_word(data[first:int(finishes[i])])
+            i += 1
+            continue
+        total = _running(data[first:int(finishes[j - 1])])
+        b, e = begins[i:j] - first, finishes[i:j] - first
+        value[i:j] = (total[e] - total[b]) * inverse[b]
+        i = j
     return mix64(value + (finishes - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_pieces(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of consecutive pieces of a shard of about ``limit`` bytes.
+
+    A text is cut only at a byte outside words, so a long text comes in several pieces that repeat its row and a word
+    longer than ``limit`` stays whole.
+    """
+    begin, row, end = 0, 0, int(offsets[-1])
+    if not end:
+        yield 0, data[:0], np.zeros(len(offsets), np.int64)
+        return
+    while begin < end:
+        finish = min(begin + limit, end)
+        while finish < end and kept[data[finish]]:
+            ahead = np.flatnonzero(~kept[data[finish:finish + limit]])
+            finish = finish + int(ahead[0]) if len(ahead) else min(finish + limit, end)
+        last = int(np.searchsorted(offsets, finish, side="left"))  # rows row .. last - 1 have bytes in the piece
+        yield row, data[begin:finish], np.clip(offsets[row:last + 1], begin, finish) - begin
+        row = last if offsets[last] == finish else last - 1
+        begin = finish

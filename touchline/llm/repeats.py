@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import BYTE_VALUES, _powers, mix64, read_table, shards, text_bytes
+from touchline.llm.common import BYTE_VALUES, mix64, powers, read_table, shards, text_bytes
 from touchline.llm.registry import query
 from touchline.llm.suffix_arrays import common_prefixes, refine
 from touchline.session import settle
@@ -48,7 +48,7 @@ class Runs:
     def __init__(self, texts: pa.Array, length: int):
         self.data, self.offsets = text_bytes(texts)
         n = len(self.data)
-        power, inverse = _powers(n + 1)
+        power, inverse = powers(n + 1)
         self.total = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE_VALUES[self.data] * power[:n], out=self.total[1:])
         self.inverse, self.length = inverse, length
@@ -178,7 +178,7 @@ def _solve_shard(length: int):
             both[:-1] |= shared[1:]
             again = np.zeros(len(symbols), bool)
             again[order] = both
-            power, inverse = _powers(len(flat) + 1)
+            power, inverse = powers(len(flat) + 1)
             total = np.zeros(len(flat) + 1, np.uint64)
             np.cumsum(BYTE_VALUES[flat] * power[:len(flat)], out=total[1:])
             flat_begin = np.cumsum(sizes) - sizes
