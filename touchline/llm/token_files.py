@@ -40,7 +40,7 @@ from touchline.session import settle, shared_folder
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 FILE_BYTES = 24 << 20  # of text
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 KEPT_PIECES = 2_000_000
 NULL_ID = -(1 << 63)
 

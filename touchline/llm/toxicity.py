@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import LOWER_BYTES, SPACED, mix64, read_table, shards, text_bytes
+from touchline.llm.common import LOWER_BYTES, SPACED, mix64, read_table, shards, text_bytes, word_pieces
 from touchline.llm.registry import query
 from touchline.session import settle
 
@@ -31,16 +31,16 @@ LEAST_ROWS, SMOOTHING = 5, 500.0
 MAX_TRAIN = 6000
 BROADCAST_ROWS = 1_000_000
 THRESHOLD = 0.3
-SHARD_BYTES = 4 << 20
+#: Text bytes whose n-grams are held at a time; longer texts come in pieces that end between words.
+SHARD_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cell, row) of the n-grams of all rows, in order of rows and repeated as they occur.
 
     Every run of white space (and each end of a text) is one mark; n-grams may begin or end at a mark but not cross it.
     """
-    data, offsets = text_bytes(texts)
     n_rows = len(offsets) - 1
     low = LOWER_BYTES[data]
     # a mark before each text and after the last; runs of white space shrink to one mark
@@ -73,11 +73,21 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(cells), np.concatenate(rows)
 
 
+def feature_pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, cells, row of each cell) of pieces; no n-gram crosses white space, so none is lost at a cut."""
+    for first, data, offsets in word_pieces(*text_bytes(texts), SPACED, SHARD_BYTES):
+        yield first, len(offsets) - 1, *features(data, offsets)
+
+
 def distinct_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(cell, row), each pair once, sorted by row."""
-    cells, rows = features(texts)
-    pair = np.unique(rows.astype(np.int64) * CELLS + cells)
-    return (pair % CELLS).astype(np.int32), (pair // CELLS).astype(np.int32)
+    held = np.zeros(0, np.int64)
+    for first, _, cells, rows in feature_pieces(texts):
+        pair = (rows.astype(np.int64) + first) * CELLS + cells
+        pair = np.concatenate([held, pair]) if len(held) else pair
+        pair.sort()
+        held = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+    return (held % CELLS).astype(np.int32), (held // CELLS).astype(np.int32)
 
 
 @dataclass
@@ -86,18 +96,24 @@ class Model:
     intercept: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        n = len(texts)
-        cells, rows = features(texts)
-        order = np.argsort(rows, kind="stable")  # few distinct runs: n-gram orders follow each other
-        cells, rows = cells[order], rows[order]
-        edges = np.searchsorted(rows, np.arange(n + 1))
-        seen = np.zeros(CELLS, np.int32)
-        out = np.zeros(n)
-        for i in range(n):
-            own = cells[edges[i]:edges[i + 1]]
-            place = np.arange(len(own), dtype=np.int32)
-            seen[own] = place
-            out[i] = self.weights[own[seen[own] == place]].sum(dtype=float)  # one of each cell
+        out, seen = np.zeros(len(texts)), np.zeros(CELLS, np.int32)
+        open_row, used = -1, np.zeros(CELLS, bool)  # cells of the row that a piece broke off in
+        for first, n, cells, rows in feature_pieces(texts):
+            order = np.argsort(rows, kind="stable")  # few distinct runs: n-gram orders follow each other
+            cells, rows = cells[order], rows[order]
+            edges = np.searchsorted(rows, np.arange(n + 1))
+            for i in range(n):
+                own = cells[edges[i]:edges[i + 1]]
+                place = np.arange(len(own), dtype=np.int32)
+                seen[own] = place
+                own = own[seen[own] == place]  # one of each cell
+                if first + i == open_row:
+                    own = own[~used[own]]
+                out[first + i] += self.weights[own].sum(dtype=float)
+            if n:
+                if first + n - 1 != open_row:
+                    open_row, used = first + n - 1, np.zeros(CELLS, bool)
+                used[own] = True
         return 1 / (1 + np.exp(-np.clip(out + self.intercept, -500, 500)))
 
 
