@@ -30,7 +30,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -45,10 +48,10 @@ from touchline.llm.registry import query
 from touchline.session import settle
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SHARD_BYTES = 4 << 20
-RUN_BYTES = 256 << 10
+SHARD_BYTES = 1 << 20
+RUN_BYTES = 128 << 10
 #: Chunks that a task keeps encoded; beyond that it starts anew.
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 300_000
 #: Strings joined at a time for a digest.
 _JOINED = 1 << 16
 
@@ -93,28 +96,32 @@ def refined_ends(begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[
     return np.where(coarse, end, ends), end[last][wrong]
 
 
+@lru_cache(maxsize=1)
+def _tokenizers(byte_path: str, piece_path: str) -> tuple:
+    """Both tokenizers and the decoded bytes of their ids; loaded once a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(byte_path), SentencePieceProcessor(model_file=piece_path)
+    a.encode_special_tokens = True
+    with open(byte_path, encoding="utf-8") as file:
+        entries = json.load(file)
+    vocabulary = entries["model"]["vocab"] | {t["content"]: t["id"] for t in entries["added_tokens"]}
+    letters, decoded = _byte_of_letter(), [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        decoded[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+    pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+    if any("▁" in p.lstrip("▁") for p in pieces):
+        raise ValueError("B has pieces that reach over a space; texts cannot be cut there")
+    return a, b, _Bytes(decoded), _Bytes([bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+
+
 class Pair:
-    """The two tokenizers and the chunks that they have encoded."""
+    """The two tokenizers and the chunks that they have encoded for a task."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
-        from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=piece_path)
-        with open(byte_path, encoding="utf-8") as file:
-            entries = json.load(file)
-        vocabulary = entries["model"]["vocab"] | {t["content"]: t["id"] for t in entries["added_tokens"]}
-        letters, decoded = _byte_of_letter(), [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            decoded[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self.a_bytes = _Bytes(decoded)
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("B has pieces that reach over a space; texts cannot be cut there")
-        self.b_bytes = _Bytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.a, self.b, self.a_bytes, self.b_bytes = _tokenizers(byte_path, piece_path)
         self.forget()
 
     def forget(self) -> None:
@@ -126,14 +133,15 @@ class Pair:
     def _encode_run(self, data: np.ndarray, text: str) -> tuple:
         """Ids and byte ends in ``data`` (a space, then ``text``) of both sides, and bytes where one does not give its own back."""
         got = self.a.encode(" " + text, add_special_tokens=False)
-        a_ids, spans = np.array(got.ids, np.int64), np.array(got.offsets, np.int64).reshape(-1, 2)
-        places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # bytes of the characters
-        spans = places[spans]
+        a_ids = np.array(got.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
+        if spans[-1, 1] != len(data):  # characters of several bytes
+            spans = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[spans]
         a_ends, a_wrong = refined_ends(spans[:, 0], spans[:, 1], self.a_bytes.size[a_ids])
-        proto = [(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces]
-        b_ids, begin, end = np.array(proto, np.int64).reshape(-1, 3).T
-        begin, end = begin + 1, end + 1
-        begin[0] = 0  # the space that B adds has no place in the text
+        pieces = self.b.encode(text, return_type="proto").pieces
+        b_ids = np.array([p.id for p in pieces], np.int64)
+        end = np.array([p.end for p in pieces], np.int64) + 1  # the space that B adds has no place in the text
+        begin = np.concatenate([[0], end[:-1]])  # spans follow each other
         b_ends, b_wrong = refined_ends(begin, end, self.b_bytes.size[b_ids])
         wrong = np.concatenate([a_wrong, b_wrong])
         if not len(wrong):
@@ -245,9 +253,19 @@ def cut_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndar
     return chunks, np.searchsorted(offsets, begins, side="right") - 1
 
 
-_DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-_BLOCK = (f"block long, docs array<struct<{_DOC.replace(' ', ':').replace(',:', ',')},chunks:array<int>>>, chunk_ends array<int>, "
-          "chunk_pairs array<int>, pairs array<long>, counts array<long>")
+_BLOCK = ("block long, docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,n_chunks:int>>, "
+          "chunks binary, chunk_sizes binary, chunk_pairs binary, pairs array<long>, counts array<long>")
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of a block in 16 or 32 bits, compressed; ``unpacked`` reads them."""
+    kind = np.uint16 if not len(values) or values.max() < 1 << 16 else np.uint32
+    return struct.pack("<BQ", np.dtype(kind).itemsize, len(values)) + pa.compress(values.astype(kind).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BQ", data)
+    return np.frombuffer(pa.decompress(data[9:], n * width, "zstd", asbytes=True), f"<u{width}").astype(np.int64)
 
 
 def _block(table: pa.Table, pair: Pair, number: int) -> pa.RecordBatch:
@@ -279,16 +297,16 @@ def _block(table: pa.Table, pair: Pair, number: int) -> pa.RecordBatch:
             digest.update(b";" if k > a else b"")
             digest.update(joined)
         digests.append(digest.hexdigest() if b > a else "")
-    lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(local.astype(np.int32)))
-    docs = pa.StructArray.from_arrays([table["doc_id"].combine_chunks(), *(pa.array(sums[:, j]) for j in range(4)), pa.array(digests, pa.string()), lists],
-                                      ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "chunks"])
+    docs = pa.StructArray.from_arrays([table["doc_id"].combine_chunks(), *(pa.array(sums[:, j]) for j in range(4)), pa.array(digests, pa.string()),
+                                       pa.array(np.diff(edges).astype(np.int32))],
+                                      ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_chunks"])
 
     def one(values: pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
     return pa.RecordBatch.from_arrays(
-        [pa.array([number]), one(docs), one(pa.array(np.cumsum(many).astype(np.int32))), one(pa.array(place.astype(np.int32))),
-         one(pa.array(distinct)), one(pa.array(times))], ["block", "docs", "chunk_ends", "chunk_pairs", "pairs", "counts"])
+        [pa.array([number]), one(docs), *(pa.array([packed(v)], pa.binary()) for v in (local, many, place)), one(pa.array(distinct)), one(pa.array(times))],
+        ["block", "docs", "chunks", "chunk_sizes", "chunk_pairs", "pairs", "counts"])
 
 
 def aligned_blocks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", byte_path: str | None = None,
@@ -327,13 +345,12 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place, count, best = (np.asarray(answers.field(f).to_numpy(zero_copy_only=False)) for f in ("place", "count", "best"))
             of_pair = np.zeros((2, len(place)), np.int64)
             of_pair[:, place] = best, count
-            ends, links = flat("chunk_ends").to_numpy(), flat("chunk_pairs").to_numpy()
+            chunks, sizes, links = (unpacked(batch.column(c)[i].as_py()) for c in ("chunks", "chunk_sizes", "chunk_pairs"))
             until = np.concatenate([[[0], [0]], np.cumsum(of_pair[:, links], 1)], 1)
-            of_chunk = until[:, ends] - until[:, np.concatenate([[0], ends[:-1]]).astype(np.int64)]
-            lists = docs.field("chunks")
-            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            until = np.concatenate([[[0], [0]], np.cumsum(of_chunk[:, lists.flatten().to_numpy()], 1)], 1)
-            edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            ends = np.cumsum(sizes)
+            of_chunk = until[:, ends] - until[:, ends - sizes]
+            until = np.concatenate([[[0], [0]], np.cumsum(of_chunk[:, chunks], 1)], 1)
+            edge = np.concatenate([[0], np.cumsum(docs.field("n_chunks").to_numpy(zero_copy_only=False).astype(np.int64))])
             sums = until[:, edge[1:]] - until[:, edge[:-1]]
             yield pa.RecordBatch.from_arrays([*(docs.field(f) for f in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), pa.array(sums[0]), pa.array(sums[1]),
                                               docs.field("groups_sha256")], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
