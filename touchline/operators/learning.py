@@ -1,28 +1,31 @@
-"""Classifiers over the feature table: pipelines, forward folds, stacking, calibration, tuning."""
+"""Classifiers over the feature table: forward folds, forecasts, stacking, calibration, tuning.
+
+All fits of a query are made together: logistic regressions advance in one job a step, trees grow in one job, a task for
+each fit (``logistic``, ``trees``). Every model forecasts in the same single pass over the rows of its fold.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial, reduce
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.probability import PROBS, normalize, row_scores
+from touchline.operators import calibration, logistic, trees as grown
 from touchline.operators.blending import simple_average
-from touchline.schema import CLASSES, FEATURE_COLUMNS, SEED
+from touchline.operators.logistic import Logistic
+from touchline.operators.trees import Boosted, Forest
+from touchline.schema import CLASSES, FEATURE_COLUMNS
 from touchline.session import settle
 
-#: Fits in flight at once: their jobs are small and fill the cluster together.
-SIDE_BY_SIDE = 8
 RATING_COLUMNS = ["home_elo_pre", "away_elo_pre", "elo_gap_pre"]
 COLUMNS = list(FEATURE_COLUMNS) + RATING_COLUMNS
 
@@ -41,68 +44,71 @@ def _prepare(columns: list) -> list:
             StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
 
 
-def classifiers(rows: int, columns: list = COLUMNS, trees: int = 350, rounds: int = 200) -> dict:
-    """Named lists of estimators; a list of three is one-vs-rest over home, draw, away."""
-    logistic = LogisticRegression(family="multinomial", regParam=1.0 / max(rows, 1), maxIter=100)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=8, minInstancesPerNode=6, featureSubsetStrategy="sqrt", seed=SEED)
-    boosted = [GBTClassifier(labelCol=f"is_{c}", maxIter=rounds, maxDepth=2, stepSize=0.02, seed=SEED) for c in CLASSES]
-    return {"logistic_regression": [logistic], "random_forest": [forest], "boosted_trees": boosted}
+def classifiers(trees: int = 350, rounds: int = 200) -> dict:
+    """The models by name, with their default sizes."""
+    return {"logistic_regression": Logistic(), "random_forest": Forest(trees=trees), "boosted_trees": Boosted(rounds=rounds)}
 
 
-def together(jobs: list[Callable]) -> list:
-    """Results of the jobs, in order, run side by side."""
-    wrap = inheritable_thread_target(SparkSession.active())
-    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
+def prepared(train: DataFrame, columns: list = COLUMNS):
+    """A fitted preparation (medians, one vector, standardised) that can be stored; it learns from ``train`` only."""
+    return Pipeline(stages=_prepare(columns)).fit(train)
 
 
-def prepared(train: DataFrame, columns: list = COLUMNS) -> tuple:
-    """Fitted preparation and the prepared rows; it learns from ``train`` only."""
-    flagged = train.withColumns({f"is_{c}": (F.col("result") == c).cast("double") for c in CLASSES})
-    prepare = Pipeline(stages=_prepare(columns)).fit(flagged)
-    return prepare, settle(prepare.transform(flagged).select("match_id", "result", "label", "features", *[f"is_{c}" for c in CLASSES]))
+def fit_folds(placed: DataFrame, models: dict, folds: list, columns: list = COLUMNS) -> dict:
+    """{(fold, name): fitted} of every model on the rows of each fold whose ``part`` is train."""
+    curves = {n: m for n, m in models.items() if isinstance(m, Logistic)}
+    tree_models = {n: m for n, m in models.items() if n not in curves}
+    made = logistic.fit_many(placed, curves, folds, columns) if curves else {}
+    return made | (grown.fit_many(placed, tree_models, folds, columns) if tree_models else {})
 
 
-def fit(train: DataFrame, estimators: list, columns: list = COLUMNS) -> tuple:
-    """Fitted preparation and models."""
-    prepare, ready = prepared(train, columns)
-    return prepare, together([partial(e.fit, ready) for e in estimators])
+def fit(train: DataFrame, models: dict, columns: list = COLUMNS) -> dict:
+    """Models fitted on all rows of ``train``, as fold 0."""
+    return fit_folds(train.drop("fold", "part").withColumns({"fold": F.lit(0), "part": F.lit("train")}), models, [0], columns)
 
 
-def fit_folds(placed: DataFrame, models: dict, folds: list, columns: list = COLUMNS) -> dict:
-    """{(fold, name): fitted}; each fold is prepared once, and all fits run side by side."""
-    train = {k: placed.where((F.col("fold") == k) & (F.col("part") == "train")) for k in folds}
-    ready = dict(zip(folds, together([partial(prepared, train[k], columns) for k in folds])))
-    wanted = [(k, name, e) for k in folds for name, estimators in models.items() for e in estimators]
-    made: dict = {}
-    for (k, name, _), model in zip(wanted, together([partial(e.fit, ready[k][1]) for k, _, e in wanted])):
-        made.setdefault((k, name), (ready[k][0], []))[1].append(model)
-    return made
-
-
-def forecast(fitted: tuple, rows: DataFrame, keep: list) -> DataFrame:
-    """Probabilities of the fitted classifier for every row."""
-    prepare, models = fitted
-    ready = prepare.transform(rows)
-    if len(models) == 1:
-        out = models[0].transform(ready).withColumn("p", vector_to_array("probability"))
-        columns = {p: F.col("p")[i] for i, p in enumerate(PROBS)}
-        return out.select(*keep, *[c.alias(n) for n, c in columns.items()])
-    out = ready.select(*keep, "features")
-    for model, name in zip(models, PROBS):
-        out = model.transform(out).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-    return normalize(out.drop("features"))
+def scored(rows: DataFrame, columns: list, keep: list, schema: str, score) -> DataFrame:
+    """One pass over ``rows`` (with a ``fold``): ``score(fold, batch of keep columns, inputs)`` gives the columns of ``schema``."""
+    held = rows.select(*keep, F.col("fold").cast("long").alias("_fold"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("_fold").to_numpy()
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, len(columns))
+            own = batch.select(keep)
+            for fold in np.unique(of).tolist():
+                yield from score(fold, own.filter(pa.array(of == fold)), x[of == fold])
+
+    return held.mapInArrow(run, schema)
+
+
+def forecasts(fitted: dict, rows: DataFrame, keep: list, columns: list = COLUMNS) -> DataFrame:
+    """Probabilities of every row by every model of its fold: ``keep``, model, and one column a class."""
+    shared = rows.sparkSession.sparkContext.broadcast(fitted)  # numbers of the fitted models, bounded by their sizes
+
+    def score(fold: int, own: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for (k, name), model in shared.value.items():
+            if k == fold:
+                p = model.probabilities(x)
+                out = own.append_column("model", pa.array([name] * len(x), pa.string()))
+                for j, column in enumerate(PROBS):
+                    out = out.append_column(column, pa.array(p[:, j].copy()))
+                yield out
+
+    schema = ", ".join([rows.select(*keep).schema.toDDL(), "model string", *[f"{p} double" for p in PROBS]])
+    return scored(rows, columns, keep, schema, score)
+
+
+def forecast(fitted: dict, rows: DataFrame, keep: list, columns: list = COLUMNS) -> DataFrame:
+    """Forecasts of models fitted by ``fit``."""
+    return forecasts(fitted, rows.drop("fold").withColumn("fold", F.lit(0)), keep, columns)
 
 
 def forward_forecasts(table: DataFrame, roles: DataFrame, key: str, models: dict, folds: list, columns: list = COLUMNS) -> DataFrame:
     """Out-of-fold forecasts of every model; ``roles`` gives (key, fold, part) and each fold trains on its past."""
     placed = settle(table.join(roles, key))
-    keep = ["match_id", "season", "match_date", "result", "fold"]
-    parts = []
-    for (fold, name), fitted in fit_folds(placed, models, folds, columns).items():
-        validation = placed.where((F.col("fold") == fold) & (F.col("part") == "validation"))
-        parts.append(forecast(fitted, validation, keep).withColumn("model", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts)
+    fitted = fit_folds(placed, models, folds, columns)
+    return forecasts(fitted, placed.where(F.col("part") == "validation"), ["match_id", "season", "match_date", "result", "fold"], columns)
 
 
 def assert_out_of_fold(forecasts: DataFrame, placed: DataFrame) -> None:
@@ -125,42 +131,74 @@ class RankedProbabilityEvaluator(Evaluator):
         return False
 
 
-def coefficient_table(model, columns: list) -> DataFrame:
-    """Coefficients of a multinomial model, one row per class and input."""
-    from pyspark.sql import SparkSession
-    matrix = model.coefficientMatrix
-    rows = [(CLASSES[i], c, float(matrix[i, j])) for i in range(matrix.numRows) for j, c in enumerate(columns)]
-    return SparkSession.getActiveSession().createDataFrame(rows, "class string, input string, coefficient double")
+def coefficient_table(model: logistic.Logit, columns: list, spark: SparkSession) -> DataFrame:
+    """Coefficients of a multinomial model on standardised inputs, one row per class and input."""
+    rows = [(c, name, float(model.weights[i, j])) for i, c in enumerate(CLASSES) for j, name in enumerate(columns)]
+    return spark.createDataFrame(rows, "class string, input string, coefficient double")
+
+
+def gradient_table(fitted: dict, spark: SparkSession) -> DataFrame:
+    """(fold, model, rows, steps, gradient) of every logistic fit: how near its score equations are to 0."""
+    rows = [(k, name, m.rows, m.steps, m.gradient) for (k, name), m in fitted.items() if isinstance(m, logistic.Logit)]
+    return spark.createDataFrame(rows, "fold long, model string, rows long, steps int, gradient double")
 
 
-def calibrate(scores: DataFrame, rows: DataFrame, method: str) -> DataFrame:
-    """Refit each class probability on held-out ``scores`` and apply it to ``rows``, renormalised."""
-    out = rows
-    for c, p in zip(CLASSES, PROBS):
-        y = (F.col("result") == c).cast("double")
+def _long(rows: DataFrame, keep: list) -> DataFrame:
+    """A row for each class, with its probability as ``x`` and its group (fold, model, class)."""
+    parts = F.array(*[F.struct(F.lit(c).alias("class"), F.col(p).alias("x")) for c, p in zip(CLASSES, PROBS)])
+    return rows.select(*keep, "fold", "model", F.inline(parts)).withColumn("group", F.concat_ws("|", "fold", "model", "class"))
+
+
+def calibrated(scores: DataFrame, rows: DataFrame, keep: list, methods: tuple = ("sigmoid", "isotonic")) -> DataFrame:
+    """Each class probability of ``rows`` refitted on the held-out ``scores`` of the same fold and model, renormalised.
+
+    All folds, models and classes are fitted side by side; one row for each row, fold, model and method comes out."""
+    known = settle(_long(scores, ["result"]).select("group", "x", (F.col("result") == F.col("class")).cast("int").alias("y")))
+    asked = settle(_long(rows, keep))
+    log = F.ln(F.greatest("x", F.lit(1e-6)))  # a forest can give 0
+    parts = []
+    for method in methods:
         if method == "isotonic":
-            model = IsotonicRegression(featuresCol="x", labelCol="y").fit(scores.select(F.col(p).alias("x"), y.alias("y")))
-            new = model.transform(out.withColumn("x", F.col(p))).withColumn("c", F.greatest("prediction", F.lit(1e-6))).drop("x", "prediction")
+            got = calibration.apply_isotonic(asked, calibration.fit_isotonic(known), "x", "c")
         else:
-            pack, x = VectorAssembler(inputCols=["x"], outputCol="features"), F.ln(F.greatest(F.col(p), F.lit(1e-6)))  # a forest can give 0
-            ready = pack.transform(scores.select(x.alias("x"), y.alias("label")))
-            model = LogisticRegression().fit(ready)
-            new = model.transform(pack.transform(out.withColumn("x", x))).withColumn(
-                "c", vector_to_array("probability")[1]).drop("x", "features", "rawPrediction", "probability", "prediction")
-        out = new.withColumn(p, F.col("c")).drop("c")
-    return normalize(out)
-
-
-def calibrated_forecasts(train: DataFrame, roles: DataFrame, rows: DataFrame, models: dict, folds: list, methods: tuple, keep: list) -> DataFrame:
-    """Forecasts of ``rows`` by every model and method: each inner fold's model is calibrated on its own validation rows,
-    and the calibrated models are averaged."""
-    placed = settle(train.join(roles, "match_date"))
-    parts = {}
-    for (fold, name), fitted in fit_folds(placed, models, folds).items():
-        scores = settle(forecast(fitted, placed.where((F.col("fold") == fold) & (F.col("part") == "validation")), ["result"]))
-        raw = settle(forecast(fitted, rows, keep))
-        for method in methods:
-            parts.setdefault((name, method), []).append(calibrate(scores, raw, method))
-    return reduce(DataFrame.unionByName, [
-        simple_average(reduce(DataFrame.unionByName, own), keep).withColumns({"model": F.lit(name), "method": F.lit(method)})
-        for (name, method), own in parts.items()])
+            got = calibration.apply_sigmoid(asked.withColumn("_log", log), calibration.fit_sigmoid(known.withColumn("x", log)), "_log", "c").drop("_log")
+        parts.append(got.withColumns({"method": F.lit(method), "c": F.greatest("c", F.lit(1e-6))}))
+    wide = reduce(DataFrame.unionByName, parts).groupBy(*keep, "fold", "model", "method").agg(
+        *[F.max(F.when(F.col("class") == c, F.col("c"))).alias(p) for c, p in zip(CLASSES, PROBS)])
+    return normalize(wide)
+
+
+def calibrated_forecasts(placed: DataFrame, check: DataFrame, models: dict, folds: list, keep: list) -> DataFrame:
+    """Forecasts of ``check`` by every model and method. A split has several inner folds (``fold`` // 100 is the split): each
+    one's model is calibrated on its own validation rows, and the calibrated models of a split are averaged. ``check`` has its
+    rows once for each inner fold."""
+    fitted = fit_folds(placed, models, folds)
+    scores = settle(forecasts(fitted, placed.where(F.col("part") == "validation"), ["result", "fold"]))
+    raw = settle(forecasts(fitted, check, [*keep, "fold"]))
+    each = calibrated(scores, raw, keep).withColumn("split", F.floor(F.col("fold") / 100))
+    return simple_average(each, [*keep, "split", "model", "method"])
+
+
+def staged_scores(fitted: dict, rows: DataFrame, stages: dict, columns: list = COLUMNS) -> DataFrame:
+    """(fold, label, rps, n): mean RPS of every choice. ``stages`` gives {model: (sizes, depths, label of (size, depth))}; the
+    sizes and depths of a model are read from its one fit, in one pass over the rows of its fold."""
+    shared = rows.sparkSession.sparkContext.broadcast((fitted, stages))
+
+    def score(fold: int, own: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        result = own.column("result").to_numpy(zero_copy_only=False)
+        first, second = (result == CLASSES[0]).astype(float), np.isin(result, CLASSES[:2]).astype(float)
+        fits, ways = shared.value
+        for (k, name), model in fits.items():
+            if k != fold:
+                continue
+            if name in ways:
+                sizes, depths, labels = ways[name]
+                made = {labels[key]: p for key, p in model.stages(x, sizes, depths).items()}
+            else:
+                made = {name: model.probabilities(x)}
+            sums = [(((p[:, 0] - first) ** 2 + (p[:, 0] + p[:, 1] - second) ** 2) / 2).sum() for p in made.values()]
+            yield pa.RecordBatch.from_pydict({"fold": pa.array([fold] * len(made), pa.int64()), "label": list(made), "total": sums,
+                                              "n": pa.array([len(x)] * len(made), pa.int64())})
+
+    parts = scored(rows, columns, ["result"], "fold long, label string, total double, n long", score)
+    return parts.groupBy("fold", "label").agg((F.sum("total") / F.sum("n")).alias("rps"), F.sum("n").alias("n"))

@@ -1,18 +1,20 @@
 """Classifier queries.
 
-All models with the operators' default trees and rounds, over all rows and folds; the fits of a query run side by side.
+All models with the operators' default trees and rounds, over all folds; the fits of a query run side by side.
 """
 
-from functools import partial, reduce
+from functools import reduce
 from itertools import product
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from touchline.functions.probability import PROBS, row_scores
+from touchline.functions.probability import PROBS
 from touchline.operators import blending, counts, folds, grids, learning as ml, ratings, walkforward as wf
 from touchline.operators.features import generate_features
+from touchline.operators.logistic import Logistic
 from touchline.operators.metrics import draw_report, model_metrics
+from touchline.operators.trees import Boosted, Forest
 from touchline.plans.metrics import rounded
 from touchline.plans.ratings import rated_matches
 from touchline.plans.registry import query
@@ -38,14 +40,14 @@ def _split(table):
     return table.where(F.col("season") != HOLDOUT_SEASON), table.where(F.col("season") == HOLDOUT_SEASON)
 
 
-def _models(train, *names, columns=ml.COLUMNS):
-    every = ml.classifiers(train.count(), columns)
+def _models(*names):
+    every = ml.classifiers()
     return {n: every[n] for n in names or every}
 
 
 def _holdout(spark, d, name):
     train, holdout = _split(_table(spark, d)[1])
-    return rounded(ml.forecast(ml.fit(train, _models(train, name)[name]), holdout, KEEP), 6)
+    return rounded(ml.forecast(ml.fit(train, _models(name)), holdout, KEEP).drop("model"), 6)
 
 
 @query("m17_logistic_regression")
@@ -67,7 +69,7 @@ def _date_folds(spark, d, *names):
     _, table = _table(spark, d)
     train, holdout = _split(table)
     roles = folds.date_membership(train)
-    return train, holdout, settle(ml.forward_forecasts(train, roles, "match_date", _models(train, *names), list(range(1, DATE_SPLITS + 1))))
+    return train, holdout, settle(ml.forward_forecasts(train, roles, "match_date", _models(*names), list(range(1, DATE_SPLITS + 1))))
 
 
 @query("m20_date_fold_cv")
@@ -97,7 +99,7 @@ def _(spark, d):
     _, table = _table(spark, d)
     roles = folds.season_membership(table, "none", 4)  # no holdout: the last fold is the holdout season, report only
     n = folds.season_folds(table, "none", 4).count()
-    rows = ml.forward_forecasts(table, roles, "season", _models(table), list(range(1, n + 1)))
+    rows = ml.forward_forecasts(table, roles, "season", _models(), list(range(1, n + 1)))
     return rounded(model_metrics(rows, ["model", "fold"]).join(draw_report(rows, ["model", "fold"]), ["model", "fold"]), 6)
 
 
@@ -116,7 +118,7 @@ def _(spark, d):
     n = folds.season_folds(covered, "none", 1).count()
     parts = []
     for name, columns in (("random_forest", ml.COLUMNS), ("random_forest_expected_goals", ml.COLUMNS + ["expected_home", "expected_away"])):
-        forest = _models(covered, "random_forest", columns=columns)["random_forest"]
+        forest = _models("random_forest")["random_forest"]
         parts.append(ml.forward_forecasts(covered, inner, "season", {name: forest}, list(range(1, n + 1)), columns))
     return rounded(model_metrics(parts[0].unionByName(parts[1]), ["model", "fold"]), 6)
 
@@ -135,7 +137,7 @@ def base_forecasts(spark, d, holdout=HOLDOUT_SEASON):
     low = grids.outcome_probabilities(counts.expected_counts(validation, rates).join(rho, ["competition", "fold"])).withColumn("model", F.lit("dixon_coles"))
     elo = ratings.rating_probabilities(ratings.rate(m.where(F.col("season") != holdout)).where("kind = 'match'")).join(
         roles.where("part = 'validation'").select("season", "fold"), "season").withColumn("model", F.lit("elo"))
-    learned = ml.forward_forecasts(table, roles, "season", _models(table), fold_list)
+    learned = ml.forward_forecasts(table, roles, "season", _models(), fold_list)
     rows = goals.select(*columns)
     for part in (low, elo, learned):
         rows = rows.unionByName(part.select(*columns))
@@ -160,19 +162,18 @@ def _blend(spark, d, holdout=HOLDOUT_SEASON):
     return rows, table, columns
 
 
-def _meta_fit(train, columns):
-    return ml.fit(train, ml.classifiers(train.count())["logistic_regression"], columns)
-
-
 def _scored_blend(rows, table, columns, fold_list, keys):
     """Scores of the base models, their average and the meta-learner, which learns from the folds before each."""
     keep = [*KEEP, "fold"]
-    fitted = ml.together([partial(_meta_fit, table.where(F.col("fold") < k), columns) for k in fold_list])
-    meta = reduce(DataFrame.unionByName, [ml.forecast(f, table.where(F.col("fold") == k), keep) for k, f in zip(fold_list, fitted)])
+    later = F.explode(F.sequence(F.col("fold") + 1, F.lit(max(fold_list))))  # the folds that a row trains
+    past = table.where(F.col("fold") < max(fold_list)).withColumn("next", later).drop("fold").withColumnsRenamed({"next": "fold"})
+    placed = past.where(F.col("fold").isin(fold_list)).withColumn("part", F.lit("train"))
+    fitted = ml.fit_folds(placed, {"meta_learner": _models("logistic_regression")["logistic_regression"]}, fold_list, columns)
+    meta = ml.forecasts(fitted, table.where(F.col("fold").isin(fold_list)), keep, columns)
     seen = rows.where(F.col("fold").isin(fold_list)).select(*keep, "model", *PROBS)
-    mean = blending.simple_average(seen, keep)
-    for name, part in (("meta_learner", meta), ("simple_average", mean)):
-        seen = seen.unionByName(part.withColumn("model", F.lit(name)).select(*keep, "model", *PROBS))
+    mean = blending.simple_average(seen, keep).withColumn("model", F.lit("simple_average"))
+    for part in (meta, mean):
+        seen = seen.unionByName(part.select(*keep, "model", *PROBS))
     return rounded(model_metrics(seen, keys), 6)
 
 
@@ -191,64 +192,91 @@ def _(spark, d):
 def _(spark, d):
     """Coefficients of the meta-learner fitted on all out-of-fold forecasts."""
     _, table, columns = _blend(spark, d)
-    return rounded(ml.coefficient_table(_meta_fit(table, columns)[1][0], columns), 6)
+    fitted = ml.fit(table, _models("logistic_regression"), columns)
+    return rounded(ml.coefficient_table(fitted[0, "logistic_regression"], columns, spark), 6)
+
+
+def _calibration_splits(train, holdout):
+    """(placed, check, raw): rows in the inner folds of every split (0 is the holdout, else a date fold), the rows to forecast
+    once for each inner fold, and the same for the plain refit of a split, whose number is its fold."""
+    day, past, ahead = train.select("match_date").distinct(), [], []
+    outer = settle(folds.date_membership(train))
+    for split in range(DATE_SPLITS + 1):
+        own = day if split == 0 else outer.where((F.col("fold") == split) & (F.col("part") == "train")).select("match_date")
+        past.append(folds.date_membership(own, INNER_SPLITS).withColumn("fold", F.col("fold") + 100 * split))
+        ahead.append(holdout.withColumn("split", F.lit(0)) if split == 0 else train.join(
+            outer.where((F.col("fold") == split) & (F.col("part") == "validation")).select("match_date"), "match_date").withColumn("split", F.lit(split)))
+    placed = settle(train.join(settle(reduce(DataFrame.unionByName, past)), "match_date"))
+    ahead = reduce(DataFrame.unionByName, ahead)
+    check = ahead.withColumn("fold", F.explode(F.array(*[F.col("split") * 100 + k for k in range(1, INNER_SPLITS + 1)]))).drop("split")
+    plain = train.join(outer.where("part = 'train'"), "match_date").unionByName(train.withColumns({"fold": F.lit(0).cast("long"), "part": F.lit("train")}))
+    return placed, settle(check), settle(plain), settle(ahead.withColumnRenamed("split", "fold"))
+
+
+def calibration_rows(spark, d):
+    """Raw, sigmoid and isotonic forecasts of every classifier, on all date folds (splits 1 and up) and on the holdout (0)."""
+    train, holdout = _split(_table(spark, d)[1])
+    placed, check, plain, ahead = _calibration_splits(train, holdout)
+    splits = list(range(DATE_SPLITS + 1))
+    made = ml.calibrated_forecasts(placed, check, _models(), [100 * s + k for s in splits for k in range(1, INNER_SPLITS + 1)], KEEP)
+    raw = ml.forecasts(ml.fit_folds(plain, _models(), splits), ahead, [*KEEP, "fold"]).withColumnRenamed("fold", "split").withColumn("method", F.lit("raw"))
+    columns = [*KEEP, "model", "method", "split", *PROBS]
+    return settle(raw.select(*columns).unionByName(made.select(*columns)))
 
 
 @query("m28_calibration")
 def _(spark, d):
-    """Raw, sigmoid and isotonic forecasts of every classifier, on all date folds and on the holdout; calibrated forecasts
-    come from refits on inner date folds."""
-    train, holdout, raw = _date_folds(spark, d)
+    """Scores of every classifier and method, on all date folds together and on the holdout; calibrated forecasts come from
+    refits on inner date folds."""
+    rows = calibration_rows(spark, d).withColumn("split", F.when(F.col("split") == 0, "holdout").otherwise("oof"))
+    return rounded(model_metrics(rows, ["model", "method", "split"]), 6)
+
+
+def parameter_grids():
+    """{model: {parameter: values}} of the choices that are scored."""
+    return {"logistic_regression": {"strength": [0.001, 0.01, 0.1]},
+            "random_forest": {"trees": [250, 400], "depth": [6, 10, 30], "least": [3, 8]},
+            "boosted_trees": {"rounds": [200, 350, 500], "step": [0.02, 0.05, 0.1], "depth": [2, 3, 5]}}
+
+
+def grid_fits(grids):
+    """(models, stages): the fits that hold every choice. A forest of the most trees and the greatest depth holds the smaller
+    ones, and a booster of the most rounds the shorter ones."""
+    models, stages = {}, {}
+    for choice in grids.get("logistic_regression", {}).get("strength", []):
+        models[f"logistic_regression|strength={choice}"] = Logistic(choice)
+    forest, boosted = grids.get("random_forest"), grids.get("boosted_trees")
+    for least in forest["least"] if forest else []:
+        name = f"random_forest|least={least}"
+        models[name] = Forest(max(forest["trees"]), max(forest["depth"]), least)
+        stages[name] = (forest["trees"], sorted(forest["depth"]), {(t, k): f"random_forest|trees={t},depth={k},least={least}" for t, k in product(
+            forest["trees"], forest["depth"])})
+    for step, depth in product(boosted["step"], boosted["depth"]) if boosted else []:
+        name = f"boosted_trees|step={step},depth={depth}"
+        models[name] = Boosted(max(boosted["rounds"]), depth, step)
+        stages[name] = (boosted["rounds"], [depth], {(r, depth): f"boosted_trees|rounds={r},step={step},depth={depth}" for r in boosted["rounds"]})
+    return models, stages
+
+
+def grid_scores(spark, d):
+    """(fold, label, rps, n) of each parameter choice of each model over forward date folds."""
+    train, _ = _split(_table(spark, d)[1])
     placed = settle(train.join(folds.date_membership(train), "match_date"))
-    outer = [("oof", placed.where((F.col("fold") == k) & (F.col("part") == "train")).drop("fold", "part"),
-              placed.where((F.col("fold") == k) & (F.col("part") == "validation"))) for k in range(1, DATE_SPLITS + 1)]
-    outer.append(("holdout", train, holdout))
-    columns = [*KEEP, "model", "method", "split", *PROBS]
-    rows = raw.withColumns({"method": F.lit("raw"), "split": F.lit("oof")}).select(*columns)
-    for name, fitted in ml.fit_folds(train.withColumns({"fold": F.lit(0), "part": F.lit("train")}), _models(train), [0]).items():
-        rows = rows.unionByName(ml.forecast(fitted, holdout, KEEP).withColumns(
-            {"model": F.lit(name[1]), "method": F.lit("raw"), "split": F.lit("holdout")}).select(*columns))
-    for split, past, check in outer:
-        inner = folds.date_membership(past, INNER_SPLITS)
-        made = ml.calibrated_forecasts(past, inner, check, _models(past), list(range(1, INNER_SPLITS + 1)), ("sigmoid", "isotonic"), KEEP)
-        rows = rows.unionByName(settle(made).withColumn("split", F.lit(split)).select(*columns))
-    return rounded(model_metrics(settle(rows), ["model", "method", "split"]), 6)
-
-
-def parameter_grids(rows):
-    """{model: (estimators, choices)}; a choice is a tuple of (parameter, value), set on every estimator of the model."""
-    every = ml.classifiers(rows)
-    spaces = {"logistic_regression": {"regParam": [0.001, 0.01, 0.1]},
-              "random_forest": {"numTrees": [250, 400], "maxDepth": [6, 10, 30], "minInstancesPerNode": [3, 8]},  # 30: no deeper in Spark
-              "boosted_trees": {"maxIter": [200, 350, 500], "stepSize": [0.02, 0.05, 0.1], "maxDepth": [2, 3, 5]}}
-    return {name: (every[name], [tuple(zip(space, values)) for values in product(*space.values())]) for name, space in spaces.items()}
+    models, stages = grid_fits(parameter_grids())
+    parts = []
+    for fold in range(1, DATE_SPLITS + 1):  # one fold's models are held at a time
+        fitted = ml.fit_folds(placed, models, [fold])
+        check = placed.where((F.col("fold") == fold) & (F.col("part") == "validation"))
+        parts.append(settle(ml.staged_scores(fitted, check, stages)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("m30_parameter_grid")
 def _(spark, d):
     """Mean RPS of each parameter choice of each model over forward date folds."""
-    _, table = _table(spark, d)
-    train, _ = _split(table)
-    placed = settle(train.join(folds.date_membership(train), "match_date"))
-    models = {}
-    for name, (estimators, choices) in parameter_grids(train.count()).items():
-        for choice in choices:
-            label = f"{name}|" + ",".join(f"{p}={v}" for p, v in choice)
-            models[label] = [e.copy({e.getParam(p): v for p, v in choice}) for e in estimators]
-    scores = None
-    for fold in range(1, DATE_SPLITS + 1):  # one fold's models are held at a time
-        check = placed.where((F.col("fold") == fold) & (F.col("part") == "validation"))
-
-        def scored(label, fitted, check=check, fold=fold):
-            return label, fold, row_scores(ml.forecast(fitted, check, ["result"])).agg(F.avg("rps")).first()[0]
-
-        fitted = ml.fit_folds(placed, models, [fold])
-        own = spark.createDataFrame(ml.together([partial(scored, label, f) for (_, label), f in fitted.items()]),
-                                    "label string, fold long, rps double")  # one row per choice
-        scores = own if scores is None else scores.unionByName(own)
     parts = F.split("label", r"\|")
-    return rounded(scores.groupBy(parts[0].alias("model"), parts[1].alias("parameters")).agg(
-        F.avg("rps").alias("rps_mean"), F.stddev_samp("rps").alias("rps_std")).orderBy("rps_mean", "model", "parameters"), 6)
+    return rounded(grid_scores(spark, d).groupBy(parts[0].alias("model"), parts[1].alias("parameters")).agg(
+        F.avg("rps").alias("rps_mean"), F.stddev_samp("rps").alias("rps_std"), F.sum("n").alias("n")).orderBy("rps_mean", "model", "parameters"), 6)
 
 
 @query("m41_blend_on_holdout")
@@ -265,8 +293,8 @@ def _(spark, d):
     from touchline.plans.products import goal_forecasts
     _, _, goals = goal_forecasts(spark, d)
     train, holdout = _split(_table(spark, d)[1])
-    learned = ml.forecast(ml.fit(train, _models(train, "random_forest")["random_forest"]), holdout, ["match_id"])
-    learned = learned.select(F.concat(F.lit("F"), F.col("match_id")).alias("fixture_id"), F.lit("random_forest").alias("model"), *PROBS)
+    learned = ml.forecast(ml.fit(train, _models("random_forest")), holdout, ["match_id"])
+    learned = learned.select(F.concat(F.lit("F"), F.col("match_id")).alias("fixture_id"), "model", *PROBS)
     return rounded(goals.unionByName(learned), 6)
 
 
@@ -275,9 +303,8 @@ def _(spark, d):
     """Fitted rates as a table and a fitted preparation as a saved pipeline, both read back."""
     m, table = _table(spark, d)
     train, _ = _split(table)
-    prepare, _ = ml.fit(train, [])
     path = files.scratch(spark)
-    prepare.write().overwrite().save(path)
+    ml.prepared(train).write().overwrite().save(path)
     stages = len(PipelineModel.load(path).stages)
     rates = settle(counts.fit_rates(counts.fit_cells(counts.day_cells(m.where(F.col("season") != HOLDOUT_SEASON)))))
     return rates.groupBy("competition", "target").agg(F.count("*").alias("teams")).withColumn("pipeline_stages", F.lit(stages).cast("long"))
