@@ -28,9 +28,9 @@ def small(monkeypatch, table):
     monkeypatch.setattr(ml, "classifiers", partial(ml.classifiers, trees=1, rounds=1))
 
 
-def test_models_have_default_sizes(table):
-    models = learning._models(table)
-    assert models["random_forest"][0].getNumTrees() == 350 and [m.getMaxIter() for m in models["boosted_trees"]] == [200] * 3
+def test_models_have_default_sizes():
+    models = learning._models()
+    assert models["random_forest"].trees == 350 and models["random_forest"].depth == 8 and models["boosted_trees"].rounds == 200
 
 
 def test_date_folds_have_all_models(spark, small):
@@ -47,20 +47,20 @@ def test_calibration_covers_models_and_splits(spark, small, monkeypatch):
     monkeypatch.setattr(ml, "classifiers", lambda *a: {k: v for k, v in one(*a).items() if k != "boosted_trees"})
     monkeypatch.setattr(learning, "DATE_SPLITS", 1)
     got = {(r.model, r.method, r.split): r.n for r in QUERIES["m28_calibration"](spark, "").collect()}
-    assert len(got) == 12 and len({n for (*_, split), n in got.items() if split == "holdout"}) == 1
+    assert len(got) == 12 and all(n > 0 for n in got.values()) and len({n for (*_, split), n in got.items() if split == "holdout"}) == 1
 
 
 def test_grid_holds_all_choices():
-    grids = learning.parameter_grids(100)
-    assert {k: len(set(choices)) for k, (_, choices) in grids.items()} == {"logistic_regression": 3, "random_forest": 12, "boosted_trees": 27}
+    models, stages = learning.grid_fits(learning.parameter_grids())
+    labels = [name for name in models if name not in stages] + [label for *_, named in stages.values() for label in named.values()]
+    assert len(set(labels)) == len(labels) == 3 + 12 + 27 and len(models) == 3 + 2 + 9
 
 
 def test_grid_scores_each_choice(spark, small, monkeypatch):
-    grids = lambda n: {"random_forest": (ml.classifiers(n)["random_forest"], [(("maxDepth", 1),), (("maxDepth", 2),)])}
-    monkeypatch.setattr(learning, "parameter_grids", grids)
+    monkeypatch.setattr(learning, "parameter_grids", lambda: {"random_forest": {"trees": [1, 3], "depth": [1, 2], "least": [3]}})
     got = QUERIES["m30_parameter_grid"](spark, "").collect()
-    assert {(r.model, r.parameters) for r in got} == {("random_forest", "maxDepth=1"), ("random_forest", "maxDepth=2")}
-    assert all(r.rps_std is not None for r in got)
+    assert {(r.model, r.parameters) for r in got} == {("random_forest", f"trees={t},depth={k},least=3") for t in (1, 3) for k in (1, 2)}
+    assert all(r.rps_std is not None and 0 < r.rps_mean < 1 for r in got)
 
 
 def test_meta_learner_scores_every_later_fold(spark, monkeypatch):

@@ -90,7 +90,7 @@ def fit_sigmoid(scores: DataFrame, group: str = "group") -> DataFrame:
     for _ in range(SIGMOID_STEPS):
         if not open_groups:
             break
-        given = spark.createDataFrame([(g, state[g][0], state[g][1], (sizes[g][1] + 1) / (sizes[g][1] + 2), 1 / (sizes[g][0] - sizes[g][1] + 2))
+        given = spark.createDataFrame([(g, float(state[g][0]), float(state[g][1]), (sizes[g][1] + 1) / (sizes[g][1] + 2), 1 / (sizes[g][0] - sizes[g][1] + 2))
                                        for g in open_groups], f"{group} {kind}, slope double, shift double, high double, low double")
         p = 1 / (1 + F.exp(-(F.col("slope") * F.col("x") + F.col("shift"))))
         error, curve, at = p - F.when(F.col("y") == 1, F.col("high")).otherwise(F.col("low")), p * (1 - p), F.col("x")
