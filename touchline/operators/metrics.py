@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.probability import PROBS, predicted_result, row_scores
 from touchline.schema import CLASSES
+from touchline.session import settle
 
 MODEL = ["model"]
 
@@ -88,21 +89,27 @@ def draw_report(predictions: DataFrame, keys: list = MODEL) -> DataFrame:
         F.avg("prob_draw").alias("mean_prob_draw"))
 
 
-def order_statistics(values: DataFrame, keys: list, ranks: DataFrame, slices: int = 4096) -> DataFrame:
+def order_statistics(values: DataFrame, keys: list, ranks: DataFrame, bits: int = 12, levels: int = 3) -> DataFrame:
     """Values at the wanted 0-based ranks of each key, for values in [0, 1].
 
-    ``ranks`` holds the keys and an array column ``ranks``. Equal values are counted before the
-    shuffle and the running count is taken in slices of the value range, so that no task sorts the
-    values of a whole key.
+    ``ranks`` holds the keys and an array column ``ranks``. Radix selection: the range is cut into 2 ** ``bits`` slices, only
+    slices that hold a wanted rank are kept and cut again, and after ``levels`` rounds the few values left are counted one by
+    one. Slices are powers of two, so they nest exactly. A round shuffles counts of slices, never the values of a key.
     """
-    counted = values.groupBy(*keys, "p").agg(F.count("*").alias("n")).withColumn(
-        "slice", F.floor(F.col("p") * slices))
-    offsets = counted.groupBy(*keys, "slice").agg(F.sum("n").alias("m")).withColumn(
-        "before", F.sum("m").over(Window.partitionBy(*keys).orderBy("slice")) - F.col("m")).drop("m")
-    inside = Window.partitionBy(*keys, "slice").orderBy("p")
-    ranked = counted.join(offsets, keys + ["slice"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    hit = F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
-    return ranked.join(ranks, keys).select(*keys, F.explode(hit).alias("rank"), F.col("p").alias("value"))
+    held = ranks.select(*keys, F.explode("ranks").alias("rank")).withColumns({"slice": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
+    for level in range(1, levels + 2):
+        outer = F.floor(F.col("p") * float(1 << bits * (level - 1))).cast("long") if level > 1 else F.lit(0).cast("long")
+        finer = F.floor(F.col("p") * float(1 << bits * level)).cast("long") if level <= levels else F.col("p")
+        held = settle(held)  # a row for each key and rank
+        open_slices = held.select(*keys, "slice").distinct()
+        cells = values.where("p is not null").withColumn("slice", outer).join(open_slices, [*keys, "slice"]).groupBy(*keys, "slice", finer.alias("finer")).agg(
+            F.count("*").alias("n"))
+        inside = Window.partitionBy(*keys, "slice").orderBy("finer")  # at most 2 ** bits rows, or the values of a last slice
+        upto = cells.withColumn("upto", F.sum("n").over(inside))
+        hit = (F.col("rank") < F.col("before") + F.col("upto")) & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("n"))
+        held = upto.join(held, [*keys, "slice"]).where(hit).select(
+            *keys, "rank", F.col("finer").alias("slice"), (F.col("before") + F.col("upto") - F.col("n")).alias("before"))
+    return held.select(*keys, "rank", F.col("slice").alias("value"))
 
 
 def reliability_curve(predictions: DataFrame, bins: int = 8, keys: list = MODEL) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions import tails
 from touchline.operators.teams import team_view
 from touchline.schema import CLASSES, REFEREE_MIN_MATCHES, REFEREE_OTHER, REFEREE_PRIOR
 
@@ -41,6 +42,16 @@ def home_advantage_tests(matches: DataFrame) -> DataFrame:
         ((h - (h + a) / 2) / F.sqrt((h + a) / 4)).alias("z_wins"))
 
 
+def tail_probabilities(matches: DataFrame) -> DataFrame:
+    """One-sided p-values of the home advantage (exact binomial over decided matches, t over goal gaps) and of the independence
+    of season and result."""
+    tests, table = (part.withColumn("of", F.lit("all matches")) for part in (home_advantage_tests(matches), season_result_chi_square(matches)))
+    wins, decided = F.col("home_wins"), F.col("home_wins") + F.col("away_wins")
+    return tests.join(table, "of").select(  # one row each
+        tails.binomial_at_least(wins, decided).alias("p_wins"), tails.t_above(F.col("t_goals"), F.col("n") - 1).alias("p_goals"),
+        tails.chi_square_above(F.col("chi_square"), F.col("degrees")).alias("p_seasons"))
+
+
 def season_result_chi_square(matches: DataFrame) -> DataFrame:
     """Chi-square of independence between season and result, from the table of counts."""
     cells = matches.groupBy("season").agg(*[F.sum((F.col("result") == c).cast("long")).alias(c) for c in CLASSES])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from touchline.functions.probability import PROBS
 from touchline.operators import blending, counts, folds, grids, learning as ml, ratings, walkforward as wf
 from touchline.operators.features import generate_features
-from touchline.operators.logistic import Logistic
+from touchline.operators.logistic import TOLERANCE, Logistic
 from touchline.operators.metrics import draw_report, model_metrics
 from touchline.operators.trees import Boosted, Forest
 from touchline.plans.metrics import rounded
@@ -86,7 +86,12 @@ def _(spark, d):
     return rounded(best, 6)
 
 
-@query("v4_v11_classifier_checks")
+@query("v4_v11_classifier_checks", """WITH days AS (SELECT match_date, row_number() OVER (ORDER BY match_date) - 1 AS r, count(*) OVER () AS d
+  FROM (SELECT DISTINCT match_date FROM matches WHERE season <> '2001')),
+cut AS (SELECT k AS fold, match_date FROM days, generate_series(1, 5) AS g(k)
+  WHERE r >= d - (6 - k) * (d // 6) AND r < d - (5 - k) * (d // 6))
+SELECT fold, model, count(*) AS n, CAST(0 AS BIGINT) AS bad_sum FROM matches m JOIN cut USING (match_date),
+  (VALUES ('logistic_regression'), ('random_forest'), ('boosted_trees')) AS t(model) WHERE m.season <> '2001' GROUP BY ALL""")
 def _(spark, d):
     train, _, rows = _date_folds(spark, d)
     ml.assert_out_of_fold(rows, train.join(folds.date_membership(train), "match_date"))
@@ -94,6 +99,18 @@ def _(spark, d):
     return rows.groupBy("fold", "model").agg(F.count("*").alias("n"), F.sum((F.abs(total - 1) > 1e-6).cast("long")).alias("bad_sum"))
 
 
+@query("m17_score_equations", """WITH days AS (SELECT match_date, row_number() OVER (ORDER BY match_date) - 1 AS r, count(*) OVER () AS d
+  FROM (SELECT DISTINCT match_date FROM matches WHERE season <> '2001')),
+cut AS (SELECT k AS fold, match_date FROM days, generate_series(1, 5) AS g(k) WHERE r < d - (6 - k) * (d // 6))
+SELECT fold, count(*) AS rows, true AS settled FROM matches m JOIN cut USING (match_date) WHERE m.season <> '2001' GROUP BY fold""")
+def _(spark, d):
+    """Whether the logistic fit of each date fold solves its score equations (largest slope of the penalised mean loss)."""
+    train, _ = _split(_table(spark, d)[1])
+    placed = settle(train.join(folds.date_membership(train), "match_date"))
+    fitted = ml.fit_folds(placed, _models("logistic_regression"), list(range(1, DATE_SPLITS + 1)))
+    return ml.gradient_table(fitted, spark).select("fold", "rows", (F.col("gradient") <= TOLERANCE).alias("settled"))
+
+
 @query("m22_season_walk_forward_classifiers")
 def _(spark, d):
     _, table = _table(spark, d)

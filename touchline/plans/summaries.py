@@ -49,6 +49,24 @@ def _(spark, d):
     return rounded(ops.season_result_chi_square(load_matches(spark, d)), 7)
 
 
+@query("a4_tail_probabilities", """WITH s AS (SELECT count(*) AS n, count(*) FILTER (result = 'H') AS h, count(*) FILTER (result = 'A') AS a,
+  avg(goals_home - goals_away) AS m, stddev_samp(goals_home - goals_away) AS sd FROM matches),
+b AS (SELECT CAST(sum(exp(lgamma(h + a + 1) - lgamma(k + 1) - lgamma(h + a - k + 1) - (h + a) * ln(2e0))) AS DOUBLE) AS p
+  FROM (SELECT h, a, unnest(generate_series(h, h + a)) AS k FROM s)),
+t AS (SELECT n - 1 AS v, abs(m) / (sd / sqrt(n)) AS t, sign(m) AS side FROM s),
+g AS (SELECT t, v, side, i, (t / 20000) * i AS x FROM t, generate_series(0, 20000) AS r(i)),
+d AS (SELECT any_value(side) AS side, sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * exp(lgamma((v + 1) / 2e0) - lgamma(v / 2e0) - ln(v * pi()) / 2 - (v + 1) / 2e0 * ln(1 + x * x / v)) * (t / 20000) / 3) AS area FROM g),
+c AS (SELECT season, result, count(*) AS n FROM matches GROUP BY ALL),
+e AS (SELECT n, sum(n) OVER (PARTITION BY season) * sum(n) OVER (PARTITION BY result) / sum(n) OVER () AS e FROM c),
+x AS (SELECT CAST(sum((n - e) ** 2 / e) AS DOUBLE) / 2 AS x, (SELECT (count(DISTINCT season) - 1) * (count(DISTINCT result) - 1) FROM c) AS k FROM e),
+q AS (SELECT CAST(sum(exp(-x + i * ln(x) - lgamma(i + 1))) AS DOUBLE) AS p FROM (SELECT x, unnest(generate_series(0, k // 2 - 1)) AS i FROM x))
+SELECT round(b.p, 9) AS p_wins, round(greatest(0.5 - side * area, 0), 9) AS p_goals, round(q.p, 9) AS p_seasons FROM b, d, q""")
+def _(spark, d):
+    """Degrees of freedom are even here, as there are three results, so the SQL has a closed form."""
+    return rounded(ops.tail_probabilities(load_matches(spark, d)), 9)
+
+
 @query("a5_team_coverage", """SELECT team, count(*) AS matches, count(DISTINCT season) AS seasons, max(season) AS last_season,
   max(match_date) AS last_date FROM t GROUP BY team""", ("t",))
 def _(spark, d):
