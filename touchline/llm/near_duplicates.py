@@ -7,12 +7,12 @@
 3. Each bucket (equal band key) pairs its members with its smallest one only. Each document is first held against the
    one that it meets in most buckets; then come the pairs that would still join components. Pairs whose sketches are
    too far apart drop, the others are confirmed.
-4. Buckets that still hold several components compare all members inside tasks, block against block: by sketches and
-   by an exact bound from the shingles that no other of these documents has. Only pairs of different components that
-   pass both come out and are confirmed. No candidate is lost or capped.
+4. Buckets that still hold several components compare members of different components inside tasks, block against
+   block: sketches tell which may be linked, their full sets are compared there, and of the links found only those that
+   join components come out. No candidate is lost or capped, and near misses never leave a task.
 
-A pair at the threshold is missed by all bands with a probability below 1e-7 (0.8) or 1e-10 (0.85), and by the sketch
-limit at about five standard deviations.
+A pair at the threshold is missed by all bands with a probability below 1e-7 (0.8) or 1e-10 (0.85), and by the sketch limit
+with 4e-10 or 6e-12 (worked out over the flips), so the bands decide.
 
 Defined cases: a null or empty text, or one of white space, has an empty set and is linked with nothing; a row with a
 null id is linked with nothing, has a null component and is kept; repeated rows are copies of each other; an empty
@@ -26,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import LOWER_BYTES, SPACED, mix64, read_table, shards, text_bytes, word_hashes, word_spans
@@ -38,8 +38,10 @@ BANDS, BAND_ROWS, SKETCH_BITS = 32, 4, 512
 SAMPLES = BANDS * BAND_ROWS
 SKETCH_WORDS = SKETCH_BITS // 64
 #: How far below the threshold a similarity estimated from sketches may lie.
-SLACK = 0.17
+SLACK = 0.28
 BLOCK = 512
+#: Shingles that are compared at a time.
+CHUNK = 4096
 SHARD_BYTES, SHARD_ROWS = 2 << 20, 1024
 _KEYS = mix64(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _FLIP, _ODD = _KEYS[:SAMPLES].astype(np.uint32), (_KEYS[SAMPLES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -124,17 +126,20 @@ def _most_bits(percent: int) -> int:
     return int(np.ceil(SKETCH_BITS / 2 * (1 - np.exp(-2 * differing / SKETCH_BITS))))
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _small(batches, "text"):
             sets, edges = shingle_sets(table["text"], width)
             raw = [sets[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(table["id"].chunks), pa.array(raw, pa.binary())], ["id", "set"])
+    return run
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
 
-    sets = settle(texts.join(ids, "id", "left_semi").mapInArrow(sets_of, "id long, set binary"))
+    sets = settle(texts.join(ids, "id", "left_semi").mapInArrow(_sets(width), "id long, set binary"))
     beside = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
 
@@ -152,26 +157,55 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return settle(beside.mapInArrow(linked, "a long, b long"))
 
 
-def _own_shingles(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(id, size, own): of each document's shingles, how many no other of the documents ``ids`` has."""
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _small(batches, "text"):
-            sets, edges = shingle_sets(table["text"], width)
-            at, first, n = np.unique(sets, return_index=True, return_counts=True)
-            holder = table["id"].to_numpy()[np.searchsorted(edges, first, side="right") - 1]
-            yield pa.RecordBatch.from_pydict({"shingle": at.view(np.int64), "id": holder, "n": np.minimum(n, 2)})
-
-    lone = texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(once, "shingle long, id long, n long").groupBy(
-        "shingle").agg(F.sum("n").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    return lone.withColumnRenamed("id", "_i").join(ids, F.col("_i") == F.col("id"), "right").select(
-        "id", F.coalesce("own", F.lit(0)).alias("own"))
-
-
-def _close_pairs(limit: int, percent: int):
-    """Rows sorted by (bucket, i, j): pairs of a bucket's blocks i and j that may be linked and have different labels.
-
-    ``own`` of the ``size`` shingles stand in no other document, so a pair shares at most the smaller rest, out of at
-    least one whole set and the other's own shingles.
+def _common(left: list, right: list) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, by products over the shingles that both sides hold."""
+    of = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    held = [np.concatenate(side) for side in (left, right)]
+    codes = np.intersect1d(*held)
+    counts = np.zeros((len(left), len(right)), np.float32)  # exact: sets have far fewer than 2 ** 24 shingles in a chunk
+    total = np.zeros(counts.shape, np.int64)
+    places = [np.searchsorted(codes, h) for h in held]
+    known = [np.flatnonzero((p < len(codes)) & (codes[np.minimum(p, len(codes) - 1)] == h)) if len(codes) else np.zeros(0, np.int64)
+             for p, h in zip(places, held)]
+    sides = []
+    for p, k, o in zip(places, known, of):
+        order = k[np.argsort(p[k], kind="stable")]
+        sides.append((p[order], o[order]))
+    for begin in range(0, len(codes), CHUNK):
+        made = []
+        for (place, row), side in zip(sides, (left, right)):
+            x, y = np.searchsorted(place, [begin, begin + CHUNK])
+            dense = np.zeros((len(side), min(CHUNK, len(codes) - begin)), np.float32)
+            dense[row[x:y], place[x:y] - begin] = 1
+            made.append(dense)
+        np.matmul(made[0], made[1].T, out=counts)
+        total += counts.astype(np.int64)
+    return total
+
+
+def _forest(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the links (x, y) join two of the components that the labels ``a`` and ``b`` and the links before make."""
+    above: dict = {}
+
+    def root(v: int) -> int:
+        while v in above:
+            v = above[v]
+        return v
+
+    keep = np.zeros(len(x), bool)
+    for k, (p, q) in enumerate(zip(a[x].tolist(), b[y].tolist())):
+        p, q = root(p), root(q)
+        if p != q:
+            above[max(p, q)] = min(p, q)
+            keep[k] = True
+    return keep
+
+
+def _linked_blocks(limit: int, percent: int):
+    """Rows sorted by (bucket, i, j): links between a bucket's blocks i and j that join components.
+
+    Sketches tell which members may have a link; the sets of these are compared in full, and of the links found only
+    those come out that join two components, fewer than there are members.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -180,27 +214,28 @@ def _close_pairs(limit: int, percent: int):
             table = pa.Table.from_batches(held)
             block, i, j = (table[c].to_numpy() for c in ("block", "i", "j"))
             ids, label = table["id"].to_numpy(), table["label"].to_numpy()
-            bucket = table["bucket"][0].as_py()
-            bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            size, lone = table["size"].to_numpy(), table["own"].to_numpy()
             sketch = np.stack([table[c].to_numpy().view(np.uint64) for c in _SKETCH], 1)
             left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+            near = np.zeros((len(left), len(right)), bool)
             for start in range(0, len(left), 128):
                 rows = left[start:start + 128]
                 apart = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int32)
-                rest, whole = size - lone, size[rows][:, None] + lone[right][None, :]
-                most = np.minimum(rest[rows][:, None], rest[right][None, :])
-                least = np.maximum(whole, lone[rows][:, None] + size[right][None, :])
-                x, y = np.nonzero((apart <= limit) & (100 * most >= percent * least) & (
-                    label[rows][:, None] != label[right][None, :]))
-                x, y = rows[x], right[y]
-                if i[0] == j[0]:
-                    x, y = x[ids[x] < ids[y]], y[ids[x] < ids[y]]
-                # a pair comes out of the first bucket that both share
-                shared = bands[x] == bands[y]
-                first = bands[x, shared.argmax(1)] == bucket
-                a, b = np.minimum(ids[x[first]], ids[y[first]]), np.maximum(ids[x[first]], ids[y[first]])
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+                near[start:start + 128] = (apart <= limit) & (label[rows][:, None] != label[right][None, :])
+            left, right = left[near.any(1)], right[near.any(0)]
+            if not len(left):
+                return
+            sets = table["set"]
+            get = lambda rows: [np.frombuffer(sets[int(r)].as_buffer(), np.uint64) for r in rows]
+            for start in range(0, len(left), BLOCK):
+                for other in range(0, len(right), BLOCK):
+                    rows, columns = left[start:start + BLOCK], right[other:other + BLOCK]
+                    mine, theirs = get(rows), get(columns)
+                    sizes = np.array([len(m) for m in mine])[:, None] + np.array([len(m) for m in theirs])[None, :]
+                    common = _common(mine, theirs)
+                    x, y = np.nonzero((100 * common >= percent * (sizes - common)) & (label[rows][:, None] != label[columns][None, :]))
+                    keep = _forest(label[rows], label[columns], x, y)
+                    x, y = ids[rows[x[keep]]], ids[columns[y[keep]]]
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
         for batch in batches:
             if not batch.num_rows:
@@ -219,6 +254,30 @@ def _close_pairs(limit: int, percent: int):
     return run
 
 
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """(bucket, id, label, block, i, j): each member once for each pair of blocks that it takes part in.
+
+    A component of a bucket with at least ``BLOCK`` members has blocks of its own, which never meet each other; the rest
+    share blocks. So a large group beside a few strangers is read once, and only the strangers are copied.
+    """
+    sizes = settle(members.groupBy("bucket", "label").agg(F.count("*").alias("m")))
+    large = F.col("m") >= BLOCK
+    shared = sizes.groupBy("bucket").agg(F.sum(F.when(~large, F.col("m")).otherwise(0)).alias("rest"),
+                                         F.sum(F.when(large, F.ceil(F.col("m") / BLOCK)).otherwise(0)).alias("own"))
+    shared = shared.select("bucket", F.ceil(F.col("rest") / BLOCK).cast("int").alias("mixed"), F.col("own").cast("int").alias("own"))
+    many = F.ceil(F.col("m") / BLOCK).cast("int")
+    before = F.sum(many).over(Window.partitionBy("bucket").orderBy("label").rowsBetween(Window.unboundedPreceding, -1))
+    # large components of a bucket: one row for BLOCK members at most
+    big = sizes.where(large).select("bucket", "label", many.alias("many"), F.coalesce(before, F.lit(0)).cast("int").alias("before"))
+    placed = members.join(settle(shared), "bucket").join(settle(big), ["bucket", "label"], "left")
+    spread = F.pmod(F.xxhash64("id"), F.coalesce("many", F.greatest("mixed", F.lit(1)))).cast("int")
+    low = F.col("mixed") + F.col("before")
+    every = F.sequence(F.lit(0), F.col("mixed") + F.col("own") - 1)
+    others = F.when(F.col("many").isNull(), every).otherwise(F.filter(every, lambda k: (k < low) | (k >= low + F.col("many"))))
+    return placed.withColumn("block", F.when(F.col("many").isNull(), spread).otherwise(low + spread)).withColumn("other", F.explode(others)).select(
+        "bucket", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3,
                     percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): links are pairs with 100 * intersection >= percent * union."""
@@ -264,20 +323,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = settle(placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"))
     members = settle(placed.join(mixed, "bucket", "left_semi"))
-    own = _own_shingles(settle(members.select("id").distinct()), held, width)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(settle(sketch.join(own, "id").join(
-        heads.dropDuplicates(["id"]).select("id", "bands"), "id")), "id").withColumn(
-        "block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "bucket", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "size", "own", "bands", *_SKETCH)
+    wanted = settle(members.select("id").distinct())
+    sets = settle(held.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, set binary"))
+    dealt = _block_pairs(members.select("bucket", "id", "label")).join(
+        settle(sketch.join(sets, "id").select("id", "set", *_SKETCH)), "id")
     together = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    last = settle(together.mapInArrow(_close_pairs(most, percent), "a long, b long"))
-    known = links.select("a", "b")
-    last = last.join(more, ["a", "b"], "left_anti") if not last.isEmpty() else last
+    last = settle(together.mapInArrow(_linked_blocks(most, percent), "a long, b long"))
     if not last.isEmpty():
-        links = known.union(_confirm(settle(last), held, width, percent))
+        links = links.select("a", "b").union(last)
         labels = connected_components(links)
     rep_label = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
         *key, F.coalesce("label", "rep").alias("component_id"))
