@@ -106,3 +106,78 @@ def test_fit_without_home_cells_keeps_every_team(spark, target):
     one, other = ({r.team: (round(r.attack, 9), round(r.defense, 9), r.home_advantage) for r in counts.fit_rates(cells, sweeps=4, limit=n).collect()}
                   for n in (0, 250_000))
     assert one == other and set(one) == {"x", "y"} and all(v[2] == 0.0 for v in one.values())
+
+
+@pytest.fixture()
+def short_folds(monkeypatch):
+    """Folds after one training season, so that three seasons give two."""
+    from touchline.operators import walkforward
+    plain = folds.season_membership
+    monkeypatch.setattr(walkforward, "season_membership", lambda m, h: plain(m, h, 1))
+    return plain
+
+
+def test_low_score_arm_shifts_only_low_scores_by_its_own_training_rows(matches, short_folds):
+    rows = walk_forward(matches, "none", {"poisson": VARIANTS["poisson"]}, low_score=True)
+    assert "rho" not in rows.columns
+    got = {(r.match_id, r.model): r for r in rows.collect()}
+    ids = {i for i, _ in got}
+    assert ids and set(got) == {(i, m) for i in ids for m in ("poisson", "dixon_coles")}
+    roles = short_folds(matches, "none", 1)
+    train = matches.join(roles.where("part = 'train'").select("season", "fold"), "season")
+    rates = counts.fit_rates(counts.fit_cells(counts.day_cells(matches), roles))
+    rho = {(r.competition, r.fold): r.rho for r in counts.low_score_correlation(train, rates).collect()}
+    assert len(rho) == 4
+    for i in ids:
+        a, b = got[i, "poisson"], got[i, "dixon_coles"]
+        lam, mu, low = b.expected_home, b.expected_away, rho[b.competition, b.fold]
+        k = np.arange(15)
+        pmf = lambda m: np.array([math.exp(-m + n * math.log(m) - math.lgamma(n + 1)) for n in k])
+        g = np.outer(pmf(lam), pmf(mu))
+        g[0, 0] *= 1 - lam * mu * low
+        g[0, 1] *= 1 + lam * low
+        g[1, 0] *= 1 + mu * low
+        g[1, 1] *= 1 - low
+        g /= g.sum()
+        assert (a.expected_home, a.expected_away) == (lam, mu)
+        assert [b.prob_home, b.prob_draw, b.prob_away] == pytest.approx([np.tril(g, -1).sum(), np.trace(g), np.triu(g, 1).sum()], abs=1e-12)
+
+
+def test_low_score_arm_needs_the_goal_model_and_one_decay(matches):
+    for variants, decays in (({"shots": ("shots",)}, (0.0018,)), ({"poisson": ("goals",)}, (0.0, 0.0018))):
+        with pytest.raises(ValueError, match="low-score"):
+            walk_forward(matches, "2003", variants, decays, low_score=True)
+
+
+def _record(spark, matches, holdout):
+    """Fold scores with what the folds of that holdout trained on."""
+    from touchline.operators.walkforward import last_train_seasons
+    pairs = folds.season_folds(matches, holdout, 1).select("fold", "validation_season")
+    return pairs.join(last_train_seasons(folds.season_membership(matches, holdout, 1)), "fold").select(
+        "fold", "last_train_season", "validation_season", F.lit("poisson").alias("model"), F.lit(1.0).alias("log_loss"), F.lit(0.5).alias("accuracy"))
+
+
+def test_stale_and_contaminated_records_are_refused(spark, matches):
+    from touchline.operators import selection
+    never = lambda: pytest.fail("a record that is refused is not replaced")
+    now = folds.season_folds(matches, "2003", 1)
+    good, basis = selection.guarded_or_in_sample(_record(spark, matches, "2003"), now, "2003", "walk-forward", never)
+    assert good.count() == 1 and basis == "walk-forward"
+    with pytest.raises(ValueError, match="holdout season 2003"):  # written when another season was held out
+        selection.guarded_or_in_sample(_record(spark, matches, "none"), now, "2003", "walk-forward", never)
+    with pytest.raises(ValueError, match="other folds"):  # stops a season early
+        selection.guarded_or_in_sample(_record(spark, matches.where("season < '2003'"), "2002"), now, "2003", "walk-forward", never)
+    with pytest.raises(ValueError, match="other folds"):  # trained up to another season than today's fold does
+        moved = _record(spark, matches, "2003").withColumn("last_train_season", F.lit("1999"))
+        selection.guarded_or_in_sample(moved, now, "2003", "walk-forward", never)
+
+
+def test_selection_without_a_record_is_labelled_in_sample(spark, matches):
+    from touchline.operators import selection
+    fitted = spark.sql("SELECT 'poisson' AS model, 0.9D AS log_loss, 0.6D AS accuracy")
+    old = _record(spark, matches, "2003").drop("last_train_season")
+    for stored in (None, old):
+        track = selection.guarded_or_in_sample(stored, folds.season_folds(matches, "2003", 1), "2003", "walk-forward", lambda: fitted)
+        row = selection.selection_table({"Track A": track}).withColumn("label", selection.metric_label()).first()
+        assert (row.cv_log_loss_mean, row.cv_log_loss_std, row.cv_accuracy_mean) == (0.9, None, 0.6)
+        assert row.label == "In-sample log loss (not out-of-fold): 0.900000"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.schema import FEATURE_COLUMNS, FORM_WINDOW
+from touchline.session import settle
 
 
 def _count(condition):
@@ -45,7 +46,7 @@ def _beside(*one_row: DataFrame) -> DataFrame:
 
 
 def check_features(features: DataFrame, max_league_played: int = 37) -> DataFrame:
-    opening = features.groupBy("competition", "season").agg(F.min("match_date").alias("first_day"))
+    opening = settle(features.groupBy("competition", "season").agg(F.min("match_date").alias("first_day")))
     zero = ["home_home_played", "away_away_played", "home_league_points", "away_league_points",
             "home_league_played", "away_league_played"]
     not_zero = sum((F.col(c) for c in zero[1:]), F.col(zero[0])) != 0

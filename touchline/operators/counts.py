@@ -174,8 +174,8 @@ def expected_counts(fixtures: DataFrame, rates: DataFrame) -> DataFrame:
     """
     keys = [c for c in ("competition", "fold") if c in rates.columns]
     fit = keys + [c for c in ("target", "xi") if c in rates.columns]
-    league = rates.groupBy(*fit).agg(F.avg("attack").alias("ma"), F.avg("defense").alias("md"),
-                                     F.first("home_advantage").alias("home_advantage"))
+    league = settle(rates.groupBy(*fit).agg(F.avg("attack").alias("ma"), F.avg("defense").alias("md"),
+                                            F.first("home_advantage").alias("home_advantage")))  # its true size decides the join
     rows = fixtures.join(league, keys)
     for side, s in (("home", "h"), ("away", "a")):
         rows = rows.join(rates.select(*fit, F.col("team").alias(f"team_{side}"), F.col("attack").alias(f"{s}a"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from touchline.operators.folds import fold_differences, summarize_folds
 
+RECORD = {"model", "fold", "last_train_season", "validation_season", "log_loss", "accuracy"}
+IN_SAMPLE = "training rows only, in-sample (not out-of-fold)"
+
 
 def guard_folds(stored: DataFrame, expected: DataFrame, holdout: str) -> None:
     """Refuse scores that saw the holdout season or come from other folds than today's."""
@@ -19,12 +23,32 @@ def guard_folds(stored: DataFrame, expected: DataFrame, holdout: str) -> None:
         raise ValueError(f"selection scores come from other folds: {wrong}")
 
 
-def selection_table(tracks: dict, guard: tuple | None = None) -> DataFrame:
-    """Mean and deviation of fold scores per model; ``tracks`` maps a track to (fold scores, basis)."""
-    if guard:
-        guard_folds(*guard)
+def guarded_or_in_sample(stored: DataFrame | None, expected: DataFrame, holdout: str, basis: str,
+                         in_sample: Callable[[], DataFrame]) -> tuple[DataFrame, str | None]:
+    """A track for ``selection_table``: stored fold scores that pass the guards, or scores of the fitted rows.
+
+    Without a stored table, or with one that lacks a column the guards need, ``in_sample`` (model, log_loss,
+    accuracy) is used and the basis is None. A stored table of other folds is an error, never replaced.
+    """
+    if stored is None or not RECORD.issubset(stored.columns):
+        return in_sample(), None
+    guard_folds(stored, expected, holdout)
+    return stored, basis
+
+
+def selection_table(tracks: dict) -> DataFrame:
+    """Mean and deviation of fold scores per model; ``tracks`` maps a track to (fold scores, basis).
+
+    A track whose basis is None holds one in-sample score per model: it has no deviation and says what it is.
+    """
     parts = []
     for track, (scores, basis) in tracks.items():
+        if basis is None:
+            none = F.lit(None).cast("double")
+            parts.append(scores.select(
+                "model", F.lit(track).alias("track"), F.col("log_loss").alias("cv_log_loss_mean"), none.alias("cv_log_loss_std"),
+                F.col("accuracy").alias("cv_accuracy_mean"), none.alias("cv_accuracy_std"), F.lit(IN_SAMPLE).alias("selection_basis")))
+            continue
         mean = summarize_folds(scores, ["log_loss", "accuracy"])
         parts.append(mean.select(
             "model", F.lit(track).alias("track"), *[F.col(f"{m}_{s}").alias(f"cv_{m}_{s}") for m in ("log_loss", "accuracy") for s in ("mean", "std")],

@@ -15,6 +15,7 @@ from touchline.session import settle
 # Goal rate of each variant as a chain of fitted rates.
 VARIANTS = {"poisson": ("goals",), "shot_volume": ("shots", "goal_per_shot"),
             "shots_on_target": ("shots", "sot_per_shot", "goal_per_sot")}
+LOW_SCORE = "dixon_coles"
 PAIR = ["competition", "team_home", "team_away"]
 
 
@@ -40,15 +41,33 @@ def fold_rates(matches: DataFrame, roles: DataFrame, targets: tuple, decays: tup
     return settle(counts.fit_rates(counts.fit_cells(counts.day_cells(matches, targets), roles, decays)))
 
 
-def walk_forward(matches: DataFrame, holdout: str, variants: dict = VARIANTS, decays: tuple = (TIME_DECAY,)) -> DataFrame:
-    """Validation-season probabilities of each (fold, decay, variant), trained on earlier seasons only."""
+def last_train_seasons(roles: DataFrame) -> DataFrame:
+    """The newest season that each fold really trains on; one row per fold."""
+    return roles.where("part = 'train'").groupBy("fold").agg(F.max("season").alias("last_train_season"))
+
+
+def walk_forward(matches: DataFrame, holdout: str, variants: dict = VARIANTS, decays: tuple = (TIME_DECAY,),
+                 low_score: bool = False) -> DataFrame:
+    """Validation-season probabilities of each (fold, decay, variant), trained on earlier seasons only.
+
+    ``low_score`` adds a model ``dixon_coles``: the rates of ``poisson`` with the low-score dependence that the
+    fold's own training matches make likeliest. It needs the variant ``poisson`` and the default decay.
+    """
+    if low_score and ("poisson" not in variants or tuple(decays) != (TIME_DECAY,)):
+        raise ValueError("the low-score model needs the variant 'poisson' and the default decay")
     roles = settle(season_membership(matches, holdout))
     rates = fold_rates(matches, roles, tuple(sorted({t for c in variants.values() for t in c})), decays)
     validation = matches.join(roles.where("part = 'validation'").select("season", "fold"), "season").select(
         "fold", "season", "match_id", "match_date", *PAIR, "result")
     pairs = counts.expected_counts(validation.select("fold", *PAIR).distinct(), rates)
     keys = ["fold", "xi", *PAIR]
-    forecasts = grids.outcome_probabilities(chained_expectations(pairs, keys, variants))
+    rows = chained_expectations(pairs, keys, variants)
+    if low_score:
+        train = matches.join(roles.where("part = 'train'").select("season", "fold"), "season")
+        rho = settle(counts.low_score_correlation(train, rates.where("target = 'goals'")).select("competition", "fold", "rho"))
+        corrected = rows.where("model = 'poisson'").withColumn("model", F.lit(LOW_SCORE)).join(rho, ["competition", "fold"])
+        rows = rows.withColumn("rho", F.lit(0.0)).unionByName(corrected)
+    forecasts = grids.outcome_probabilities(rows).drop("rho")
     return validation.join(forecasts, ["fold", *PAIR])
 
 
@@ -69,7 +88,7 @@ def home_advantage_by_subset(matches: DataFrame, rates: DataFrame, subset, xi: f
 def profile_sums(matches: DataFrame, rates: DataFrame, subset, xi: float = TIME_DECAY, keys: list | None = None) -> DataFrame:
     """Per match the weighted home goals and the weighted home rate without home advantage."""
     keys = keys or ["competition"]
-    last = matches.groupBy(*keys).agg(F.max("match_date").alias("base_date"))
+    last = settle(matches.groupBy(*keys).agg(F.max("match_date").alias("base_date")))
     frozen = rates.withColumn("home_advantage", F.lit(0.0))
     rows = counts.expected_counts(matches.join(last, keys).withColumn("subset", subset), frozen)
     w = counts.decay_weight(xi)
@@ -87,11 +106,11 @@ def seasonal_home_advantage(matches: DataFrame, holdout: str, empty_seasons: tup
     train = matches.join(roles.where("part = 'train'").select("season", "fold"), "season")
     empty = F.col("season").isin(*empty_seasons)
     keys = ["competition", "fold"]
-    profiled = home_advantage_by_subset(train, rates, F.when(empty, "empty").otherwise("normal"), keys=keys).groupBy(*keys).agg(
+    profiled = settle(home_advantage_by_subset(train, rates, F.when(empty, "empty").otherwise("normal"), keys=keys).groupBy(*keys).agg(
         F.max(F.when(F.col("subset") == "normal", F.col("home_advantage"))).alias("hfa_normal"),
-        F.max(F.when(F.col("subset") == "empty", F.col("home_advantage"))).alias("hfa_empty"))
+        F.max(F.when(F.col("subset") == "empty", F.col("home_advantage"))).alias("hfa_empty")))
     validation = matches.join(roles.where("part = 'validation'").select("season", "fold"), "season").withColumn("no_fans", empty)
-    league = rates.groupBy(*keys).agg(F.first("home_advantage").alias("hfa_global"))
+    league = settle(rates.groupBy(*keys).agg(F.first("home_advantage").alias("hfa_global")))
     rows = counts.expected_counts(validation, rates).join(league, keys).join(profiled, keys)
     shifts = [F.struct(F.lit(n).alias("model"), h.alias("hfa")) for n, h in (
         ("baseline", F.col("hfa_global")), ("variant_a", F.col("hfa_normal")),

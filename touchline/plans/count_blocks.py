@@ -91,20 +91,26 @@ cells_block("train_cells", ("goals", "corners", "yellow", "red", "shots"))
 rates_block("train_rates", "train_cells")
 BLOCKS["pairs"] = (("matches",), "SELECT DISTINCT competition, team_home, team_away FROM matches WHERE season = '2001'", "MATERIALIZED ")
 expected_block("pair_rates", "pairs", "train_rates")
-BLOCKS["rho"] = (("matches", "train_rates"), """
-  WITH b AS (SELECT competition, max(match_date) AS base_date FROM matches WHERE season <> '2001' GROUP BY 1),
-  l AS (SELECT competition, avg(attack) AS ma, avg(defense) AS md, any_value(home_advantage) AS ha FROM train_rates WHERE target = 'goals' GROUP BY 1),
+def rho_block(name, rates, folds=False):
+    fold = ", fold" if folds else ""
+    on = lambda s: f"{s}.target = 'goals' AND {s}.competition = m.competition" + (f" AND {s}.fold = m.fold" if folds else "")
+    rows = ("(SELECT m.*, r.fold FROM matches m JOIN season_roles r ON r.season = m.season AND r.part = 'train')" if folds
+            else "(SELECT * FROM matches WHERE season <> '2001')")
+    BLOCKS[name] = (("matches", rates) + (("season_roles",) if folds else ()), f"""
+  WITH m AS {rows}, b AS (SELECT competition{fold}, max(match_date) AS base_date FROM m GROUP BY ALL),
   c AS (
-    SELECT m.competition, goals_home AS i, goals_away AS j, exp(-0.0018e0 * date_diff('day', match_date, base_date)) AS w,
+    SELECT m.competition{", m.fold" if folds else ""}, goals_home AS i, goals_away AS j, exp(-0.0018e0 * date_diff('day', match_date, base_date)) AS w,
       exp(h.home_advantage + h.attack + a.defense) AS lam, exp(a.attack + h.defense) AS mu
-    FROM matches m JOIN b USING (competition) JOIN train_rates h ON h.target = 'goals' AND h.competition = m.competition AND h.team = m.team_home
-    JOIN train_rates a ON a.target = 'goals' AND a.competition = m.competition AND a.team = m.team_away
-    WHERE m.season <> '2001' AND goals_home <= 1 AND goals_away <= 1),
-  r AS (SELECT competition, rho, sum(w * ln(greatest(CASE WHEN i = 0 AND j = 0 THEN 1 - lam * mu * rho WHEN i = 0 THEN 1 + lam * rho
+    FROM m JOIN b USING (competition{fold}) JOIN {rates} h ON {on("h")} AND h.team = m.team_home
+    JOIN {rates} a ON {on("a")} AND a.team = m.team_away WHERE goals_home <= 1 AND goals_away <= 1),
+  r AS (SELECT competition{fold}, rho, sum(w * ln(greatest(CASE WHEN i = 0 AND j = 0 THEN 1 - lam * mu * rho WHEN i = 0 THEN 1 + lam * rho
       WHEN j = 0 THEN 1 + mu * rho ELSE 1 - rho END, 1e-10))) AS gain
     FROM c, (SELECT round(-0.2e0 + 0.01e0 * unnest(range(41)), 2) AS rho) GROUP BY ALL)
-  SELECT competition, min_by(rho, struct_pack(a := round(-gain, 7), b := abs(rho), c := rho)) AS rho, max(gain) AS gain
-  FROM r GROUP BY competition""", "MATERIALIZED ")
+  SELECT competition{fold}, min_by(rho, struct_pack(a := round(-gain, 7), b := abs(rho), c := rho)) AS rho, max(gain) AS gain
+  FROM r GROUP BY competition{fold}""", "MATERIALIZED ")
+
+
+rho_block("rho", "train_rates")
 BLOCKS["pair_grid"] = (("pair_rates",), grid_sql("pair_rates", "competition, team_home, team_away", where="target = 'goals'"), "MATERIALIZED ")
 BLOCKS["pair_rates_rho"] = (("pair_rates", "rho"), "SELECT p.*, r.rho FROM pair_rates p JOIN rho r USING (competition) WHERE target = 'goals'", "MATERIALIZED ")
 BLOCKS["pair_grid_rho"] = (("pair_rates_rho",), grid_sql("pair_rates_rho", "competition, team_home, team_away", rho="rho"), "MATERIALIZED ")

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from touchline.functions.probability import log_loss
-from touchline.operators import checks, counts, folds, ratings, selection, walkforward as wf
+from touchline.operators import checks, counts, folds, grids, ratings, selection, walkforward as wf
+from touchline.operators.metrics import model_metrics
 from touchline.plans import ratings as _rating_plans  # noqa: F401  (defines the SQL blocks)
 from touchline.plans.blocks import BLOCKS
 from touchline.plans.cleaning import MODELS, predictions_of
-from touchline.plans.count_blocks import cells_block, expected_block, grid_sql, rates_block
+from touchline.plans.count_blocks import cells_block, expected_block, grid_sql, rates_block, rho_block
 from touchline.plans.counts import split_matches
 from touchline.plans.metrics import rounded
 from touchline.plans.registry import query
@@ -27,16 +28,19 @@ BLOCKS["fold_pairs"] = (("matches", "season_roles"), """SELECT DISTINCT m.compet
 expected_block("fold_expected", "fold_pairs", "fold_rates", folds=True)
 expected_block("arm_expected", "fold_pairs", "arm_rates", folds=True)
 _FOLD_KEY = "competition, fold, xi, model, team_home, team_away"
+TRACK_MODELS = ("poisson", wf.LOW_SCORE, "elo")
 
 
-def _forecast_block(name, chains, expected):
-    """1X2 per fold pairing and model from chained rates, then per validation match with its losses."""
+def _forecast_block(name, chains, expected, rho=None):
+    """1X2 per fold pairing and model from chained rates, low-score term included where ``rho`` names its block."""
     rows = " UNION ALL ".join(
         f"SELECT competition, fold, xi, '{m}' AS model, team_home, team_away, bool_or(cold_start) AS cold_start, product(expected_home) AS expected_home, "
         f"product(expected_away) AS expected_away FROM {expected} WHERE target IN ({', '.join(repr(t) for t in chain)}) GROUP BY ALL"
         for m, chain in chains.items())
-    BLOCKS[name] = ((expected, "matches", "season_roles"), f"""
-  WITH c AS ({rows}), g AS ({grid_sql('c', _FOLD_KEY)}),
+    grid = f"g AS ({grid_sql('cr', _FOLD_KEY, rho='rho')})" if rho else f"g AS ({grid_sql('c', _FOLD_KEY)})"
+    term = f"cr AS (SELECT c.*, r.rho FROM c JOIN {rho} r USING (competition, fold)), " if rho else ""
+    BLOCKS[name] = ((expected, "matches", "season_roles") + ((rho,) if rho else ()), f"""
+  WITH c AS ({rows}), {term}{grid},
   p AS (SELECT {_FOLD_KEY}, sum(p) FILTER (i > j) AS h, sum(p) FILTER (i = j) AS d, sum(p) FILTER (i < j) AS a FROM g GROUP BY ALL)
   SELECT m.match_id, m.match_date, m.result, p.fold, p.xi, p.model, m.season, c.cold_start, h AS prob_home, d AS prob_draw, a AS prob_away
   FROM matches m JOIN season_roles r ON r.season = m.season AND r.part = 'validation'
@@ -56,8 +60,11 @@ def _score_block(name, source, keys):
 
 _forecast_block("fold_forecast", {"poisson": ("goals",)}, "fold_expected")
 _forecast_block("arm_forecast", wf.VARIANTS, "arm_expected")
-BLOCKS["track_forecast"] = (("fold_forecast", "plain_elo_probs", "season_roles"), """
+rho_block("fold_rho", "fold_rates", folds=True)
+_forecast_block("fold_rho_forecast", {wf.LOW_SCORE: ("goals",)}, "fold_expected", "fold_rho")
+BLOCKS["track_forecast"] = (("fold_forecast", "fold_rho_forecast", "plain_elo_probs", "season_roles"), """
   SELECT match_id, result, fold, model, season, prob_home, prob_draw, prob_away FROM fold_forecast
+  UNION ALL SELECT match_id, result, fold, model, season, prob_home, prob_draw, prob_away FROM fold_rho_forecast
   UNION ALL SELECT e.match_id, e.result, r.fold, 'elo', e.season, prob_home, prob_draw, prob_away FROM plain_elo_probs e
   JOIN season_roles r ON r.season = e.season AND r.part = 'validation'""", "MATERIALIZED ")
 _score_block("track_scores", "track_forecast", "fold, season AS validation_season, model")
@@ -95,13 +102,13 @@ def _(spark, d):
 
 
 def _track(spark, d):
-    """Season walk-forward of the goal model and the unseeded ratings, labels joined by match."""
+    """Season walk-forward of the goal model, its low-score variant and the unseeded ratings, labels joined by match."""
     m = settle(load_matches(spark, d))
-    poisson = wf.walk_forward(m, HOLDOUT_SEASON, {"poisson": ("goals",)})
+    poisson = wf.walk_forward(m, HOLDOUT_SEASON, {"poisson": ("goals",)}, low_score=True)
     names = ["match_id", "result", "fold", "model", "season", "cold_start", "prob_home", "prob_draw", "prob_away"]
     done = ratings.rate(m.where(F.col("season") != HOLDOUT_SEASON)).where("kind = 'match'")
     elo = ratings.rating_probabilities(done).join(
-        folds.season_folds(m, HOLDOUT_SEASON).select("fold", F.col("validation_season").alias("season")), "season")
+        settle(folds.season_folds(m, HOLDOUT_SEASON).select("fold", F.col("validation_season").alias("season"))), "season")
     elo = elo.withColumns({"model": F.lit("elo"), "cold_start": F.lit(False)})
     return m, settle(poisson.select(*names).unionByName(elo.select(*names)))
 
@@ -149,10 +156,10 @@ def _(spark, d):
     return best.withColumn("best_log_loss", F.round("best_log_loss", 6))
 
 
-@query("a23_fold_model_pivot", "SELECT fold, " + ", ".join(f"round(max(log_loss) FILTER (model = '{m}'), 6) AS {m}" for m in ("poisson", "elo")) + " FROM track_scores GROUP BY fold", ("track_scores",))
+@query("a23_fold_model_pivot", "SELECT fold, " + ", ".join(f"round(max(log_loss) FILTER (model = '{m}'), 6) AS {m}" for m in TRACK_MODELS) + " FROM track_scores GROUP BY fold", ("track_scores",))
 def _(spark, d):
     scores = _track_scores(spark, d)[1]
-    return rounded(scores.groupBy("fold").pivot("model", ["poisson", "elo"]).agg(F.max("log_loss")), 6)
+    return rounded(scores.groupBy("fold").pivot("model", list(TRACK_MODELS)).agg(F.max("log_loss")), 6)
 
 
 @query("m42_goals_arm", f"SELECT fold, xi, n, {_S6('log_loss', 'rps', 'accuracy')} FROM arm_scores WHERE model = 'poisson'", ("arm_scores",))
@@ -269,16 +276,52 @@ c AS (SELECT model, avg(ll) AS cv_log_loss_mean, stddev_samp(ll) AS cv_log_loss_
 _SEL = "round(cv_log_loss_mean, 6) AS cv_log_loss_mean, round(cv_log_loss_std, 6) AS cv_log_loss_std, round(cv_accuracy_mean, 6) AS cv_accuracy_mean, round(cv_accuracy_std, 6) AS cv_accuracy_std"
 
 
+BLOCKS["train_pairs"] = (("matches",), "SELECT DISTINCT competition, team_home, team_away FROM matches WHERE season <> '2001'", "MATERIALIZED ")
+expected_block("train_expected", "train_pairs", "train_rates")
+BLOCKS["train_goals"] = (("train_expected", "rho"), """
+  SELECT e.competition, team_home, team_away, expected_home, expected_away, unnest(['poisson', 'dixon_coles']) AS model, unnest([0e0, r.rho]) AS rho
+  FROM train_expected e JOIN rho r ON r.competition = e.competition WHERE target = 'goals'""", "MATERIALIZED ")
+BLOCKS["in_sample_forecast"] = (("matches", "train_goals", "plain_elo_probs"), f"""
+  WITH g AS ({grid_sql('train_goals', 'competition, team_home, team_away, model', rho='rho')}),
+  p AS (SELECT competition, team_home, team_away, model, sum(p) FILTER (i > j) AS prob_home, sum(p) FILTER (i = j) AS prob_draw, sum(p) FILTER (i < j) AS prob_away FROM g GROUP BY ALL)
+  SELECT m.result, model, prob_home, prob_draw, prob_away FROM matches m JOIN p USING (competition, team_home, team_away) WHERE m.season <> '2001'
+  UNION ALL SELECT result, 'elo', prob_home, prob_draw, prob_away FROM plain_elo_probs WHERE season <> '2001'""", "MATERIALIZED ")
+_score_block("in_sample_scores", "in_sample_forecast", "model")
+
+
+def in_sample_scores(m):
+    """Scores of the track's models on the rows they were fitted to: what selection falls back to without a record."""
+    train = settle(m.where(F.col("season") != HOLDOUT_SEASON))
+    rates = settle(counts.fit_rates(counts.fit_cells(counts.day_cells(train))))
+    rho = settle(counts.low_score_correlation(train, rates).select("competition", "rho"))
+    pairs = counts.expected_counts(train.select(*wf.PAIR).distinct(), rates).join(rho, "competition")
+    arms = [F.struct(F.lit("poisson").alias("model"), F.lit(0.0).alias("rho")), F.struct(F.lit(wf.LOW_SCORE).alias("model"), F.col("r").alias("rho"))]
+    pairs = grids.outcome_probabilities(pairs.withColumnRenamed("rho", "r").select("*", F.inline(F.array(*arms))))
+    names = ["model", "result", "prob_home", "prob_draw", "prob_away"]
+    goals = train.select("match_id", "result", *wf.PAIR).join(pairs, wf.PAIR).select(*names)
+    elo = ratings.rating_probabilities(ratings.rate(train).where("kind = 'match'")).withColumn("model", F.lit("elo")).select(*names)
+    return model_metrics(goals.unionByName(elo), ["model"])
+
+
+@query("m37_in_sample_fallback", f"""SELECT model, 'Track A' AS track, round(log_loss, 6) AS cv_log_loss_mean, CAST(NULL AS DOUBLE) AS cv_log_loss_std, round(accuracy, 6) AS cv_accuracy_mean,
+  CAST(NULL AS DOUBLE) AS cv_accuracy_std, '{selection.IN_SAMPLE}' AS selection_basis, concat('In-sample log loss (not out-of-fold): ', printf('%.6f', round(log_loss, 6))) AS label FROM in_sample_scores""", ("in_sample_scores",))
+def _(spark, d):
+    m = settle(load_matches(spark, d))
+    track = selection.guarded_or_in_sample(None, folds.season_folds(m, HOLDOUT_SEASON), HOLDOUT_SEASON, "", lambda: in_sample_scores(m))
+    return rounded(selection.selection_table({"Track A": track}), 6).withColumn("label", selection.metric_label())
+
+
 def selection_table(spark, d):
     m, track = _track_scores(spark, d)
-    expected = folds.season_folds(m, HOLDOUT_SEASON)
-    stored = settle(track.join(expected.drop("fold"), "validation_season"))
+    # The record says what each fold trained on; the guard derives the folds anew from the seasons.
+    trained = wf.last_train_seasons(folds.season_membership(m, HOLDOUT_SEASON))
+    stored = settle(track.join(trained, "fold"))
     rows = predictions_of(m).where(F.col("season") != HOLDOUT_SEASON)
-    from touchline.operators.metrics import model_metrics
     other = model_metrics(rows, ["model", "season"]).withColumnRenamed("season", "fold")
-    return settle(selection.selection_table(
-        {"Track A": (stored, "walk-forward by season, training seasons only"), "Track B": (other, "season folds")},
-        guard=(stored, expected, HOLDOUT_SEASON)))
+    return settle(selection.selection_table({
+        "Track A": selection.guarded_or_in_sample(
+            stored, folds.season_folds(m, HOLDOUT_SEASON), HOLDOUT_SEASON, "walk-forward by season, training seasons only",
+            lambda: in_sample_scores(m)), "Track B": (other, "season folds")}))
 
 
 @query("m37_selection_table", f"""{_SELECTION} SELECT model, 'Track A' AS track, {_SEL}, concat('walk-forward by season, training seasons only, ', folds, ' folds (out-of-sample)') AS selection_basis FROM g
@@ -288,9 +331,9 @@ def _(spark, d):
 
 
 @query("k2_select_best_model", f"""{_SELECTION}, a AS (SELECT * FROM g UNION ALL SELECT * FROM c) SELECT model, round(cv_log_loss_mean, 6) AS cv_log_loss_mean, round(cv_accuracy_mean, 6) AS cv_accuracy_mean
-FROM a WHERE model IN ('poisson', 'elo', 'form', 'base_rate') ORDER BY cv_log_loss_mean, cv_accuracy_mean DESC, model LIMIT 1""", ("track_scores", "scores"))
+FROM a WHERE model IN ('poisson', 'dixon_coles', 'elo', 'form', 'base_rate') ORDER BY cv_log_loss_mean, cv_accuracy_mean DESC, model LIMIT 1""", ("track_scores", "scores"))
 def _(spark, d):
-    best = selection.select_best_model(selection_table(spark, d), ["poisson", "elo", "form", "base_rate"])
+    best = selection.select_best_model(selection_table(spark, d), [*TRACK_MODELS, "form", "base_rate"])
     return rounded(best.select("model", "cv_log_loss_mean", "cv_accuracy_mean"), 6)
 
 
