@@ -72,8 +72,20 @@ def check_probabilities(predictions: DataFrame, models: int) -> DataFrame:
 
 
 def check_rating_history(history: DataFrame) -> DataFrame:
-    per_match = history.groupBy("match_id").agg(F.count("*").alias("n"), F.countDistinct("venue").alias("v"))
-    return per_match.agg(F.count("*").alias("matches"), _count((F.col("n") != 2) | (F.col("v") != 2)).alias("not_two_views"))
+    """Two rows per match, one a venue, that mirror each other; ratings present."""
+    per_match = history.groupBy("match_id").agg(
+        F.count("*").alias("n"), F.countDistinct("venue").alias("v"), F.abs(F.sum("elo_gap_pre")).alias("gap"),
+        _count(F.col("elo_pre").isNull() | F.col("elo_post").isNull()).alias("nulls"))
+    return per_match.agg(F.count("*").alias("matches"), F.sum("n").alias("rows"), _count((F.col("n") != 2) | (F.col("v") != 2)).alias("not_two_views"),
+                         _count(F.col("gap") > 1e-9).alias("not_mirrored"), F.sum("nulls").alias("null_ratings"))
+
+
+def check_schema(table: DataFrame, expected: dict) -> DataFrame:
+    """Columns of the stable layout that are missing, of another type, or not in it; one row of counts."""
+    found = dict(table.dtypes)
+    facts = {"missing_columns": set(expected) - set(found), "extra_columns": set(found) - set(expected),
+             "wrong_types": {c for c in expected if c in found and found[c] != expected[c]}}
+    return table.agg(F.count("*").alias("rows"), *[F.lit(len(v)).cast("long").alias(k) for k, v in facts.items()])
 
 
 def check_split(rows: DataFrame, part: str = "part") -> DataFrame:

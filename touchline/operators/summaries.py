@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import tails
 from touchline.operators.teams import team_view
 from touchline.schema import CLASSES, REFEREE_MIN_MATCHES, REFEREE_OTHER, REFEREE_PRIOR
+from touchline.session import settle
 
 
 def result_distribution(matches: DataFrame) -> DataFrame:
@@ -116,15 +117,14 @@ def referee_card_factors(train: DataFrame, label: str = "yellow", home: str = "y
     """Multiplier per referee: card rate shrunk to the league rate; rare referees get the league rate."""
     cards = F.coalesce(F.col(home), F.lit(0)) + F.coalesce(F.col(away), F.lit(0))
     named = F.when(F.trim("referee") != "", F.col("referee"))
-    by_referee = train.groupBy(named.alias("referee")).agg(
-        F.count("*").alias("training_matches"), F.sum(cards.cast("long")).alias("total_cards"))
-    whole = Window.partitionBy(F.lit(1))  # one row per referee, not per match
+    by_referee = settle(train.groupBy(named.alias("referee")).agg(
+        F.count("*").alias("training_matches"), F.sum(cards.cast("long")).alias("total_cards"))).withColumn("one", F.lit(1))
+    league = by_referee.groupBy("one").agg((F.sum("total_cards") / F.sum("training_matches")).alias("league_rate"),
+                                           F.count("referee").alias("named"))  # one row, joined back
     n, rate = F.col("training_matches"), F.col("raw_rate")
     rare = n < minimum
-    any_named = F.count("referee").over(whole) > 0
     return (
-        by_referee.withColumn("league_rate", F.sum("total_cards").over(whole) / F.sum("training_matches").over(whole))
-        .withColumn("any_named", any_named).where("any_named").drop("any_named")
+        by_referee.join(settle(league.where("named > 0")), "one").drop("one", "named")
         .withColumn("raw_rate", F.col("total_cards") / n)
         .withColumn("category", F.when(rare, REFEREE_OTHER).otherwise(F.col("referee")))
         .withColumn("prior_weight", F.when(rare, 0.0).otherwise(prior))
@@ -135,6 +135,52 @@ def referee_card_factors(train: DataFrame, label: str = "yellow", home: str = "y
     )
 
 
+def run_metadata(train: DataFrame, models: dict) -> DataFrame:
+    """What each model was fitted on: rows that hold all of its columns, their seasons and first and last day.
+
+    ``models`` maps a model to its target columns; one pass over the matches serves all models.
+    """
+    def facts(columns):
+        there = F.lit(True)
+        for c in columns:
+            there = there & F.col(c).isNotNull()
+        kept = lambda c: F.when(there, F.col(c))
+        return F.struct(F.count(F.when(there, 1)).alias("training_rows"),
+                        F.array_join(F.array_sort(F.collect_set(kept("season"))), ",").alias("seasons"),
+                        F.min(kept("match_date")).alias("first_date"), F.max(kept("match_date")).alias("last_date"))
+
+    one_row = train.agg(*[facts(columns).alias(name) for name, columns in models.items()])
+    return one_row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("facts")) for n in models]))).select(
+        "model", "facts.*")
+
+
+def training_consistency(runs: DataFrame) -> DataFrame:
+    """Whether the models of a set of runs saw the same period and the same number of rows."""
+    found = runs.agg(F.count("*").alias("models"), F.countDistinct(F.struct("first_date", "last_date")).alias("periods"),
+                     F.countDistinct("training_rows").alias("sizes"))
+    return found.withColumn("inconsistent", (F.col("periods") > 1) | (F.col("sizes") > 1))
+
+
+def fixture_warnings(fixtures: DataFrame, coverage: DataFrame, draw_recall: DataFrame, least_matches: int = 100,
+                     least_recall: float = 0.1) -> DataFrame:
+    """Comma-joined warnings per fixture, in this order: for each side little history and an old last season,
+    then a team the fit never saw, then a classifier that hardly finds draws. Empty where there is none.
+
+    ``coverage`` is one row per team of the training matches, ``draw_recall`` one row (``draw_recall``, NULL without draws).
+    """
+    latest = settle(coverage.agg(F.max("last_season").alias("latest")).withColumn("one", F.lit(1)))
+    recall = settle(draw_recall.select("draw_recall").withColumn("one", F.lit(1)))
+    rows, warnings = fixtures.withColumn("one", F.lit(1)).join(latest, "one").join(recall, "one"), []
+    for side in ("home", "away"):
+        rows = rows.join(coverage.select(F.col("team").alias(f"team_{side}"), F.col("matches").alias(f"{side}_matches"),
+                                         F.col("seasons").alias(f"{side}_seasons"), F.col("last_season").alias(f"{side}_last")), f"team_{side}", "left")
+        few = (F.col(f"{side}_seasons") <= 1) | (F.col(f"{side}_matches") < least_matches)
+        warnings += [F.when(few, f"{side}_limited_history"), F.when(F.col(f"{side}_last") < F.col("latest"), f"{side}_stale_season")]
+    unseen = F.col("home_matches").isNull() | F.col("away_matches").isNull()
+    warnings += [F.when(unseen, "cold_start"), F.when(F.col("draw_recall") < least_recall, "low_draw_recall")]
+    return rows.select(*fixtures.columns, F.concat_ws(",", *warnings).alias("warnings"))
+
+
 def with_referee_factor(rows: DataFrame, factors: DataFrame) -> DataFrame:
     """Attach the factor of the row's referee, 1.0 for an unknown one."""
     known = factors.where(F.col("referee").isNotNull()).select("referee", "factor")

@@ -7,7 +7,7 @@ from touchline.operators.features import team_day_features
 from touchline.operators.metrics import stable_summary
 from touchline.operators.teams import team_universe, team_view
 from touchline.plans.registry import query
-from touchline.schema import TIME_DECAY
+from touchline.schema import CLASSES, FEATURE_COLUMNS, TIME_DECAY
 from touchline.session import settle
 from touchline.sources import files
 from touchline.sources.derived import (
@@ -117,7 +117,7 @@ def _(spark, d):
 SELECT count(*) AS matches, count(*) FILTER (season <> '2001') AS training_matches,
   count(*) FILTER (season = '2001') AS holdout_matches, string_agg(DISTINCT season, ',' ORDER BY season) AS seasons,
   CAST(min(match_date) AS VARCHAR) AS first_date, CAST(max(match_date) AS VARCHAR) AS last_date,
-  0.0018e0 AS time_decay FROM matches""")
+  0.0018e0 AS time_decay, '""" + ",".join(FEATURE_COLUMNS) + """' AS features, 'H=0,D=1,A=2' AS targets FROM matches""")
 def _(spark, d):
     m = load_matches(spark, d)
     held = (F.col("season") == HOLDOUT_SEASON).cast("long")
@@ -125,10 +125,13 @@ def _(spark, d):
         F.count("*").alias("matches"), F.sum(1 - held).alias("training_matches"), F.sum(held).alias("holdout_matches"),
         F.array_join(F.array_sort(F.collect_set("season")), ",").alias("seasons"),
         F.min("match_date").cast("string").alias("first_date"), F.max("match_date").cast("string").alias("last_date")
-    ).withColumn("time_decay", F.lit(TIME_DECAY))
+    ).withColumns({"time_decay": F.lit(TIME_DECAY), "features": F.array(*[F.lit(c) for c in FEATURE_COLUMNS]),
+                   "targets": F.struct(*[F.lit(k).alias(c) for k, c in enumerate(CLASSES)])})
     path = files.scratch(spark)
     facts.write.json(path)
-    return spark.read.schema(facts.schema).json(path)
+    stored = spark.read.schema(facts.schema).json(path)
+    named = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(f"targets.{c}")) for c in CLASSES])
+    return stored.withColumns({"features": F.array_join("features", ","), "targets": named})
 
 
 @query("s10_optional_source", """

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from touchline.operators import ratings
+from touchline.operators import checks, ratings
 from touchline.plans.blocks import BLOCKS
 from touchline.plans.metrics import rounded
 from touchline.plans.registry import query
@@ -82,6 +82,14 @@ _VIEW_COLUMNS = ["match_id", "competition", "season", "venue", "team", "opponent
 _R6 = lambda *c: ", ".join(f"round({x}, 6) AS {x}" for x in c)
 
 
+@query("v3_rating_history_checks", f"""WITH {_VIEWS}, p AS (SELECT match_id, count(*) AS n, count(DISTINCT venue) AS v, abs(sum(elo_gap_pre)) AS gap,
+  count(*) FILTER (elo_pre IS NULL OR elo_post IS NULL) AS nulls FROM h GROUP BY 1)
+SELECT count(*) AS matches, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (n <> 2 OR v <> 2) AS not_two_views, count(*) FILTER (gap > 1e-9) AS not_mirrored,
+  CAST(sum(nulls) AS BIGINT) AS null_ratings FROM p""", ("rated",))
+def _(spark, d):
+    return checks.check_rating_history(ratings.rating_history(rated_matches(spark, d)[2]))
+
+
 @query("m1_rating_history", f"WITH {_VIEWS} SELECT {', '.join(_VIEW_COLUMNS)}, {_R6('elo_pre', 'opponent_elo_pre', 'elo_gap_pre', 'elo_post')} FROM h", ("rated",))
 def _(spark, d):
     _, _, done = rated_matches(spark, d)

@@ -7,13 +7,19 @@ from touchline.operators import checks, summaries as ops
 from touchline.operators.features import generate_features
 from touchline.operators.teams import final_table, team_coverage, team_view
 from touchline.plans.cleaning import predictions_of, stored_fixtures
+from touchline.operators.metrics import draw_report
 from touchline.plans.metrics import rounded
 from touchline.plans.registry import query
 from touchline.session import settle
+from touchline.sources import files
 from touchline.sources.derived import (
     HOLDOUT_SEASON, load_external_ratings, load_matches, load_player_matches, load_player_shooting,
     load_player_standard)
 
+# Stable layout of written forecasts.
+FORECAST_TYPES = {"match_id": "bigint", "competition": "string", "season": "string", "match_date": "date", "model": "string",
+                  "result": "string", "prob_home": "double", "prob_draw": "double", "prob_away": "double"}
+
 
 @query("a1_result_distribution", """SELECT result, count(*) AS n, round(100.0e0 * count(*) / (SELECT count(*) FROM matches), 9) AS percent
 FROM matches GROUP BY result""")
@@ -159,16 +165,34 @@ def _(spark, d):
     return rounded(ops.volume_and_conversion(load_matches(spark, d)))
 
 
-@query("a25_training_consistency", """WITH s AS (SELECT CASE WHEN competition = '1-URGENT' THEN 'urgent' ELSE 'other' END AS model,
-  count(*) AS n, min(match_date) AS a, max(match_date) AS b FROM matches WHERE season <> '2001' GROUP BY 1)
+# Targets of the models whose runs are compared.
+RUNS = {"outcome": ["result"], "goals": ["goals_home", "goals_away"], "corners": ["corners_home", "corners_away"],
+        "cards": ["yellow_cards_home", "yellow_cards_away", "referee"]}
+
+
+def stored_runs(spark, d):
+    """Metadata rows of the runs, written as JSON beside the models and read back."""
+    runs = ops.run_metadata(load_matches(spark, d).where(F.col("season") != HOLDOUT_SEASON), RUNS)
+    path = files.scratch(spark)
+    runs.write.json(path)
+    return spark.read.schema(runs.schema).json(path)
+
+
+_RUNS = " UNION ALL ".join(
+    f"""SELECT '{n}' AS model, count(*) AS n, string_agg(DISTINCT season, ',' ORDER BY season) AS seasons, min(match_date) AS a, max(match_date) AS b
+  FROM matches WHERE season <> '2001' AND {' AND '.join(f'{c} IS NOT NULL' for c in columns)}""" for n, columns in RUNS.items())
+
+
+@query("s8_model_runs", f"WITH s AS ({_RUNS}) SELECT model, n AS training_rows, seasons, a AS first_date, b AS last_date FROM s")
+def _(spark, d):
+    return stored_runs(spark, d)
+
+
+@query("a25_training_consistency", f"""WITH s AS ({_RUNS})
 SELECT count(*) AS models, count(DISTINCT (a, b)) AS periods, count(DISTINCT n) AS sizes,
   count(DISTINCT (a, b)) > 1 OR count(DISTINCT n) > 1 AS inconsistent FROM s""")
 def _(spark, d):
-    train = load_matches(spark, d).where(F.col("season") != HOLDOUT_SEASON)
-    runs = train.groupBy(F.when(F.col("competition") == "1-URGENT", "urgent").otherwise("other").alias("model")).agg(
-        F.count("*").alias("n"), F.struct(F.min("match_date"), F.max("match_date")).alias("period"))
-    found = runs.agg(F.count("*").alias("models"), F.countDistinct("period").alias("periods"), F.countDistinct("n").alias("sizes"))
-    return found.withColumn("inconsistent", (F.col("periods") > 1) | (F.col("sizes") > 1))
+    return ops.training_consistency(stored_runs(spark, d))
 
 
 @query("a26_red_card_share", """SELECT count(*) AS matches, count(*) FILTER (red_cards_home + red_cards_away > 0) AS with_red,
@@ -253,6 +277,21 @@ def _(spark, d):
         ",", F.when(few, "limited_history"), F.when(F.col("last_season") < F.col("latest"), "stale_season")).alias("warnings"))
 
 
+@query("p21_fixture_warnings", """WITH c AS (SELECT team, count(*) AS matches, count(DISTINCT season) AS seasons, max(season) AS last_season FROM t WHERE season <> '2001' GROUP BY team),
+l AS (SELECT max(last_season) AS latest FROM c),
+r AS (SELECT count(*) FILTER (result = 'D' AND predicted_result = 'D') / nullif(count(*) FILTER (result = 'D'), 0) AS recall FROM scores WHERE season = '2001' AND model = 'base_rate')
+SELECT m.match_id, concat_ws(',', CASE WHEN h.seasons <= 1 OR h.matches < 100 THEN 'home_limited_history' END, CASE WHEN h.last_season < latest THEN 'home_stale_season' END,
+  CASE WHEN a.seasons <= 1 OR a.matches < 100 THEN 'away_limited_history' END, CASE WHEN a.last_season < latest THEN 'away_stale_season' END,
+  CASE WHEN h.team IS NULL OR a.team IS NULL THEN 'cold_start' END, CASE WHEN recall < 0.1 THEN 'low_draw_recall' END) AS warnings
+FROM matches m, l, r LEFT JOIN c h ON h.team = m.team_home LEFT JOIN c a ON a.team = m.team_away WHERE m.season = '2001'""", ("t", "scores"))
+def _(spark, d):
+    m = settle(load_matches(spark, d))
+    coverage = settle(team_coverage(m.where(F.col("season") != HOLDOUT_SEASON)))
+    held = predictions_of(m).where((F.col("season") == HOLDOUT_SEASON) & (F.col("model") == "base_rate"))
+    fixtures = m.where(F.col("season") == HOLDOUT_SEASON).select("match_id", "team_home", "team_away")
+    return ops.fixture_warnings(fixtures, coverage, draw_report(held, ["model"])).select("match_id", "warnings")
+
+
 @query("v1_match_checks", """SELECT count(*) AS rows, count(*) FILTER (team_home = team_away) AS self_matches,
   count(*) FILTER (goals_home < 0 OR goals_away < 0) AS negative_goals, count(*) FILTER (match_date IS NULL OR result IS NULL) AS missing_core,
   (SELECT count(*) FROM (SELECT match_id FROM matches GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys FROM matches""")
@@ -277,6 +316,15 @@ def _(spark, d):
     return checks.check_probabilities(predictions_of(settle(load_matches(spark, d))), 4)
 
 
+@query("v5_stable_schema", """SELECT count(*) AS rows, CAST(0 AS BIGINT) AS missing_columns, CAST(0 AS BIGINT) AS extra_columns, CAST(0 AS BIGINT) AS wrong_types
+FROM predictions""", ("predictions",))
+def _(spark, d):
+    """The written forecasts read back without a given schema, as a later reader meets them."""
+    path = files.scratch(spark)
+    predictions_of(settle(load_matches(spark, d))).select(*FORECAST_TYPES).write.parquet(path)
+    return checks.check_schema(spark.read.parquet(path), FORECAST_TYPES)
+
+
 @query("v9_fixture_checks", """SELECT count(*) AS fixtures, count(*) FILTER (team_home = team_away) AS self_matches,
   count(*) FILTER (least(odds_avg_home, odds_avg_draw, odds_avg_away) <= 1) AS bad_odds,
   count(*) FILTER (match_date <= (SELECT max(match_date) FROM matches WHERE season <> '2001')) AS not_after_history,

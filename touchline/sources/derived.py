@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.session import settle
+
 HOLDOUT_SEASON = "2001"
 EMPTY_STADIUM_SEASONS = ("1998",)
 
@@ -149,11 +151,11 @@ def load_predictions(matches: DataFrame, form: DataFrame) -> DataFrame:
 
     third = F.lit(1.0) / 3
     earlier = Window.partitionBy("competition").orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
-    rates = (
+    rates = settle(
         matches.groupBy("competition", "season")
         .agg(*[F.sum((F.col("result") == r).cast("long")).alias(r) for r in "HDA"])
         .select("competition", "season", *[F.sum(r).over(earlier).alias(r) for r in "HDA"])
-    )
+    )  # its true size decides the join
     keys = lambda side: [F.col("competition"), F.col("team").alias(f"team_{side}"), F.col("match_date"),
                          *[F.col(c).alias(f"{side}_{c}") for c in ("form5_wins", "form5_draws")]]
     wide = matches.select("match_id", "competition", "season", "match_date", "team_home", "team_away", "result",
