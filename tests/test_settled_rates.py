@@ -101,3 +101,32 @@ def test_folds_differ_and_empty_cells_give_no_fit(matches):
     assert {r.fold for r in rows.select("fold").distinct().collect()} == {1} and not rows.where("NOT settled").count()
     nothing = matches.where(F.lit(False))
     assert sr.settled_rates(counts.fit_cells(counts.day_cells(nothing)), sr.low_score_sums(nothing)).count() == 0
+
+
+def test_a_team_without_events_settles_where_plain_sweeps_lead(spark):
+    rows = [("A", "red", 0.0, "x", "y", 1, 0.0, 9.0), ("A", "red", 0.0, "y", "x", 0, 1.0, 8.0), ("A", "red", 0.0, "y", "z", 1, 2.0, 9.0),
+            ("A", "red", 0.0, "z", "y", 0, 0.0, 7.0), ("A", "red", 0.0, "z", "x", 1, 1.0, 5.0), ("A", "red", 0.0, "x", "z", 0, 0.0, 5.0)]
+    cells = spark.createDataFrame(rows, "competition string, target string, xi double, team string, opponent string, is_home int, wy double, we double")
+    plain = _by_key(counts.fit_rates(cells, sweeps=6000))  # a slow case: each plain sweep closes 0.3 % of what is left
+    for k, r in _by_key(sr.settled_rates(cells)).items():
+        assert r.settled and r.sweeps < 300
+        for c in ("attack", "defense", "home_advantage"):
+            assert r[c] == pytest.approx(plain[k][c], abs=1e-5)
+
+
+def test_expected_goal_inputs_see_only_days_before_the_fold(matches):
+    from touchline.operators.walkforward import expected_goal_inputs
+    days = folds.date_membership(matches)
+    inputs = [f"{fit}_expected_{s}" for fit in ("goals", "joint") for s in ("home", "away")]
+    got = {r.match_id: r for r in expected_goal_inputs(matches, days).collect()}
+    first = matches.join(days.where("part = 'validation'"), "match_date").groupBy("fold").agg(F.min("match_date").alias("first"))
+    assert got and len(got) == matches.join(days.where("part = 'validation'"), "match_date").count()
+    third = first.where("fold = 3").first()["first"]
+    later = matches.withColumn("goals_home", F.when(F.col("match_date") >= F.lit(third), F.lit(9)).otherwise(F.col("goals_home")))
+    moved = {r.match_id: r for r in expected_goal_inputs(later, days).collect()}
+    assert got.keys() == moved.keys()
+    for k, r in got.items():
+        if r.fold <= 3:
+            assert [r[c] for c in inputs] == pytest.approx([moved[k][c] for c in inputs], abs=1e-9)
+    assert any(abs(r[inputs[0]] - moved[k][inputs[0]]) > 0.1 for k, r in got.items() if r.fold > 3)
+    assert any(abs(r["goals_expected_home"] - r["joint_expected_home"]) > 1e-5 for r in got.values())

@@ -54,15 +54,21 @@ def decay_weight(xi, base="base_date", day="match_date"):
     return F.exp(-xi * F.datediff(base, day))
 
 
+def membership_key(membership: DataFrame) -> str:
+    """Folds are lists of seasons, or of days."""
+    return "season" if "season" in membership.columns else "match_date"
+
+
 def fit_cells(days: DataFrame, membership: DataFrame | None = None, decays: tuple = (TIME_DECAY,)) -> DataFrame:
-    """Weighted cells of every fit: competition x target x decay, and fold when a season membership is given.
+    """Weighted cells of every fit: competition x target x decay, and fold when a membership of seasons or days is given.
 
-    Days are fanned out to the folds they train by an equi-join on season, after the matches of a
+    Days are fanned out to the folds they train by an equi-join on season or day, after the matches of a
     day are already summed. Weights count back from the last training day.
     """
     keys = ["competition", "target", "xi"]
     if membership is not None:
-        days = days.join(membership.where(F.col("part") == "train").select("season", "fold"), "season")
+        on = membership_key(membership)
+        days = days.join(membership.where(F.col("part") == "train").select(on, "fold"), on)
         keys.append("fold")
     scope = [k for k in keys if k in ("competition", "fold")]
     last = settle(days.groupBy(*scope).agg(F.max("match_date").alias("base_date")))  # its true size decides the join

@@ -1,9 +1,11 @@
 """Count models fitted until they settle, alone or jointly with the low-score dependence.
 
 A sweep solves the score equations of attack, defense and home advantage in turn, so the change it makes is the
-logarithm of observed over expected: the gap of a fit is the largest change of its last sweep. Two sweeps give a step
-that is lengthened by the ratio of their changes; a fit is done when its gap is within the tolerance and only open
-fits are swept again. The rule is the same where a fit is solved inside a task and where it is solved by joins.
+logarithm of observed over expected: the gap of a fit is the largest change of its last sweep. Attack is kept at mean 0,
+as only its sum with defense matters; where credits for teams without events make the sums of both sides differ, the
+equations cannot all hold at once, and the fit settles where plain sweeps lead. Two sweeps give a step that is lengthened
+by the ratio of their changes; a fit is done when its gap is within the tolerance, and only open fits are swept again.
+The rule is the same where a fit is solved inside a task and where it is solved by joins.
 
 With low-score sums a fit also has a dependence ``rho``. Its terms enter the score equations as corrections to the
 successes of the few lowest scores, taken at the state before the sweep, and ``rho`` takes one Newton step a sweep inside
@@ -19,13 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.counts import CELL, CELLS_IN_ONE_TASK, LEAST_MASS, RATES, decay_weight
+from touchline.operators.counts import CELL, CELLS_IN_ONE_TASK, LEAST_MASS, RATES, decay_weight, membership_key
 from touchline.schema import TIME_DECAY
 from touchline.session import settle
 
 TOLERANCE = 1e-9
 MAX_ROUNDS = 200  # of two sweeps; a fit still open then is returned with settled = false
-LONGEST_STEP = 16.0
+LONGEST_STEP = 1000.0
+WORSE = 2.0  # a gap that grew by more is followed by a plain step
 LEAST_SHARE = 0.1  # of its successes that a team keeps under the low-score corrections
 INSIDE = 0.999  # of the way from 0 to a border of rho
 LOW = ("w00", "w01", "w10", "w11")
@@ -40,7 +43,8 @@ def low_score_sums(matches: DataFrame, membership: DataFrame | None = None, deca
     played = matches.where(F.col("goals_home").isNotNull() & F.col("goals_away").isNotNull())
     scope = ["competition"]
     if membership is not None:
-        played = played.join(membership.where("part = 'train'").select("season", "fold"), "season")
+        on = membership_key(membership)
+        played = played.join(membership.where("part = 'train'").select(on, "fold"), on)
         scope.append("fold")
     last = settle(played.groupBy(*scope).agg(F.max("match_date").alias("base_date")))
     rows = played.join(last, scope).withColumn("xi", F.explode(F.array(*[F.lit(float(x)) for x in decays])))
@@ -100,6 +104,7 @@ class _Fit:
             bend = (self.low * ratio ** 2).sum()
             new = rho + (self.low * ratio).sum() / bend if bend > 0 else rho
             rho = (rho + least) / 2 if new < least else (rho + most) / 2 if new > most else new
+        attack, defense = attack - attack.mean(), defense + attack.mean()
         return np.concatenate([attack, defense, [advantage, rho]])
 
     def settled(self, rounds: int, tolerance: float):
@@ -115,7 +120,7 @@ class _Fit:
                 change = one - x
                 bend = two - one - change
                 length = np.sqrt((bend ** 2).sum())
-                step = min(max(np.sqrt((change ** 2).sum()) / length, 1.0), LONGEST_STEP) if length > 0 and gap <= before else 1.0
+                step = min(max(np.sqrt((change ** 2).sum()) / length, 1.0), LONGEST_STEP) if length > 0 and gap <= WORSE * before else 1.0
                 x, before = x + 2 * step * change + step ** 2 * bend, gap
         return two, gap, sweeps
 
@@ -206,9 +211,12 @@ def _sweep(cells: DataFrame, low: DataFrame | None, state: DataFrame, keys: list
     defense = state.select(*keys, F.col("team").alias("opponent"), "defense")
     home = cells.where("is_home = 1").join(attack, keys + ["team"]).join(defense, keys + ["opponent"]).groupBy(*keys).agg(
         F.sum(F.col("we") * F.exp(F.col("attack") + F.col("defense"))).alias("exposure"))
+    level = state.groupBy(*keys).agg(F.avg("attack").alias("level"))
     found = F.ln(F.col("at_home_now") / F.col("exposure"))
     bounded = F.when(F.col("target").isin(*RATES), F.greatest(found, F.lit(0.0))).otherwise(found)
-    state = settle(state.join(home, keys, "left").withColumn("home_advantage", F.coalesce(bounded, F.lit(0.0))).select(*columns))
+    state = settle(state.join(home, keys, "left").join(level, keys).withColumns({
+        "home_advantage": F.coalesce(bounded, F.lit(0.0)), "attack": F.col("attack") - F.col("level"),
+        "defense": F.col("defense") + F.col("level")}).select(*columns))
     if low is not None:
         state = settle(state.join(_next_rho(low, state, keys), keys, "left").withColumn("rho", F.coalesce("next_rho", "rho")).select(*columns))
     return state
@@ -234,7 +242,7 @@ def _by_joins(cells: DataFrame, low: DataFrame | None, keys: list, rounds: int,
         done.append(rows.where(closed).select(*keys, "team", *[F.col(f"two_{c}").alias(c) for c in FITTED], "gap", F.lit(2 * n).alias("sweeps")))
         if n == rounds or not fits.where(~closed).limit(1).count():
             break
-        step = F.when((F.col("bent") > 0) & (F.col("gap") <= F.col("before")), F.least(
+        step = F.when((F.col("bent") > 0) & (F.col("gap") <= WORSE * F.col("before")), F.least(
             F.greatest(F.col("moved") / F.col("bent"), F.lit(1.0)), F.lit(LONGEST_STEP))).otherwise(F.lit(1.0))
         state = settle(rows.where(~closed).withColumn("step", step).select(
             *fixed[:-1], F.col("gap").alias("before"), *[(F.col(c) + 2 * F.col("step") * change[c] + F.col("step") ** 2 * bend[c]).alias(c) for c in FITTED]))

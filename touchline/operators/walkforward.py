@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.probability import row_scores
 from touchline.operators import counts, grids
+from touchline.operators import settled_rates as sr
 from touchline.operators.folds import season_membership
 from touchline.operators.metrics import draw_report, model_metrics
 from touchline.schema import TIME_DECAY
@@ -41,6 +42,24 @@ def fold_rates(matches: DataFrame, roles: DataFrame, targets: tuple, decays: tup
     return settle(counts.fit_rates(counts.fit_cells(counts.day_cells(matches, targets), roles, decays)))
 
 
+def expected_goal_inputs(matches: DataFrame, membership: DataFrame) -> DataFrame:
+    """Out-of-fold expected goals of every validation match of ``membership`` (folds of seasons or days): four inputs.
+
+    Two come from the goal model, two from its joint fit with the low-score dependence, whose team effects differ;
+    both are fitted until they settle on the days before the fold's validation days only.
+    """
+    on = counts.membership_key(membership)
+    cells = settle(counts.fit_cells(counts.day_cells(matches), membership))
+    asked = settle(matches.join(membership.where("part = 'validation'").select(on, "fold"), on).select("match_id", "fold", *PAIR))
+    pairs = asked.select("fold", *PAIR).distinct()
+    out = asked
+    for name, low in (("goals", None), ("joint", sr.low_score_sums(matches, membership))):
+        rates = settle(sr.settled_rates(cells, low).drop("rho"))
+        out = out.join(counts.expected_counts(pairs, rates).select("fold", *PAIR, *[
+            F.col(f"expected_{s}").alias(f"{name}_expected_{s}") for s in ("home", "away")]), ["fold", *PAIR])
+    return out.drop(*PAIR)
+
+
 def last_train_seasons(roles: DataFrame) -> DataFrame:
     """The newest season that each fold really trains on; one row per fold."""
     return roles.where("part = 'train'").groupBy("fold").agg(F.max("season").alias("last_train_season"))

@@ -120,21 +120,32 @@ def _(spark, d):
     return rounded(model_metrics(rows, ["model", "fold"]).join(draw_report(rows, ["model", "fold"]), ["model", "fold"]), 6)
 
 
-@query("m24_j11_expected_goal_features")
+GOAL_INPUTS = [f"{fit}_expected_{side}" for fit in ("goals", "joint") for side in ("home", "away")]
+
+
+@query("m24_expected_goal_inputs", """WITH days AS (SELECT match_date, row_number() OVER (ORDER BY match_date) - 1 AS r, count(*) OVER () AS d
+  FROM (SELECT DISTINCT match_date FROM matches)),
+cut AS (SELECT k AS fold, match_date FROM days, generate_series(1, 5) AS g(k) WHERE r >= d - (6 - k) * (d // 6) AND r < d - (5 - k) * (d // 6))
+SELECT match_id, CAST(fold AS BIGINT) AS fold, 4 AS inputs FROM matches JOIN cut USING (match_date)""")
 def _(spark, d):
-    """Out-of-fold expected goals of the goal model as extra inputs, against the same forest without, on every fold.
+    """Which matches have out-of-fold expected goals, from which date fold, and how many of the four inputs are positive numbers."""
+    m = settle(load_matches(spark, d))
+    rows = wf.expected_goal_inputs(m, settle(folds.date_membership(m)))
+    usable = sum(F.when((F.col(c) > 0) & (F.col(c) < float("inf")), 1).otherwise(0) for c in GOAL_INPUTS)
+    return rows.select("match_id", F.col("fold").cast("bigint").alias("fold"), usable.alias("inputs"))
+
 
-    The low-score term leaves both means of a grid as they are, so it adds no inputs of its own."""
+@query("m24_j11_expected_goal_features")
+def _(spark, d):
+    """Out-of-fold expected goals of the goal model and of its joint fit with the low-score dependence on date folds: four
+    extra inputs, against the same forest without, on every season fold of the matches that have them."""
     m, table = _table(spark, d)
-    roles = settle(folds.season_membership(m, "none"))  # no holdout: the last fold is the holdout season, report only
-    rates = wf.fold_rates(m, roles, ("goals",))
-    validation = m.join(roles.where("part = 'validation'").select("season", "fold"), "season")
-    expected = counts.expected_counts(validation.select("match_id", "fold", *wf.PAIR), rates).select("match_id", "expected_home", "expected_away")
-    covered = settle(table.join(expected, "match_id"))  # only matches with an out-of-fold expectation
+    expected = wf.expected_goal_inputs(m, settle(folds.date_membership(m)))
+    covered = settle(table.join(expected.drop("fold"), "match_id"))
     inner = folds.season_membership(covered, "none", 1)
     n = folds.season_folds(covered, "none", 1).count()
     parts = []
-    for name, columns in (("random_forest", ml.COLUMNS), ("random_forest_expected_goals", ml.COLUMNS + ["expected_home", "expected_away"])):
+    for name, columns in (("random_forest", ml.COLUMNS), ("random_forest_expected_goals", ml.COLUMNS + GOAL_INPUTS)):
         forest = _models("random_forest")["random_forest"]
         parts.append(ml.forward_forecasts(covered, inner, "season", {name: forest}, list(range(1, n + 1)), columns))
     return rounded(model_metrics(parts[0].unionByName(parts[1]), ["model", "fold"]), 6)
