@@ -141,8 +141,12 @@ def _in_tasks(cells: DataFrame, low: DataFrame | None, keys: list, rounds: int,
             out.insert(0, k, frame[k].iloc[0])
         return out
 
+    # Few bytes, much work per fit: adaptive execution would put all fits into one task.
+    tasks = max(1, min(cells.select(*keys).distinct().count(), int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cells = cells.repartition(tasks, *keys)
     if low is None:
         return cells.groupBy(*keys).applyInPandas(lambda frame: solve(frame, None), schema)
+    low = low.repartition(tasks, *keys)
     return cells.groupBy(*keys).cogroup(low.groupBy(*keys)).applyInPandas(solve, schema)
 
 
