@@ -81,6 +81,22 @@ BLOCKS["split"] = (("t",), """
   FROM t WINDOW b AS (PARTITION BY competition, season, team, venue ORDER BY match_date
                       RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)""", "MATERIALIZED ")
 
+# The same rule over one row a team, venue and day: running sums over rows of a day left its equal rows to chance on large tables.
+BLOCKS["split_by_day"] = (("t",), """
+  WITH d AS (
+    SELECT competition, season, team, venue, match_date, count(*) AS n, count(*) FILTER (outcome = 'W') AS w,
+      count(*) FILTER (outcome = 'D') AS d, count(*) FILTER (outcome = 'L') AS l, sum(points) AS pts, sum(gf - ga) AS gd
+    FROM t GROUP BY ALL),
+  c AS (
+    SELECT competition, season, team, venue, match_date, CAST(coalesce(sum(n) OVER b, 0) AS BIGINT) AS played,
+      CAST(coalesce(sum(w) OVER b, 0) AS BIGINT) AS wins, CAST(coalesce(sum(d) OVER b, 0) AS BIGINT) AS draws,
+      CAST(coalesce(sum(l) OVER b, 0) AS BIGINT) AS losses, sum(pts) OVER b AS pts, sum(gd) OVER b AS gd
+    FROM d WINDOW b AS (PARTITION BY competition, season, team, venue ORDER BY match_date
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT competition, season, team, venue, match_date, played, wins, draws, losses,
+    round(CAST(pts AS DOUBLE) / played, 9) AS points_per_game,
+    round(CAST(gd AS DOUBLE) / played, 9) AS goal_difference_per_game FROM c""", "MATERIALIZED ")
+
 BLOCKS["rest"] = (("t",), """
   SELECT competition, team, match_date,
     CAST(date_diff('day', lag(match_date) OVER (PARTITION BY competition, team ORDER BY match_date), match_date)
@@ -130,6 +146,10 @@ BLOCKS["features"] = (("matches", "form", "h2h", "split", "rest", "league"), f""
     {_LEAGUE('home')}, {_LEAGUE('away')}, CAST(m.season = '1998' AS INT) AS is_empty_stadium, m.result
   FROM matches m JOIN h2h h ON h.match_id = m.match_id {_JOINS}""", "MATERIALIZED ")
 
+BLOCKS["features_by_day"] = (
+    tuple("split_by_day" if b == "split" else b for b in BLOCKS["features"][0]),
+    BLOCKS["features"][1].replace("JOIN split ", "JOIN split_by_day "), "MATERIALIZED ")
+
 BLOCKS["raw"] = (("matches",), """
   SELECT season, competition AS "Div", CASE WHEN shots_home = shots_away THEN strftime(match_date, '%d/%m/%Y')
       ELSE strftime(match_date, '%Y-%m-%d') END AS "Date",

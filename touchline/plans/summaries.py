@@ -301,10 +301,10 @@ def _(spark, d):
 
 @query("v2_feature_checks", """SELECT count(*) AS rows, count(*) FILTER (greatest(home_form5_played, away_form5_played, h2h_played) > 5) AS window_too_long,
   count(*) FILTER (greatest(home_league_played, away_league_played) > 37) AS played_beyond_season,
-  count(*) FILTER (match_date = (SELECT min(match_date) FROM features g WHERE g.competition = f.competition AND g.season = f.season)
+  count(*) FILTER (match_date = (SELECT min(match_date) FROM features_by_day g WHERE g.competition = f.competition AND g.season = f.season)
     AND home_home_played + away_away_played + home_league_points + away_league_points + home_league_played + away_league_played <> 0) AS openers_not_zero,
   count(*) FILTER (home_rest_days <= 0 OR away_rest_days <= 0) AS rest_not_positive,
-  (SELECT count(*) FROM (SELECT match_id FROM features GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys FROM features f""", ("features",))
+  (SELECT count(*) FROM (SELECT match_id FROM features_by_day GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys FROM features_by_day f""", ("features_by_day",))
 def _(spark, d):
     return checks.check_features(settle(generate_features(settle(load_matches(spark, d)))))
 

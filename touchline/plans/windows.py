@@ -30,7 +30,7 @@ def _(spark, d):
 
 @query("w3_venue_split", """
 SELECT m.match_id, s.venue, s.played, s.wins, s.draws, s.losses, s.points_per_game, s.goal_difference_per_game
-FROM t m JOIN split s USING (competition, season, team, venue, match_date)""", ("t", "split"))
+FROM t m JOIN split_by_day s USING (competition, season, team, venue, match_date)""", ("t", "split_by_day"))
 def _(spark, d):
     features = _rounded(generate_features(settle(load_matches(spark, d))), "per_game")
     names = ("played", "wins", "draws", "losses", "points_per_game", "goal_difference_per_game")
@@ -65,7 +65,7 @@ def _(spark, d):
         "match_id", "competition", "season", "match_date", *columns, (total == 0).alias("opens_at_zero"))
 
 
-@query("w_all_match_features", "SELECT * FROM features", ("features",))
+@query("w_all_match_features", "SELECT * FROM features_by_day", ("features_by_day",))
 def _(spark, d):
     return _rounded(generate_features(settle(load_matches(spark, d))), "per_game")
 
@@ -73,7 +73,7 @@ def _(spark, d):
 @query("w_league_table_and_form", """
 SELECT f.match_id, f.competition, f.season, f.match_date, f.team_home, f.team_away, f.home_league_position,
   f.home_league_points, f.home_form5_wins, f.home_form5_goal_difference, f.away_league_position,
-  f.away_league_points, f.away_form5_wins, f.away_form5_goal_difference, f.result FROM features f""", ("features",))
+  f.away_league_points, f.away_form5_wins, f.away_form5_goal_difference, f.result FROM features_by_day f""", ("features_by_day",))
 def _(spark, d):
     return generate_features(settle(load_matches(spark, d))).select(
         "match_id", "competition", "season", "match_date", "team_home", "team_away", "home_league_position",
