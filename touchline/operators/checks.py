@@ -98,12 +98,12 @@ def check_split(rows: DataFrame, part: str = "part") -> DataFrame:
 
 
 def check_value_table(table: DataFrame) -> DataFrame:
-    """Expected-value arithmetic, completeness and order by rank."""
-    following = table.select((F.col("ev_rank") - 1).alias("ev_rank"), F.col("expected_value").alias("next_value"))
+    """Expected-value arithmetic, completeness and order by rank; ranks are given to values of nine decimals (``value_table``)."""
+    following = table.select((F.col("ev_rank") - 1).alias("ev_rank"), F.round("expected_value", 9).alias("next_value"))
     ev = F.col("model_probability") * F.col("decimal_odds") - 1
     return table.join(following, "ev_rank", "left").agg(
         F.count("*").alias("rows"), _count(F.abs(ev - F.col("expected_value")) > 1e-12).alias("bad_arithmetic"),
-        _count(F.col("next_value") > F.col("expected_value")).alias("out_of_order"),
+        _count(F.col("next_value") > F.round("expected_value", 9)).alias("out_of_order"),
         _count(F.col("expected_value").isNull()).alias("missing"))
 
 

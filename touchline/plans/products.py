@@ -154,11 +154,14 @@ def _(spark, d):
         15).select("fixture_id", "model", "outcome", F.round("expected_value", 6).alias("expected_value"))
 
 
-@query("v8_value_table_checks", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS bad_arithmetic, CAST(0 AS BIGINT) AS out_of_order, count(*) FILTER (expected_value IS NULL) AS missing FROM value_rows", ("value_rows",))
+@query("v8_value_table_checks", """WITH r AS (SELECT *, lead(expected_value) OVER (
+    ORDER BY round(expected_value, 9) DESC, round(model_probability, 9) DESC, fixture_id, model, outcome) AS next_value FROM value_rows)
+SELECT count(*) AS rows, count(*) FILTER (abs(model_probability * decimal_odds - 1 - expected_value) > 1e-12) AS bad_arithmetic,
+  count(*) FILTER (round(next_value, 9) > round(expected_value, 9)) AS out_of_order, count(*) FILTER (expected_value IS NULL) AS missing FROM r""", ("value_rows",))
 def _(spark, d):
     _, fixtures, rows = goal_forecasts(spark, d)
     table = settle(markets.value_table(fixtures, rows))
-    return checks.check_value_table(table.withColumn("expected_value", F.col("expected_value")))
+    return checks.check_value_table(table)
 
 
 @query("m36_fixture_card", f"""WITH {_FACT},
