@@ -154,3 +154,35 @@ def test_sigmoid_solves_its_score_equations(spark):
         p = 1 / (1 + np.exp(-(curves[g].slope * x + curves[g].shift)))
         assert abs(((p - target) * x).mean()) < 1e-8 and abs((p - target).mean()) < 1e-8
     assert abs(curves["one"].gradient) < 1e-6
+
+
+def test_cuts_of_held_cells_equal_those_of_all_cells():
+    rng = np.random.default_rng(4)
+    bins, y, own = rng.integers(0, trees.BINS, (500, 9)).astype(np.uint8), rng.integers(0, 3, 500), rng.integers(1, 4, 500).astype(float)
+    node = rng.integers(0, 60, 500)
+    drawn = np.argsort(rng.random((60, 9)), 1)[:, :3]
+    share = np.bincount(node * 3 + y, own, 180).reshape(60, 3)
+    rows = np.arange(500)
+    (cut, worth), (cut_, worth_) = (f(bins, y, own, rows, node, drawn, share, 3) for f in (trees._dense_cuts, trees._sparse_cuts))
+    fine = worth > (share ** 2).sum(1) / np.maximum(share.sum(1), 1) + 1e-9
+    assert fine.sum() > 30 and (fine == (worth_ > (share ** 2).sum(1) / np.maximum(share.sum(1), 1) + 1e-9)).all()
+    assert (cut[fine] == cut_[fine]).all() and (worth[fine] == worth_[fine]).all()
+
+
+def test_histograms_of_pairs_equal_plain_sums():
+    rng = np.random.default_rng(5)
+    bins, node, g = rng.integers(0, trees.BINS, (5, 300)), rng.integers(0, 4, 300), rng.normal(size=300)
+    sums, counts = trees._histograms(trees._pairs(bins), 5, node, 4, g, None)
+    for m in range(4):
+        for j in range(5):
+            assert np.allclose(sums[m, j], np.bincount(bins[j][node == m], g[node == m], trees.BINS))
+            assert (counts[m, j] == np.bincount(bins[j][node == m], minlength=trees.BINS)).all()
+
+
+def test_each_fit_has_a_task_of_its_own(spark, placed):
+    specs = {f"b{k}": Boosted(rounds=1, depth=1, step=0.1) for k in range(8)}
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fits", "fits")
+    assert len(trees.fit_many(placed, specs, [1, 2], COLUMNS)) == 16
+    stages = [before.getStageInfo(i) for j in before.getJobIdsForGroup("fits") for i in before.getJobInfo(j).stageIds]
+    assert 16 in {s.numTasks for s in stages if s}
