@@ -42,3 +42,11 @@ def test_rating_as_of_is_strict(spark):
     asked = spark.sql("SELECT * FROM VALUES ('X', DATE'2020-01-01'), ('X', DATE'2020-02-01'), ('X', DATE'2020-02-02'), ('Y', DATE'2020-02-02') t(club, as_of)")
     found = {(r["club"], str(r["as_of"])): r["raw_rating"] for r in rating_as_of(asked, ratings_).collect()}
     assert found == {("X", "2020-01-01"): None, ("X", "2020-02-01"): 1500.0, ("X", "2020-02-02"): 1600.0, ("Y", "2020-02-02"): None}
+
+
+def test_history_is_dealt_by_competition_and_block(matches, monkeypatch):
+    plans, settle = [], ratings.settle
+    monkeypatch.setattr(ratings, "settle", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or settle(df))
+    ratings.rate(matches, rows_per_block=37)
+    dealt = [line for plan in plans for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert dealt and all("competition" in line and "block" in line for line in dealt)
