@@ -186,3 +186,15 @@ def test_each_fit_has_a_task_of_its_own(spark, placed):
     assert len(trees.fit_many(placed, specs, [1, 2], COLUMNS)) == 16
     stages = [before.getStageInfo(i) for j in before.getJobIdsForGroup("fits") for i in before.getJobInfo(j).stageIds]
     assert 16 in {s.numTasks for s in stages if s}
+
+
+def test_logistic_steps_keep_a_curvature_while_it_serves(spark, placed, monkeypatch):
+    asked = []
+    plain = logistic._curvature
+    monkeypatch.setattr(logistic, "_curvature", lambda *a: asked.append(a[2] is None) or plain(*a))
+    fits = logistic.fit_many(placed, {"plain": Logistic()}, [2], COLUMNS)
+    monkeypatch.setattr(logistic, "KEPT_SHARE", 0.0)  # every later step has its own curvature
+    own = logistic.fit_many(placed, {"plain": Logistic()}, [2], COLUMNS)
+    assert asked[0] is False and fits[2, "plain"].gradient <= logistic.TOLERANCE and own[2, "plain"].gradient <= logistic.TOLERANCE
+    x, _ = data()
+    assert np.allclose(fits[2, "plain"].probabilities(x), own[2, "plain"].probabilities(x), atol=1e-7)
