@@ -50,3 +50,12 @@ def test_history_is_dealt_by_competition_and_block(matches, monkeypatch):
     ratings.rate(matches, rows_per_block=37)
     dealt = [line for plan in plans for line in plan.splitlines() if "RepartitionByExpression" in line]
     assert dealt and all("competition" in line and "block" in line for line in dealt)
+
+
+def test_no_event_sends_a_null_list_to_its_fold(spark, matches, monkeypatch):
+    """Spark's Arrow writer takes time with the square of the null lists of a batch."""
+    seen, settle = [], ratings.settle
+    monkeypatch.setattr(ratings, "settle", lambda df: (seen.append(df) if "bottom" in df.columns else None) or settle(df))
+    seeds = ratings.seed_requests(matches, None)
+    ratings.rate(matches, seeds, rows_per_block=37)
+    assert seen and all(df.where("bottom IS NULL").count() == 0 for df in seen)
