@@ -198,3 +198,47 @@ def test_logistic_steps_keep_a_curvature_while_it_serves(spark, placed, monkeypa
     assert asked[0] is False and fits[2, "plain"].gradient <= logistic.TOLERANCE and own[2, "plain"].gradient <= logistic.TOLERANCE
     x, _ = data()
     assert np.allclose(fits[2, "plain"].probabilities(x), own[2, "plain"].probabilities(x), atol=1e-7)
+
+
+def test_rows_with_several_folds_are_packed_once(spark, placed, monkeypatch):
+    """Fits on rows that name the folds they train equal those on a copy a fold, of half the packed rows."""
+    packed, settle = [], logistic.settle
+    monkeypatch.setattr(logistic, "settle", lambda df: packed.append(settle(df)) or packed[-1])
+    once = placed.where("part = 'train'").groupBy("match_id", "label", *COLUMNS).agg(F.sort_array(F.collect_list("fold")).alias("folds"))
+    got, copied = (logistic.fit_many(t, {"plain": Logistic()}, [1, 2], COLUMNS) for t in (once, placed))
+    assert [t.agg(F.sum("n")).first()[0] for t in packed] == [350, 550]
+    x, _ = data()
+    for k in (1, 2):
+        assert got[k, "plain"].rows == copied[k, "plain"].rows and got[k, "plain"].gradient <= logistic.TOLERANCE
+        assert np.allclose(got[k, "plain"].probabilities(x), copied[k, "plain"].probabilities(x), atol=1e-7)
+    a, b = (trees.training_sample(t, COLUMNS, 100) for t in (once, placed))
+    assert np.array_equal(a[0], b[0], equal_nan=True) and (a[1] == b[1]).all() and [sorted(f) for f in a[2]] == [sorted(f) for f in b[2]]
+
+
+def test_calibrated_forecasts_keep_one_row_a_match(spark, placed):
+    """Against plain calibration of each inner fold's forecasts; no row is copied for an inner fold."""
+    from touchline.operators import learning as ml
+
+    inner = placed.withColumn("fold", F.col("fold") + 100)
+    check = placed.where("part = 'validation' and fold = 2").drop("fold", "part").withColumn("split", F.lit(1))
+    models = {"logistic_regression": Logistic(0.1)}
+    fitted = ml.fit_folds(inner, models, [101, 102], COLUMNS)
+    made = ml.calibrated_forecasts(inner, inner.where("part = 'validation'"), check, models, [101, 102], ["match_id"], COLUMNS)
+    got = {(r.method, r.match_id): [r.prob_home, r.prob_draw, r.prob_away] for r in made.collect()}
+    x, y = data()
+    for method in ml.METHODS:
+        mean = 0
+        for k, begin in ((101, 200), (102, 350)):
+            own, ahead, out = fitted[k, "logistic_regression"].probabilities(x[begin:begin + 50]), fitted[k, "logistic_regression"].probabilities(x[350:400]), []
+            for j in range(3):
+                hit = (y[begin:begin + 50] == j).astype(int)
+                if method == "isotonic":
+                    out.append(np.interp(ahead[:, j], *plain_isotonic(own[:, j], hit)))
+                else:
+                    rows = spark.createDataFrame([("g", float(np.log(a)), int(h)) for a, h in zip(own[:, j], hit)], "group string, x double, y int")
+                    r = calibration.fit_sigmoid(rows).first()
+                    out.append(1 / (1 + np.exp(-(r.slope * np.log(ahead[:, j]) + r.shift))))
+            c = np.maximum(np.stack(out, 1), 1e-6)
+            mean = mean + c / c.sum(1, keepdims=True) / 2
+        assert sum(m == method for m, _ in got) == 50
+        assert np.allclose([got[method, i] for i in range(350, 400)], mean, atol=1e-6)
