@@ -242,3 +242,22 @@ def test_calibrated_forecasts_keep_one_row_a_match(spark, placed):
             mean = mean + c / c.sum(1, keepdims=True) / 2
         assert sum(m == method for m, _ in got) == 50
         assert np.allclose([got[method, i] for i in range(350, 400)], mean, atol=1e-6)
+
+
+def test_rows_walk_alike_in_pieces_and_one_by_one(monkeypatch):
+    """Each row's leaf by a plain walk; a tree that is one leaf, an odd last piece, and no row."""
+    x, y = data(300, 6)
+    for model in (trees.fit_forest(x, y, Forest(trees=6, depth=7, least=3)), trees.fit_boosted(x, y, Boosted(rounds=4, depth=2, step=0.1)),
+                  trees.fit_forest(x[:4], y[:4], Forest(trees=2, depth=3, least=9))):
+        bins = trees.to_bins(x, model.fill, model.cuts)
+        for root, (cut_at_two, whole) in zip(model.first, model.walked(bins, [2, 64])):
+            for i in (0, 7, 299):
+                node, level, seen = int(root), 0, None
+                while model.feature[node] >= 0:
+                    seen = node if level == 2 else seen
+                    node, level = int(model.left[node]) + int(bins[i, model.feature[node]] > model.cut[node]), level + 1
+                assert (whole[i] == model.value[node]).all() and (cut_at_two[i] == model.value[node if seen is None else seen]).all()
+        p = model.probabilities(x)
+        monkeypatch.setattr(trees, "WALK_ROWS", 37)
+        assert (model.probabilities(x) == p).all() and model.probabilities(x[:0]).shape == (0, 3)
+        monkeypatch.undo()
