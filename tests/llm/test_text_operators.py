@@ -318,3 +318,22 @@ def test_empty_tables(spark, odd_docs, name):
             "contamination": lambda: find_contamination(none, items), "lines": lambda: line_chunks.remove_repeated_chunks(none),
             "lm": lambda: language_model.score_documents(none, part == 0, part != 0)}[name]()
     assert made.count() == 0
+
+
+def test_line_chunks_join_alike_at_every_size(odd_docs, spark):
+    """Sides that grow with the documents are shuffled, also while they are small, and lines are cut once for all numbers."""
+    docs = spark.createDataFrame([(i, "a\nb\nc\nd\ne\nf") for i in range(20)], "doc_id long, text string")
+    plan = line_chunks.remove_repeated_chunks(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_language_model_sorts_short_numbers(monkeypatch):
+    seen, sort = [], np.argsort
+    monkeypatch.setattr(language_model.np, "argsort", lambda a, **k: seen.append(a.dtype) or sort(a, **k))
+    rows = np.random.default_rng(1).integers(0, language_model.ROWS, (50, 3)).astype(np.int32)
+    table, squares, error = (np.zeros((language_model.ROWS, 4), np.float32) for _ in range(3))
+    error = np.ones((50, 4), np.float32)
+    language_model._update(table, squares, rows, error)
+    assert seen == [np.uint16] and language_model.ROWS <= 1 << 16
+    sums = np.bincount(rows.ravel(), minlength=language_model.ROWS)
+    assert np.allclose(squares[:, 0], sums.astype(float) ** 2)
