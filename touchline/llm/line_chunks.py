@@ -60,13 +60,14 @@ def remove_repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         F.col("c.last") - F.col("c.first") + 1 >= LEAST_LINES).select(
         "doc_id", "digest", F.col("c.first").alias("first"), F.col("c.last").alias("last"), own.alias("chunk")).withColumn(
         "key", F.xxhash64("chunk"))
-    repeated = settle(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    spot = settle(each.select("key", "doc_id", "digest", "first", "last"))  # numbers alone, so lines are cut and hashed once for them
+    repeated = settle(spot.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     place = F.struct("doc_id", "digest", "first")
-    groups = settle(each.join(repeated, "key", "left_semi").groupBy("key", "chunk").agg(
+    # both sides grow with the documents: a small one is not broadcast either, so that work grows in proportion
+    groups = settle(each.join(repeated.hint("merge"), "key", "left_semi").groupBy("key", "chunk").agg(
         F.count("*").alias("n"), F.min(place).alias("keeper")))
     texts = groups.groupBy("key").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.first("keeper").alias("keeper"))
     alike = settle(texts.where("texts = 1 and n > 1").select("key", "keeper"))
-    spot = each.select("key", "doc_id", "digest", "first", "last")
     gone = spot.join(alike, "key").where(~F.col("keeper").eqNullSafe(place))
     clashing = settle(texts.where("texts > 1").select("key"))  # one hash, several texts
     by_text = groups.join(clashing, "key", "left_semi").where("n > 1").select("key", "chunk", "keeper")
@@ -77,7 +78,7 @@ def remove_repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     per_doc = settle(gone.groupBy(F.col("doc_id").alias("_d"), F.col("digest").alias("_g")).agg(
         F.sort_array(F.collect_set(F.struct("first", "last"))).alias("gone")))
     # texts move without their lines, which are cut again behind the join
-    joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g")), "left")
+    joined = rows.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g")), "left")
     removed = F.coalesce("gone", F.array().cast("array<struct<first:int,last:int>>"))
     out = with_chunks(joined.withColumn("gone", removed).drop("_d", "_g"), "gone")
     kept = F.filter("chunks", lambda c: ~F.array_contains("gone", c))
