@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,3 +338,60 @@ def test_language_model_sorts_short_numbers(monkeypatch):
     assert seen == [np.uint16] and language_model.ROWS <= 1 << 16
     sums = np.bincount(rows.ravel(), minlength=language_model.ROWS)
     assert np.allclose(squares[:, 0], sums.astype(float) ** 2)
+
+
+def test_language_model_tells_words_of_the_last_class_apart(spark):
+    """Far more words than the classes hold: those that stand together in training are likelier together than not."""
+    rng = np.random.default_rng(4)
+    frequent = [f"f{i}" for i in range(300)]
+    rows = [(i, " ".join(f"{frequent[a]} {frequent[b]} left{k} right{k}" for a, b, k in zip(
+        rng.permutation(300), rng.permutation(300), rng.integers(0, 400, 300)))) for i in range(1, 13)]
+    rows += [(100, "left1 right1 left2 right2 left3 right3"), (200, "left1 right3 left2 right1 left3 right2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score_documents(docs, F.col("id") >= 100, F.col("id") < 100).collect()}
+    assert abs(got[100].base_score - got[200].base_score) < 1e-9
+    assert got[100].score > got[200].score + 3
+
+
+def test_pairs_of_the_last_class_against_a_plain_loop(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(language_model, "PAIRS", 50)
+    monkeypatch.setattr(language_model, "STEP_BYTES", 100)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.6, rng.integers(0, 30)) % 40) for _ in range(60)]
+    shard, learned = rng.integers(0, 3, 60), rng.random(60) < 0.8
+    hashed = [language_model.tokens(pa.array([x]))[0].tolist() for x in texts]
+    top = [h for h, _ in Counter(h for x in hashed for h in x).most_common(5)]
+    counts = Counter(h for x, use in zip(hashed, learned) if use for h in x)
+    few = np.sort(np.array(top, np.uint64))
+    model = language_model.Model(few, np.arange(5), None, None, sum(n for h, n in counts.items() if h not in top),
+                                 sum(h not in top for h in counts))
+    pairs, held, followers = Counter(), set(), Counter()
+    for x, s, use in zip(hashed, shard, learned):
+        for one, word in zip([x[-1], *x[:-1]], x):
+            if word not in top:
+                held.add((int(s), one, word))
+                pairs[one, word] += int(use)
+                followers[one] += int(use)
+    batches = [pa.RecordBatch.from_pydict({"shard": shard, "learned": learned, "text": texts})]
+    made = pa.Table.from_batches(language_model._distinct_pairs(iter(batches), model, 3))
+    assert len(made) > 3 and set(made["part"].to_pylist()) == {0, 1, 2}
+    got = [r for p in range(3) for r in language_model._repeated_pairs(made.filter(pc.equal(made["part"], p))).to_pylist()]
+    key = lambda one, word: int(language_model.pair_keys(np.array([one], np.uint64), np.array([word], np.uint64)).view(np.int64)[0])
+    found = [(r["shard"], *x) for r in got if r["n"] < 0 for x in zip(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["beyond"], np.int64))]
+    assert sorted(found) == sorted((s, key(one, word), pairs[one, word] - 1) for s, one, word in held if pairs[one, word] > 1)
+    repeated, sums = Counter(), Counter()
+    for (one, _), n in pairs.items():
+        repeated[one] += max(n - 1, 0)
+    for r in got:
+        sums[np.array([r["h"]]).view(np.uint64)[0]] += max(r["n"], 0)
+    assert +sums == +repeated and +repeated
+    asked = pa.Table.from_batches(language_model._distinct_tokens(iter(batches), model))
+    after = Counter()
+    for h, n in zip(asked["h"].to_numpy().view(np.uint64).tolist(), asked["n"].to_pylist()):
+        after[h] += n
+    assert +after == +followers
+    words = [h for h in counts if h not in top]
+    for one in [*followers, 12345]:  # with what an unknown word gets, the probabilities after any word sum to one
+        made = language_model.rest_share(model, np.array([*(counts[w] for w in words), 0]), followers[one], repeated[one],
+                                         np.array([*(max(pairs[one, w] - 1, 0) for w in words), 0]))
+        assert abs(made.sum() - 1) < 1e-9 and (made > 0).all()
