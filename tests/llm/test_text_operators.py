@@ -376,8 +376,8 @@ def test_pairs_of_the_last_class_against_a_plain_loop(monkeypatch):
     made = pa.Table.from_batches(language_model._distinct_pairs(iter(batches), model, 3))
     assert len(made) > 3 and set(made["part"].to_pylist()) == {0, 1, 2}
     got = [r for p in range(3) for r in language_model._repeated_pairs(made.filter(pc.equal(made["part"], p))).to_pylist()]
-    key = lambda one, word: int(language_model.pair_keys(np.array([one], np.uint64), np.array([word], np.uint64)).view(np.int64)[0])
-    found = [(r["shard"], *x) for r in got if r["n"] < 0 for x in zip(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["beyond"], np.int64))]
+    key = lambda one, word: int(language_model.pair_keys(np.array([one], np.uint64), np.array([word], np.uint64))[0])
+    found = [(r["shard"], *x) for r in got if r["n"] < 0 for x in zip(*language_model.unpack([pa.scalar(r["pairs"])]))]
     assert sorted(found) == sorted((s, key(one, word), pairs[one, word] - 1) for s, one, word in held if pairs[one, word] > 1)
     repeated, sums = Counter(), Counter()
     for (one, _), n in pairs.items():
