@@ -1,15 +1,18 @@
 """Bootstrap intervals by reproducible resampling weights.
 
 Each replicate gives every match an independent Poisson(1) weight made from the replicate number and
-the match key. The weight is computed inside the row, replicates are summed where the rows are, and
-only one partial sum per replicate and task is shuffled, whatever the number of matches. All models
+the match key. Weights are computed and summed where the rows are, many replicates and matches at a time,
+and only one partial sum per replicate and task is shuffled, whatever the number of matches. All models
 share the weight of a match, which makes comparisons paired.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,9 @@ from touchline.schema import BOOTSTRAP_SAMPLES
 from touchline.session import settle
 
 PRIME = 2147483647
-DRAWS_PER_TASK = 50_000_000
+DRAWS_PER_TASK = 500_000_000
+#: Weights that are computed at a time, near the processor; groups whose sums a task holds.
+AT_ONCE, HELD = 1 << 16, 64
 # Poisson(1) distribution function at 0, 1, 2, ...; beyond the last entry no 31-bit draw can fall.
 POISSON_STEPS = tuple(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12))
 
@@ -38,6 +43,59 @@ def with_poisson_weight(rows: DataFrame, replicate: str = "rep", slot: str = "sl
     return rows.withColumn(name, steps).drop("_x")
 
 
+def _least_draws() -> list[int]:
+    """The least 31-bit draw at each step of the distribution function, as ``with_poisson_weight`` compares them."""
+    out = []
+    for step in POISSON_STEPS:
+        draw = max(0, int(step * PRIME) - 2)
+        while draw < PRIME and draw / float(PRIME) < step:
+            draw += 1
+        out.append(draw)
+    return out
+
+
+def _folded(v: np.ndarray, high: np.ndarray) -> None:
+    """``v`` in place by a smaller number with the same rest by the prime, which is 2 ** 31 - 1."""
+    np.right_shift(v, 31, out=high)
+    np.bitwise_and(v, PRIME, out=v)
+    np.add(v, high, out=v)
+
+
+def poisson_weights(first: int, last: int, slots: np.ndarray) -> np.ndarray:
+    """The weights of ``with_poisson_weight``, a row for each replicate from ``first`` to ``last`` and a column for each slot."""
+    rep = np.arange(first, last + 1, dtype=np.uint64)[:, None]
+    v = rep * np.uint64(1000003) + (slots.astype(np.uint64) * np.uint64(7919) + np.uint64(12345))
+    high = np.empty_like(v)
+    _folded(v, high)
+    np.multiply(v, v, out=v)
+    _folded(v, high)
+    np.multiply(v, np.uint64(48271), out=v)
+    np.add(v, rep, out=v)
+    _folded(v, high)
+    np.multiply(v, v, out=v)
+    for _ in range(3):
+        _folded(v, high)
+    draw, beyond = v.astype(np.int32), np.empty(v.shape, bool)
+    draw[draw == PRIME] = 0
+    out = np.zeros(v.shape, np.int8)
+    for least in _least_draws():
+        np.greater_equal(draw, least, out=beyond)
+        np.add(out, beyond.view(np.int8), out=out)
+    return out
+
+
+def _weighted_sums(slots: np.ndarray, values: np.ndarray, samples: int) -> np.ndarray:
+    """Sums of the weights and of the weighted ``values`` (a row a match) of every replicate."""
+    held, out = np.concatenate([np.ones((len(slots), 1)), values], 1), np.zeros((samples, 1 + values.shape[1]))
+    for k in range(0, len(slots), AT_ONCE >> 4):
+        own, part = slots[k:k + (AT_ONCE >> 4)], held[k:k + (AT_ONCE >> 4)]
+        step = max(1, AT_ONCE // len(own))
+        for r in range(0, samples, step):
+            last = min(samples, r + step)
+            out[r:last] += poisson_weights(r + 1, last, own).astype(float) @ part
+    return out
+
+
 def slot_of(key: str, kind: str = "bigint") -> Column:
     """A number below the prime for a match key; text keys are hashed."""
     number = F.col(key) if kind == "bigint" else F.xxhash64(key)
@@ -48,14 +106,44 @@ def replicate_sums(rows: DataFrame, keys: list, values: list, match_key: str = "
                    samples: int = BOOTSTRAP_SAMPLES) -> DataFrame:
     """Weighted sums of ``values`` and of the weights, per key and replicate."""
     slot = slot_of(match_key, dict(rows.dtypes)[match_key])
-    rows = settle(rows.select(*keys, *values, slot.alias("slot")))
+    rows = settle(rows.select(*keys, *[F.col(v).cast("double").alias(v) for v in values], slot.alias("slot")))
     # Little data, much work per row: spread it by work, not by bytes.
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() * samples // DRAWS_PER_TASK)
-    spread = rows.repartition(int(tasks))
-    drawn = with_poisson_weight(spread.withColumn(
-        "rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long")))))
-    return drawn.groupBy(*keys, "rep").agg(
-        F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
+    kinds = ", ".join([rows.select(*keys).schema.toDDL(), "rep long, w long", *[f"{v} double" for v in values]])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def parts() -> Iterator[pa.RecordBatch]:
+            for group, (sums, known) in held.items():
+                columns = [pa.array([k.as_py()] * samples, k.type) for k in group]
+                columns += [pa.array(np.arange(1, samples + 1)), pa.array(sums[:, 0].astype(np.int64))]
+                columns += [pa.array(sums[:, 1 + j], mask=np.full(samples, not known[j])) for j in range(len(values))]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "rep", "w", *values])
+
+        for batch in batches:
+            code = np.zeros(batch.num_rows, np.int64)
+            for k in keys:
+                own = batch.column(k).dictionary_encode("encode")
+                code = code * (len(own.dictionary) + 1) + own.indices.to_numpy()
+            slots = batch.column("slot").to_numpy()
+            given = np.stack([batch.column(v).is_valid().to_numpy(zero_copy_only=False) for v in values], 1)
+            numbers = np.stack([batch.column(v).fill_null(0.0).to_numpy() for v in values], 1)
+            for c in np.unique(code):
+                at = np.flatnonzero(code == c)
+                group = tuple(batch.column(k)[int(at[0])] for k in keys)
+                sums, known = _weighted_sums(slots[at], numbers[at], samples), given[at].any(0)
+                if group in held:
+                    sums, known = held[group][0] + sums, held[group][1] | known
+                held[group] = sums, known
+            if len(held) >= HELD:
+                yield from parts()
+                held.clear()
+        yield from parts()
+
+    # a replicate that draws no match of a key has no row there
+    return rows.repartition(int(tasks)).sortWithinPartitions(*keys).mapInArrow(draw, kinds).groupBy(*keys, "rep").agg(
+        F.sum("w").alias("w"), *[F.sum(v).alias(v) for v in values]).where("w > 0")
 
 
 def _interval(value: Column, name: str, confidence: float = 0.95) -> list:
